@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_planes
+from . import licenses, packing, quality, token_planes
 
 QUERIES = {
     "op2_token_planes": token_planes.query,
+    "op5_quality_cascade": quality.query,
     "op7_packing": packing.query,
+    "op9_license_digests": licenses.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_cascade": quality.SQL,
+    "op9_license_digests": licenses.SQL,
+}
