@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, quality, token_planes
+from . import decontaminate, licenses, line_templates, packing, quality, token_planes
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_token_planes": token_planes.query,
+    "op3_line_templates": line_templates.query,
     "op5_quality_cascade": quality.query,
     "op7_packing": packing.query,
     "op9_license_digests": licenses.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op3_line_templates": line_templates.SQL,
     "op5_quality_cascade": quality.SQL,
     "op9_license_digests": licenses.SQL,
 }
