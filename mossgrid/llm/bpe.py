@@ -12,9 +12,10 @@ dictionary) and ask the library for unknown units in batches.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import filterfalse
+import unicodedata
 
 import numpy as np
 
@@ -37,8 +38,19 @@ class UnitEncoder(dict):
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # units are remembered here already
+        # the same vocabulary and merges for many plain words at once: words of letters that
+        # need no normalizing are cut at spaces only, and an id tells whether it ends (word
+        # vocabulary) or begins (byte vocabulary) a word
+        spec = json.loads(self.tokenizer.to_str())
+        cut = {"type": "WhitespaceSplit"} if kind == "word" else {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext", "invert": False}
+        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [cut, to_bytes]}}))
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # units are remembered here already
+        edge = [x for token, x in spec["model"]["vocab"].items() if (token.endswith("</w>") if kind == "word" else token.startswith("\u0120"))]
+        self.edge = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
+        self.edge[edge] = True
+        self.ends = {x: np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ",."}
 
     def units(self, text: str) -> list[str]:
         """Cut a text; a unit's first character tells what stands before it: a space (which
@@ -58,19 +70,34 @@ class UnitEncoder(dict):
             return unit
         return unit[1:] if unit[:1] == " " else " " + unit
 
+    @staticmethod
+    def _lowers(unit: str) -> bool:
+        """Whether the library's lower case (character by character, after NFC) is Python's."""
+        return "\u03a3" not in unit and unicodedata.is_normalized("NFC", unit) and unicodedata.is_normalized("NFC", unit.lower())
+
+    def _is_plain(self, unit: str) -> bool:
+        return unit.isalpha() and (self.kind == "byte" or unit.isascii() or (unit.islower() and unicodedata.is_normalized("NFC", unit)))
+
     def _look_up(self, units: list[str]) -> None:
-        """Ask the library for the ids of units. Those of letters only are one token of its
-        pre-tokenizer each and go into one text; the others are encoded one by one."""
-        plain = [u for u in units if u.isalpha()]
-        for at in range(0, len(plain), 500):
-            part = plain[at : at + 500]
-            found = self.tokenizer.encode(("" if self.kind == "word" else " ") + " ".join(part), add_special_tokens=False)
-            ids, of = np.asarray(found.ids, dtype="<u4"), np.asarray(found.word_ids)
-            for u, x in zip(part, np.split(ids, np.flatnonzero(np.diff(of)) + 1)):
-                self[u] = x.tobytes()
-        odd = [u for u in units if not u.isalpha()]
-        for at in range(0, len(odd), 4096):
-            part = odd[at : at + 4096]
+        """Ask the library for the ids of units, plain words many at a time."""
+        plain, odd = [], []
+        for u in units:
+            (plain if self._is_plain(u) else odd).append(u)
+        for at in range(0, len(plain), 200):
+            part = plain[at : at + 200]
+            text = " ".join(part)
+            ids = np.asarray(self.plain.encode_batch_fast([text if self.kind == "word" else " " + text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.edge[ids])
+            cuts = 4 * (cuts + 1 if self.kind == "word" else np.append(cuts[1:], len(ids)))
+            if len(cuts) != len(part):
+                odd += part
+                continue
+            raw, begin = ids.tobytes(), 0
+            for u, end in zip(part, cuts.tolist()):
+                self[u] = raw[begin:end]
+                begin = end
+        for at in range(0, len(odd), 1024):
+            part = odd[at : at + 1024]
             for u, x in zip(part, self.tokenizer.encode_batch_fast([self.raw(u) for u in part], add_special_tokens=False)):
                 self[u] = np.asarray(x.ids, dtype="<u4").tobytes()
 
@@ -81,35 +108,54 @@ class UnitEncoder(dict):
                 self.pop(u, None)
             self.passing = []
         unknown = [u for u in dict.fromkeys(units) if u not in self]
-        ends = {x: np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ",."}
-        cut = {u: u[:-1] if u[-1:] in ends and u[-2:-1].isalpha() else u for u in unknown}
-        low = {u: x.lower() if self.kind == "word" and x.isascii() else x for u, x in cut.items()}
+        cut = {u: u[:-1] if u[-1:] in self.ends and u[-2:-1].isalpha() else u for u in unknown}
+        if self.kind == "word":
+            low = {u: x.lower() if x.isascii() or self._lowers(x) else x for u, x in cut.items()}
+        else:
+            low = cut
         self._look_up([x for x in dict.fromkeys(low.values()) if x not in self])
         for u in unknown:
-            self[u] = self[low[u]] + ends[u[-1]] if cut[u] != u else self[low[u]]
+            self[u] = self[low[u]] + self.ends[u[-1]] if cut[u] != u else self[low[u]]
         if len(self) > REMEMBERED:
             self.passing += [*unknown, *low.values()]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text with ``end`` after them, as little-endian unsigned 32-bit bytes."""
         tail = np.asarray([end], dtype="<u4").tobytes()
-        out = []
-        for at in range(0, len(texts), 64):
-            part = [self.units(x) for x in texts[at : at + 64]]
-            if sum(map(len, part)) <= PASSING:
-                self.learn([u for units in part for u in filterfalse(self.__contains__, units)])
-            for units in part:
-                done = []
-                for k in range(0, max(1, len(units)), PASSING):
-                    some = units[k : k + PASSING] if len(units) > PASSING else units
-                    try:
-                        done.append(b"".join(map(self.__getitem__, some)))
-                    except KeyError:
-                        self.learn(some)
-                        done.append(b"".join(map(self.__getitem__, some)))
-                out.append(b"".join(done) + tail)
+        out: list[bytes] = []
+        for at in range(0, len(texts), 128):
+            part = [self.units(x) for x in texts[at : at + 128]]
+            if sum(map(len, part)) > PASSING:
+                out += [self._long(units) + tail for units in part]
+                continue
+            found = [list(map(self.get, units)) for units in part]
+            missing = [_gaps(ids) for ids in found]
+            self.learn([units[i] for units, gaps in zip(part, missing) for i in gaps])
+            for units, ids, gaps in zip(part, found, missing):
+                for i in gaps:
+                    ids[i] = self[units[i]]
+                out.append(b"".join(ids) + tail)
         return out
 
+    def _long(self, units: list[str]) -> bytes:
+        """Ids of one text, a stretch at a time."""
+        done = []
+        for k in range(0, len(units), PASSING):
+            some = units[k : k + PASSING]
+            self.learn(some)
+            done += map(self.__getitem__, some)
+        return b"".join(done)
+
+
+def _gaps(found: list) -> list[int]:
+    """Places of None."""
+    out, at = [], -1
+    if None in found:
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            out.append(at)
+    return out
+
 
 def encoder(path: str, kind: str) -> UnitEncoder:
     """The worker's encoder for a vocabulary file; ``kind`` is "byte" or "word"."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_templates, packing, quality, token_planes
+from . import decontaminate, licenses, line_templates, packing, quality, token_planes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_templates": line_templates.query,
     "op5_quality_cascade": quality.query,
     "op7_packing": packing.query,
+    "op8_toxicity": toxicity.query,
     "op9_license_digests": licenses.query,
 }
 
