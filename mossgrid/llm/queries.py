@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_templates, packing, quality, token_planes, toxicity
+from . import decontaminate, licenses, line_templates, ngram_join, packing, quality, token_planes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_cascade": quality.query,
     "op7_packing": packing.query,
     "op8_toxicity": toxicity.query,
+    "op10_ngram_join": ngram_join.query,
     "op9_license_digests": licenses.query,
 }
 
