@@ -20,7 +20,7 @@ import unicodedata
 import numpy as np
 
 #: Units that a worker remembers for good, and those that it remembers for a while beyond them.
-REMEMBERED, PASSING = 500_000, 150_000
+REMEMBERED, PASSING = 500_000, 400_000
 
 _open: dict[tuple[str, str], "UnitEncoder"] = {}
 _GAP = re.compile(r" (?=\S)")

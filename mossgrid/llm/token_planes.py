@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(rows.T).view("<u4").reshape(-1)
 
 
-def _crc_matrix_times(matrix: list[int], vector: int) -> int:
+def _crc_matrix_times(matrix: tuple[int, ...], vector: int) -> int:
     out, k = 0, 0
     while vector:
         if vector & 1:
@@ -66,16 +67,23 @@ def _crc_matrix_times(matrix: list[int], vector: int) -> int:
     return out
 
 
+@lru_cache(maxsize=None)
+def _zero_bits(power: int) -> tuple[int, ...]:
+    """The crc operator, as a bit matrix, for 2 to the power zero bits."""
+    if power == 0:
+        return (0xEDB88320, *(1 << k for k in range(31)))
+    half = _zero_bits(power - 1)
+    return tuple(_crc_matrix_times(half, x) for x in half)
+
+
 def crc32_join(first: int, second: int, n_second: int) -> int:
     """crc32 of two strings in a row from the crc32 of each and the second's bytes."""
-    odd = [0xEDB88320, *(1 << k for k in range(31))]  # the operator for one zero bit
-    power = odd
-    n_bits = 8 * n_second
+    n_bits, power = 8 * n_second, 0
     while n_bits:
         if n_bits & 1:
-            first = _crc_matrix_times(power, first)
+            first = _crc_matrix_times(_zero_bits(power), first)
         n_bits >>= 1
-        power = [_crc_matrix_times(power, x) for x in power]
+        power += 1
     return first ^ second
 
 
