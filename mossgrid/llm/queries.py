@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import attention_lm, decontaminate, licenses, line_templates, ngram_join, packing, quality, token_planes, toxicity
+from . import attention_lm, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_token_planes": token_planes.query,
     "op3_line_templates": line_templates.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_quality_cascade": quality.query,
     "op6_attention_lm": attention_lm.query,
     "op7_packing": packing.query,
