@@ -26,13 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import read, staged
 
 WINDOW = 8
 FIXED = 4
 COVERAGE = 0.5
-#: Items' windows up to which they are broadcast (about 200 bytes each).
-BROADCAST_WINDOWS = 200_000
+#: Items' windows up to which they are broadcast (about 40 bytes each), and alignments up to
+#: which they are (about 1 KB each, with the item's tokens).
+BROADCAST_WINDOWS, BROADCAST_LINES = 500_000, 20_000
 
 #: Units of measure that may follow a number.
 UNITS = "km cm mm m kg g mg lb oz l ml km/h mph hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents miles mile meters meter metres metre feet inches percent degrees".split()
@@ -65,35 +66,50 @@ def _windowed(df: DataFrame) -> DataFrame:
     return df.withColumn("h", F.slice("h", 1, F.greatest(F.size("tokens") - (WINDOW - 1), F.lit(0))))
 
 
-def items_windows(benchmark: DataFrame, item_col: str = "item_id", text: str = "text") -> DataFrame:
-    """h, item_id, j (start), part (the window's tokens), n_item (the item's windows)."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(text)).alias("tokens")).distinct()
-    items = _windowed(items).select("item_id", "tokens", F.posexplode("h").alias("j", "h"))
-    items = items.select("h", "item_id", "j", F.slice("tokens", F.col("j") + 1, WINDOW).alias("part"))
-    items = items.where(F.size(F.filter("part", lambda x: ~F.startswith(x, F.lit("\x01")))) >= FIXED)
-    total = items.groupBy(F.col("item_id").alias("total_id")).agg(F.count_distinct("j").alias("n_item"))
-    return items.join(total, F.col("item_id").eqNullSafe(F.col("total_id"))).drop("total_id")
+def _items(benchmark: DataFrame, item_col: str, text: str) -> DataFrame:
+    """item_key, item_id, tokens of the different items."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(text)).alias("item_tokens")).distinct()
+    return items.select(F.xxhash64("item_id", "item_tokens").alias("item_key"), "item_id", "item_tokens")
+
+
+def items_windows(items: DataFrame) -> DataFrame:
+    """h, item_key, j (start), n_item (windows of the item's id)."""
+    own = _windowed(items.withColumnRenamed("item_tokens", "tokens")).select("item_key", "item_id", "tokens", F.posexplode_outer("h").alias("j", "h")).where("j is not null")
+    own = own.where(F.size(F.filter(F.slice("tokens", F.col("j") + 1, WINDOW), lambda x: ~F.startswith(x, F.lit("\x01")))) >= FIXED).drop("tokens")
+    total = own.groupBy(F.col("item_id").alias("total_id")).agg(F.count_distinct("j").alias("n_item"))
+    return own.join(total, F.col("item_id").eqNullSafe(F.col("total_id"))).select("h", "item_key", "j", "n_item")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_matched, n_item (windows), reworded (some slot has another value)
     for each item that a document holds."""
-    windows = items_windows(benchmark, item_col, item_text)
-    if windows.count() <= BROADCAST_WINDOWS:
+    items = _items(benchmark, item_col, item_text)
+    windows = items_windows(items)
+    small = windows.count() <= BROADCAST_WINDOWS
+    if small:
         windows = F.broadcast(windows)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), marked(F.col(text)).alias("tokens"))
-    starts = _windowed(own).select("doc_id", "text_key", "tokens", F.posexplode("h").alias("i", "h"))
-    hits = starts.join(windows, "h").withColumn("found", F.slice("tokens", F.col("i") + 1, WINDOW))
-    same = F.forall(F.zip_with("part", "found", lambda a, b: _template(a) == _template(b)), lambda x: x)  # hashes may collide
-    slots = F.filter(F.zip_with("part", "found", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: F.startswith(x["a"], F.lit("\x01")))
-    hits = hits.where(same).select("doc_id", "text_key", "item_id", "n_item", "j", (F.col("i") - F.col("j")).alias("diagonal"), slots.alias("slots"))
-    lines = hits.groupBy("doc_id", "text_key", "item_id", "diagonal").agg(
-        F.first("n_item").alias("n_item"), F.count_distinct("j").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    # only hashes and places leave the texts: a row per window must stay narrow. An inner
+    # explode would make a filter on the array's size that is pushed down with the whole
+    # expression, evaluated many times over; the outer one does not
+    starts = _windowed(own.withColumn("tokens", marked(F.col("text")))).select("doc_id", "text_key", F.posexplode_outer("h").alias("i", "h")).where("i is not null")
+    hits = starts.join(windows, "h").withColumn("diagonal", F.col("i") - F.col("j"))
+    lines = hits.groupBy("doc_id", "text_key", "item_key", "diagonal").agg(F.first("n_item").alias("n_item"), F.collect_set("j").alias("js"))
+    lines = staged(lines.where(F.size("js") >= coverage * F.col("n_item")), "alignments")
+    found = lines.join(F.broadcast(items) if small else items, "item_key").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "item_id", "item_tokens", "diagonal", "n_item", "js")
+    if lines.count() <= BROADCAST_LINES:
+        found = F.broadcast(found)
+    # the texts of these documents once more, for the values of slots
+    both = own.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).withColumn("tokens", marked(F.col("text")))
+    pairs = F.transform("js", lambda j: F.zip_with(F.slice("item_tokens", j + 1, WINDOW), F.slice("tokens", j + F.col("diagonal") + 1, WINDOW), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    same = F.filter(pairs, lambda w: F.forall(w, lambda x: _template(x["a"]) == _template(x["b"])))  # hashes may collide
+    both = both.select("doc_id", "item_id", "n_item", same.alias("same"))
+    slots = F.array_distinct(F.filter(F.flatten("same"), lambda x: F.startswith(x["a"], F.lit("\x01"))))
+    both = both.select("doc_id", "item_id", "n_item", F.size("same").cast("long").alias("n_matched"), slots.alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
-    lines = lines.where(consistent & (F.col("n_matched") >= coverage * F.col("n_item")))
+    both = both.where(consistent & (F.col("n_matched") >= coverage * F.col("n_item")))
     reworded = F.exists("slots", lambda x: x["a"] != x["b"])
-    return lines.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_item").alias("n_item"), F.min(reworded).alias("reworded"))
+    return both.groupBy("doc_id", "item_id").agg(F.max("n_matched").alias("n_matched"), F.max("n_item").alias("n_item"), F.min(reworded).alias("reworded"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
