@@ -1,14 +1,13 @@
 """Similarity join on word shingles with several global token orders.
 
 A pair with Jaccard ``t`` or more shares a token among the first ``n - ceil(t n) + 1`` of
-either set under *every* order of all tokens. Each order here puts tokens outside the list of
-common shingles first, then common ones by rising frequency, and permutes tokens of one
-frequency class by its own multiplier. The first order makes candidate groups (a shuffle by
+either set under *every* order of all tokens. Each order here goes by frequency class (that
+of a shingle's least frequent word; shingles with a word outside the list of common words come
+first) and permutes the shingles of one class by its own multiplier. The first order makes candidate groups (a shuffle by
 token); in a group a pair is verified only if its prefixes meet under the other orders too.
 
-Steps: (1) count shingles that recur inside a task's rows, keep the ``COMMON`` most frequent
-(a fixed bound, for the orders only; a shingle that is missing there costs time, never a
-link); (2) sets, prefixes and a 128-bit digest per document; documents with equal sets become
+Steps: (1) count the documents of each word, keep the ``COMMON`` most frequent (a fixed
+bound, for the orders only; a word that is missing there costs time, never a link); (2) sets, prefixes and a 128-bit digest per document; documents with equal sets become
 one class; (3) classes that share a prefix token get the smallest class of that token's list
 as label; all pairs of a label's members are judged; (4) a label with more than ``BLOCK``
 members is cut into blocks and every pair of blocks is a group of its own, so a hot group is
@@ -37,8 +36,8 @@ from .shared import partitions, read, staged, text_or_empty
 
 SHINGLE = 3
 PERCENT = 90
-#: Most frequent shingles that the orders put last (16 bytes each, sent to every executor).
-COMMON = 1 << 17
+#: Words in most documents, which the orders go by (16 bytes each, sent to every executor).
+COMMON = 1 << 19
 #: Members of a group that one task compares with each other or with as many others.
 BLOCK = 256
 #: Candidate classes up to which their ids are broadcast (24 bytes each); else a shuffled join.
@@ -58,15 +57,20 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
+def word_hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
     if len(_hashes) > 400_000:
         _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=n)
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(text: str, size: int = SHINGLE, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Sorted distinct tokens of a text: 60 bits hash a word shingle, the upper 4 are its
+    frequency class, that of its least frequent word (0: not among the common ones)."""
+    h = word_hashes(text)
+    n = len(h)
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
     width = min(size, n)
     out = np.full(n - width + 1, width, dtype=np.uint64)
     with np.errstate(over="ignore"):
@@ -75,6 +79,14 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
             out ^= out >> np.uint64(32)
         out *= _M2
         out ^= out >> np.uint64(29)
+    out >>= np.uint64(4)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        level = np.where(common[0][at] == h, common[1][at], np.uint64(0))
+        least = level[: n - width + 1]
+        for k in range(1, width):
+            least = np.minimum(least, level[k : n - width + 1 + k])
+        out |= least << np.uint64(60)
     return np.unique(out)
 
 
@@ -82,32 +94,28 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def prefix(own: np.ndarray, order: int, common: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set under one of the orders."""
+def prefix(own: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+    """The first tokens of a set under one of the orders: by frequency class, then permuted."""
     with np.errstate(over="ignore"):
-        key = (own * _ORDERS[order]) >> np.uint64(6)
-    tokens, level = common
-    if len(tokens):
-        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-        key |= np.where(tokens[at] == own, level[at], np.uint64(0)) << np.uint64(58)
+        key = (own * _ORDERS[order]) >> np.uint64(4) | own >> np.uint64(60) << np.uint64(60)
     return own[np.argsort(key, kind="stable")[: prefix_length(len(own), percent)]]
 
 
-def common_shingles(docs: DataFrame, size: int = SHINGLE, keep: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and frequency classes of the most frequent shingles of all documents."""
+def common_words(docs: DataFrame, keep: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and frequency classes (1 to 15) of the words in most documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            token, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= 4
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["token", "n"])
+            word, c = np.unique(np.concatenate(held), return_counts=True)
+            often = c > 1
+            return pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text, size))
+                held.append(np.unique(word_hashes(text)))
                 n += len(held[-1])
                 if n > 4_000_000:
                     yield flush()
@@ -115,12 +123,12 @@ def common_shingles(docs: DataFrame, size: int = SHINGLE, keep: int = COMMON) ->
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(keep)
+    rows = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(keep)
     found = rows.toArrow()
-    token = found["token"].to_numpy().view(np.uint64)
-    level = np.minimum(np.log2(np.maximum(found["n"].to_numpy(), 1)).astype(np.uint64) + np.uint64(1), np.uint64(63))
-    order = np.argsort(token)
-    return token[order], level[order]
+    word = found["word"].to_numpy().view(np.uint64)
+    level = np.clip(np.log2(np.maximum(found["n"].to_numpy(), 1)), 1, 15).astype(np.uint64)
+    order = np.argsort(word)
+    return word[order], level[order]
 
 
 def _pairs_that_share(sets: list[np.ndarray]) -> np.ndarray:
@@ -144,7 +152,7 @@ def _pairs_that_share(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(sets: list[np.ndarray], side: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the linked pairs; ``side`` 0/1 is the block, pairs of one block
     are left out if both blocks have members (they have a group of their own)."""
     m, n = len(sets), np.array([len(s) for s in sets])
@@ -154,7 +162,7 @@ def links(sets: list[np.ndarray], side: np.ndarray, common: tuple[np.ndarray, np
     for order in range(len(_ORDERS)):
         if not possible.any():
             return []
-        possible &= _pairs_that_share([prefix(s, order, common, percent) for s in sets]) > 0
+        possible &= _pairs_that_share([prefix(s, order, percent) for s in sets]) > 0
     a, b = np.nonzero(possible)
     if len(a) > 4 * m:
         both = _pairs_that_share(sets)[a, b].astype(np.int64)
@@ -182,18 +190,17 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     """doc_id, n_shingles, component_id for each row."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    common = common_shingles(own, size)
-    shared = spark.sparkContext.broadcast(common)  # at most COMMON entries
+    shared = spark.sparkContext.broadcast(common_words(own))  # at most COMMON entries
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 2048):
-                sets = [shingles(x, size) for x in texts[k : k + 2048]]
+                sets = [shingles(x, size, shared.value) for x in texts[k : k + 2048]]
                 with np.errstate(over="ignore"):
                     d1 = np.array([(s * _M2).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                     d2 = np.array([np.bitwise_xor.reduce((s ^ (s >> np.uint64(31))) * _M3) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-                first = [prefix(s, 0, shared.value, percent).view(np.int64) for s in sets]
+                first = [prefix(s, 0, percent).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
                     names=["doc_id", "text_key", "d1", "d2", "n", "prefix"],
@@ -206,7 +213,12 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     postings = classes.select("cid", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.min("cid").alias("label"), F.max("cid").alias("other")).where("label <> other").select("token", "label")
-    members = staged(postings.join(lists, "token").select("label", "cid").distinct(), "members")
+    members = postings.join(lists, "token").select("label", "cid").distinct().join(classes.select("cid", "n"), "cid")
+    # a set without another of like size under its label has no link there: sizes are cut into
+    # steps of the threshold, and linked sets are in the same or in neighboring steps
+    members = staged(members.withColumn("step", F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")), "members")
+    near = members.select("label", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")).groupBy("label", "step").count().where("count > 1").drop("count")
+    members = staged(members.join(near, ["label", "step"]).select("label", "cid"), "members")
 
     need = classes.select("cid", "of").join(members.select("cid").distinct(), "cid").select("cid", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"))
     need = staged(need, "need")
@@ -216,7 +228,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x, size).view(np.int64) for x in batch.column(1).to_pylist()]
+            sets = [shingles(x, size, shared.value).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "tokens"])
 
     sets = staged(found.mapInArrow(resolve, "cid long, tokens array<long>").dropDuplicates(["cid"]), "tokens")
@@ -232,7 +244,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
         key, ids, side, held = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            found = links(held, np.array(side), shared.value, percent) if len(held) > 1 else []
+            found = links(held, np.array(side), percent) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
