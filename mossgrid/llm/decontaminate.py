@@ -99,8 +99,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     found = lines.join(F.broadcast(items) if small else items, "item_key").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "item_id", "item_tokens", "diagonal", "n_item", "js")
     if lines.count() <= BROADCAST_LINES:
         found = F.broadcast(found)
-    # the texts of these documents once more, for the values of slots
-    both = own.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).withColumn("tokens", marked(F.col("text")))
+    # the texts of these documents once more, for the values of slots; written, or the
+    # optimizer would put the making of tokens into the lambda that runs for each window
+    both = own.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    both = staged(both.select("doc_id", "item_id", "item_tokens", "diagonal", "n_item", "js", marked(F.col("text")).alias("tokens")), "found")
     pairs = F.transform("js", lambda j: F.zip_with(F.slice("item_tokens", j + 1, WINDOW), F.slice("tokens", j + F.col("diagonal") + 1, WINDOW), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     same = F.filter(pairs, lambda w: F.forall(w, lambda x: _template(x["a"]) == _template(x["b"])))  # hashes may collide
     both = both.select("doc_id", "item_id", "n_item", same.alias("same"))
