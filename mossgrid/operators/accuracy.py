@@ -40,12 +40,20 @@ def long_pairs(observed: DataFrame, predicted: DataFrame, id_col: str, variables
     return wide.select(id_col, F.inline(F.array(*each)))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank (ties share their mean) of ``value`` within ``by``. Ranks are
-    made on distinct values and their counts, and joined back."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select(*by, value, (below - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
+def average_rank(df: DataFrame, by: list[str], value: str, name: str, cells: int = 1024) -> DataFrame:
+    """Adds the average rank (ties share their mean) of ``value`` within ``by``.
+
+    Ranks are made on distinct values and their counts and joined back. Running counts are
+    made in two steps, over equal ranges of values and then inside each, so that no task
+    sorts all values of a group."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    ends = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * cells), F.lit(0))
+    ranged = counts.join(ends, by).withColumn("_c", F.least(place, F.lit(cells - 1)).cast("int"))
+    sums = ranged.groupBy(*by, "_c").agg(F.sum("_n").alias("_t"))
+    before = sums.select(*by, "_c", (F.sum("_t").over(Window.partitionBy(*by).orderBy("_c")) - F.col("_t")).alias("_b"))
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = ranged.join(before, [*by, "_c"]).select(*by, value, (F.col("_b") + inside - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
     return df.join(ranks, [*by, value])
 
 

@@ -102,17 +102,18 @@ def jenks(values: np.ndarray, counts: np.ndarray, classes: int) -> list[float]:
     return edges[::-1]
 
 
-def natural_edges(df: DataFrame, value: str, bins: int = 10, most: int = 40_000) -> list[float]:
-    """Natural breaks over a systematic sample of at most ``most`` values with both ends (the
-    sampling is part of the classification; the breaks cost the square of distinct values)."""
+def natural_edges(df: DataFrame, value: str, bins: int = 10, most: int = 2000) -> list[float]:
+    """Natural breaks over all distinct values with their counts; beyond ``most`` distinct
+    values a systematic sample of that many, with both ends, stands for them (the breaks cost
+    the square of distinct values, so the sampling is part of the classification)."""
     counts = value_counts(df, value)
     n = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     if n == 0:
         return []
-    if counts.count() <= 2000:
+    if counts.count() <= most:
         rows = counts.orderBy("value").collect()
     else:
-        shares = [k / 1999 for k in range(2000)]
+        shares = [k / (most - 1) for k in range(most)]
         found = np.unique(weighted_quantiles(counts, shares))
         rows = [{"value": x, "n": 1} for x in found]
     return jenks(np.array([r["value"] for r in rows]), np.array([float(r["n"]) for r in rows]), bins)
