@@ -50,8 +50,9 @@ MOST = 2000
 SYMBOL = 40
 #: Snippets in a suffix array, about; whole cores only.
 BATCH = 12_000
-#: Rows up to which the places of snippets are broadcast (about 60 bytes each).
-BROADCAST_ROWS = 150_000
+#: Rows up to which the places of snippets are broadcast (about 60 bytes each, 40 MB in all);
+#: beyond it the texts are shuffled to them.
+BROADCAST_ROWS = 650_000
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
