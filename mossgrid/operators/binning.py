@@ -193,3 +193,26 @@ def error_matrix_binned(pairs: DataFrame, o: Column, p: Column, edges: Sequence[
     counts = pairs.select(digitize(o, edges).alias("observed_class"), digitize(p, edges).alias("predicted_class")).groupBy("observed_class", "predicted_class").agg(F.count(F.lit(1)).alias("n"))
     grid = pairs.sparkSession.range(n * n).select((F.floor(F.col("id") / n) + 1).cast("int").alias("observed_class"), (F.col("id") % n + 1).cast("int").alias("predicted_class"))
     return grid.join(counts, ["observed_class", "predicted_class"], "left").select("observed_class", "predicted_class", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def unique_values(df: DataFrame, value: str) -> DataFrame:
+    return df.select(value).where(F.col(value).isNotNull()).distinct()
+
+
+def systematic_sample(df: DataFrame, value: str, most: int) -> DataFrame:
+    """About ``most`` rows at equal steps of the sorted values, with the least and greatest.
+
+    Places come from counts per value range and running counts inside a range, so no task
+    sorts all rows. Fewer rows than ``most``: all of them."""
+    counts = value_counts(df, value)
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    step = max(1, total // most)
+    lo, hi = span(counts, "value") if total else (0.0, 0.0)
+    width = (hi - lo) / 1024 or 1.0
+    ranged = counts.withColumn("_r", F.least(F.lit(1023), F.floor((F.col("value") - lo) / width)).cast("int"))
+    before = ranged.groupBy("_r").agg(F.sum("n").alias("_t")).select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_b"))
+    start = F.col("_b") + F.sum("n").over(Window.partitionBy("_r").orderBy("value")) - F.col("n")
+    placed = ranged.join(F.broadcast(before), "_r").select("value", "n", start.alias("a"))  # 1024 rows at most
+    hits = F.floor((F.col("a") + F.col("n") - 1) / step) - F.floor((F.col("a") - 1) / step)
+    last = ((F.col("a") + F.col("n") == total) & F.lit((total - 1) % step != 0)).cast("int")
+    return placed.select("value", (hits + last).cast("int").alias("k")).where("k > 0").select(F.explode(F.array_repeat("value", F.col("k"))).alias(value))

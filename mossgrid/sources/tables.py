@@ -87,3 +87,17 @@ def scalar_of(table: DataFrame, attribute: str) -> tuple[float, int]:
     """Scale factor and k of an attribute; 1 and 1 if it is not listed."""
     row = table.where(F.col("ATTR") == attribute).agg(F.coalesce(F.max("SCALAR"), F.lit(1.0)).alias("s"), F.coalesce(F.max("K"), F.lit(1)).alias("k")).first()
     return float(row["s"]), int(row["k"])
+
+
+def domain_points(spark: SparkSession, points: Sequence[tuple[float, float]] | None = None, path: str | None = None) -> DataFrame:
+    """x, y of a list of points: given ones, or those of a CSV file with columns X and Y."""
+    if (points is None) == (path is None):
+        raise ValueError("either points or a path is needed")
+    if points is not None:
+        return spark.createDataFrame([(float(x), float(y)) for x, y in points], "x double, y double")
+    header = spark.read.option("header", True).csv(path).columns
+    missing = {"X", "Y"} - set(header)
+    if missing:
+        raise ValueError(f"no column {', '.join(sorted(missing))}")
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c in ("X", "Y") else T.StringType()) for c in header])
+    return spark.read.schema(schema).option("header", True).csv(path).select(F.col("X").alias("x"), F.col("Y").alias("y"))
