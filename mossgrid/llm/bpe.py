@@ -45,8 +45,13 @@ class UnitEncoder(dict):
         cut = {"type": "WhitespaceSplit"} if kind == "word" else {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext", "invert": False}
         to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
         self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [cut, to_bytes]}}))
-        if hasattr(self.plain.model, "_resize_cache"):
-            self.plain.model._resize_cache(0)  # units are remembered here already
+        # and for words after a line feed: each unit of such a text begins with that id
+        cut = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}
+        self.lines = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [cut, to_bytes]}}))
+        for t in (self.plain, self.lines):
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # units are remembered here already
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids if kind == "byte" else []
         edge = [x for token, x in spec["model"]["vocab"].items() if (token.endswith("</w>") if kind == "word" else token.startswith("\u0120"))]
         self.edge = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
         self.edge[edge] = True
@@ -80,9 +85,19 @@ class UnitEncoder(dict):
 
     def _look_up(self, units: list[str]) -> None:
         """Ask the library for the ids of units, plain words many at a time."""
-        plain, odd = [], []
+        plain, first, odd = [], [], []
         for u in units:
-            (plain if self._is_plain(u) else odd).append(u)
+            (plain if self._is_plain(u) else first if len(self.feed) == 1 and u[:1] == "\n" and u[1:].isalpha() else odd).append(u)
+        for at in range(0, len(first), 200):
+            part = first[at : at + 200]
+            ids = np.asarray(self.lines.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
+            if len(cuts) != len(part) + 1:
+                odd += part
+                continue
+            raw = ids.tobytes()
+            for u, a, b in zip(part, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist()):
+                self[u] = raw[a:b]
         for at in range(0, len(plain), 200):
             part = plain[at : at + 200]
             text = " ".join(part)
