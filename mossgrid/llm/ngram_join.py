@@ -37,7 +37,7 @@ from .shared import partitions, read, staged, text_or_empty
 SHINGLE = 3
 PERCENT = 90
 #: Words in most documents, which the orders go by (16 bytes each, sent to every executor).
-COMMON = 1 << 19
+COMMON = 1 << 20
 #: Members of a group that one task compares with each other or with as many others.
 BLOCK = 256
 #: Candidate classes up to which their ids are broadcast (24 bytes each); else a shuffled join.
@@ -222,7 +222,8 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     need = classes.select("cid", "of").join(members.select("cid").distinct(), "cid").select("cid", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"))
     need = staged(need, "need")
-    if need.count() <= BROADCAST_IDS:
+    n_need = need.count()
+    if n_need <= BROADCAST_IDS:
         need = F.broadcast(need)
     found = keyed.join(need, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).select("cid", "text")
 
@@ -231,11 +232,16 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
             sets = [shingles(x, size, shared.value).view(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "tokens"])
 
-    sets = staged(found.mapInArrow(resolve, "cid long, tokens array<long>").dropDuplicates(["cid"]), "tokens")
+    sets = staged(found.mapInArrow(resolve, "cid long, tokens array<long>"), "tokens")
+    if sets.count() > n_need:  # repeated rows gave a set more than once
+        sets = staged(sets.dropDuplicates(["cid"]), "tokens")
 
     counts = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.join(counts, "label").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = staged(placed.select("label", "cid", "blocks", "own"), "placed")
+    if placed.count() <= BROADCAST_IDS:  # then sets are shuffled once, to their groups
+        placed = F.broadcast(placed)
     spread = placed.join(sets, "cid").select("label", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "tokens")
     spread = spread.select("label", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "cid", (F.col("own") > F.col("with")).cast("int").alias("side"), "tokens")
     spread = spread.repartition(partitions(spark), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
