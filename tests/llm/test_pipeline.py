@@ -13,7 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 @pytest.fixture(scope="module")
 def sf(spark, tmp_path_factory):
     out = tmp_path_factory.mktemp("sf")
-    prose = [" ".join(f"{a}{b}" for a in ("wa", "ku", "mi") for b in (k, k * 3, k * 7, k + 11, k * k, "zo", "ra")) for k in range(12)]
+    letters = lambda n: chr(97 + n // 26 % 26) + chr(97 + n % 26)
+    prose = [" ".join(a + letters(n) for a in ("wa", "ku", "mi") for n in (k, k * 3, k * 7, k + 111, k * k + 222, 600 + k, 300 - k)) for k in range(12)]
     item = "which of the four seasons brings the longest night of the year to people who live in the far north of the world"
     docs = [(k, f"{p}\nThis line stands in every text of this table", "en", "s", 1) for k, p in enumerate(prose)]
     docs += [(50, prose[3] + "\nThis line stands in every text of this table", "en", "s", 1), (60, "Well: " + item + "? indeed", "en", "s", 1), (70, None, None, None, None), (71, "", "en", "s", 0)]
