@@ -6,8 +6,9 @@ but the last return the columns of ``documents``.
 * toxicity: documents that the scorer predicts to be toxic go;
 * line_dedup: lines of recurring templates go but for the first; a document that held lines
   and is left without any goes too;
-* near_duplicates: of each component of near-duplicate documents the first stays (lowest
-  doc_id; rows without words are no duplicates of each other);
+* near_duplicates: of each component of near-duplicate documents (shingles of ``NEAR_WORDS``
+  words, similarity ``NEAR_PERCENT`` or more) the first stays (lowest doc_id; rows without
+  words are no duplicates of each other);
 * decontaminate: documents that hold a benchmark item go;
 * packing: the rest is tokenized and packed into sequences (its rows are pieces).
 """
@@ -21,6 +22,9 @@ from mossgrid.llm import decontaminate as benchmark_templates
 from mossgrid.llm import line_templates, ngram_join, packing, toxicity
 from mossgrid.llm.shared import read, shared_dir
 
+#: Words in a shingle and least similarity of near duplicates; op10's query has its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = toxicity.scored(docs, read(spark, sf_dir, "labels"))
@@ -35,7 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # doc_id is the key of documents; rows that share one are told apart by their text
-    found = ngram_join.classes_and_components(docs)
+    found = ngram_join.classes_and_components(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
     goes = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     out = docs.join(goes, docs["doc_id"] == goes["gone_id"], "left_anti")
     key = docs.select("doc_id", F.xxhash64("text").alias("tk")).groupBy("doc_id", "tk").count()

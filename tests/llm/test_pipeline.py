@@ -45,6 +45,17 @@ def test_run(spark, sf):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == {*range(12), 70, 71}
 
 
+def test_near_duplicates_of_five_words(spark):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    cut = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    like = lambda x, y, n: len(cut(x, n) & cut(y, n)) / len(cut(x, n) | cut(y, n))
+    near = [*words[:30], "other", *words[31:70], "more", *words[71:]]
+    assert 0.8 <= like(words, near, 5) < 0.9 and like(words, near, 3) < 0.9
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()} == {1, 3}
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
