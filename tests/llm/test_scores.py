@@ -121,6 +121,32 @@ def test_language_model(spark, odd, empty):
     assert attention_lm.scored(empty, path).count() == 0
 
 
+def test_model_learns_from_all_documents(spark, monkeypatch):
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50256
+    texts = [f"the cat number{'abcdefgh'[k % 8]}{'klmnopqrst'[k // 8]} sat thereabouts and wondered" for k in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = attention_lm.Words(path)
+    sequences = [words.subwords(words.codes([attention_lm.split_words(t)])[0]) for t in texts]
+    want, pairs = np.zeros(end + 1), collections.Counter()
+    for ids, per in sequences:
+        want += np.bincount(ids, minlength=end + 1)
+        of = np.repeat(np.arange(len(per)), per)
+        pairs.update((int(a), int(b)) for a, b, x, y in zip(ids, ids[1:], of, of[1:]) if x == y)
+    got, (a, b, n) = attention_lm.id_statistics(attention_lm.word_counts(df), path, end)
+    np.testing.assert_array_equal(got, want)
+    found = dict(zip(zip(a.tolist(), b.tolist()), n.tolist()))
+    common = set(np.argsort(-want, kind="stable")[: attention_lm.CLASSES].tolist())
+    assert found and all(pairs[k] == v for k, v in found.items())
+    assert {k for k in pairs if k[1] not in common} <= set(found)
+    monkeypatch.setattr(attention_lm, "SAMPLE", 8)
+    seen = []
+    plain = attention_lm.trained
+    monkeypatch.setattr(attention_lm, "trained", lambda *x: seen.append(plain(*x)))
+    attention_lm.scored(df, path)
+    train = [len(ids) + 1 for k, (ids, _) in enumerate(sequences) if zlib.crc32(str(k).encode()) % 10]
+    assert seen == [sum(train)]
+
+
 def test_probabilities_add_up_and_windows_agree():
     rng = np.random.default_rng(1)
     counts = rng.integers(1, 50, 600).astype(float)
