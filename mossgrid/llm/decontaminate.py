@@ -15,6 +15,11 @@ The items' windows are broadcast after their number has been checked; beyond
 item, so a passage that many documents share makes no large group. All of it is DataFrame
 functions.
 
+Names are told by their capitals, which fails where a text or an item is in other case. So
+``decontaminated`` also joins windows of a case-blind form (lower case, numbers and units
+typed, no names) and drops documents that reach the coverage in either form; the query
+``leaks`` has the first form alone, as its SQL does.
+
 Nulls and ties: null texts have no tokens and match nothing; texts and items of fewer than
 ``WINDOW`` tokens have no window. Rows with equal id and text are one document; rows with
 equal id and other text are judged together. Ids may be null. Empty tables give no rows.
@@ -46,10 +51,12 @@ STEPS = [
 ]
 
 
-def marked(text: Column) -> Column:
-    """Template tokens of a text; a slot is \\x01, its type and its value (spaces as _)."""
+def marked(text: Column, blind: bool = False) -> Column:
+    """Template tokens of a text; a slot is \\x01, its type and its value (spaces as _).
+    ``blind``: in any case, without slots for names."""
     out = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "")
-    for pattern, new in STEPS:
+    out = F.lower(out) if blind else out
+    for pattern, new in STEPS[1:] if blind else STEPS:
         out = F.regexp_replace(out, pattern, new)
     return F.array_remove(F.split(F.lower(F.regexp_replace(out, "[^\\p{L}\\p{N}\x01]+", " ")), " "), "")
 
@@ -66,9 +73,9 @@ def _windowed(df: DataFrame) -> DataFrame:
     return df.withColumn("h", F.slice("h", 1, F.greatest(F.size("tokens") - (WINDOW - 1), F.lit(0))))
 
 
-def _items(benchmark: DataFrame, item_col: str, text: str) -> DataFrame:
+def _items(benchmark: DataFrame, item_col: str, text: str, blind: bool = False) -> DataFrame:
     """item_key, item_id, tokens of the different items."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(text)).alias("item_tokens")).distinct()
+    items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(text), blind).alias("item_tokens")).distinct()
     return items.select(F.xxhash64("item_id", "item_tokens").alias("item_key"), "item_id", "item_tokens")
 
 
@@ -80,10 +87,10 @@ def items_windows(items: DataFrame) -> DataFrame:
     return own.join(total, F.col("item_id").eqNullSafe(F.col("total_id"))).select("h", "item_key", "j", "n_item")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, blind: bool = False) -> DataFrame:
     """doc_id, item_id, n_matched, n_item (windows), reworded (some slot has another value)
-    for each item that a document holds."""
-    items = _items(benchmark, item_col, item_text)
+    for each item that a document holds; ``blind``: in the case-blind form."""
+    items = _items(benchmark, item_col, item_text, blind)
     windows = items_windows(items)
     small = windows.count() <= BROADCAST_WINDOWS
     if small:
@@ -92,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     # only hashes and places leave the texts: a row per window must stay narrow. An inner
     # explode would make a filter on the array's size that is pushed down with the whole
     # expression, evaluated many times over; the outer one does not
-    starts = _windowed(own.withColumn("tokens", marked(F.col("text")))).select("doc_id", "text_key", F.posexplode_outer("h").alias("i", "h")).where("i is not null")
+    starts = _windowed(own.withColumn("tokens", marked(F.col("text"), blind))).select("doc_id", "text_key", F.posexplode_outer("h").alias("i", "h")).where("i is not null")
     hits = starts.join(windows, "h").withColumn("diagonal", F.col("i") - F.col("j"))
     lines = hits.groupBy("doc_id", "text_key", "item_key", "diagonal").agg(F.first("n_item").alias("n_item"), F.collect_set("j").alias("js"))
     lines = staged(lines.where(F.size("js") >= coverage * F.col("n_item")), "alignments")
@@ -102,7 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     # the texts of these documents once more, for the values of slots; written, or the
     # optimizer would put the making of tokens into the lambda that runs for each window
     both = own.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
-    both = staged(both.select("doc_id", "item_id", "item_tokens", "diagonal", "n_item", "js", marked(F.col("text")).alias("tokens")), "found")
+    both = staged(both.select("doc_id", "item_id", "item_tokens", "diagonal", "n_item", "js", marked(F.col("text"), blind).alias("tokens")), "found")
     pairs = F.transform("js", lambda j: F.zip_with(F.slice("item_tokens", j + 1, WINDOW), F.slice("tokens", j + F.col("diagonal") + 1, WINDOW), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     same = F.filter(pairs, lambda w: F.forall(w, lambda x: _template(x["a"]) == _template(x["b"])))  # hashes may collide
     both = both.select("doc_id", "item_id", "n_item", same.alias("same"))
@@ -115,8 +122,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    found = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("leaking_id")).distinct()
+    """``docs`` without the documents that hold an item in either form."""
+    either = leaks(docs, benchmark, id_col=id_col, **options).unionByName(leaks(docs, benchmark, id_col=id_col, blind=True, **options))
+    found = either.select(F.col("doc_id").alias("leaking_id")).distinct()
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("leaking_id")), "left_anti")
 
 

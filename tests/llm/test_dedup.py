@@ -151,3 +151,13 @@ def test_decontaminate(spark, odd, empty):
     assert decontaminate.leaks(odd, bench).count() == 0
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_decontaminate_in_any_case(spark):
+    item = "Here is a list, Anna: blue ink, red paper, green glass, old wood, 12 nails, thin wire; which of these does she need to build a small house for birds"
+    other = item.replace("red paper", "white salt").replace("green glass", "cold milk").replace("old wood", "brown bread").replace("thin wire", "warm rice").replace("small house for birds", "table")
+    rows = [(1, "Before. " + item.upper() + " AFTER."), (2, item.lower()), (3, item.title()), (4, other.upper()), (5, item.replace("Anna", "Clara").replace("12", "30"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()] == [4]
+    assert 1 not in {r["doc_id"] for r in decontaminate.leaks(df, bench).collect()}
