@@ -161,3 +161,12 @@ def test_decontaminate_in_any_case(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.decontaminated(df, bench).collect()] == [4]
     assert 1 not in {r["doc_id"] for r in decontaminate.leaks(df, bench).collect()}
+
+
+@pytest.mark.parametrize("n", [(10, 7), (8, 8), (5, 40)])
+def test_several_line_templates_in_a_leaf(spark, n):
+    words = [a + b for a in "abcdefgh" for b in "klmnop"]
+    lines = [f"click here to read more about {x} in our blog" for x in words[: n[0]]] + [f"click here to buy the new {x} from partner shops" for x in words[: n[1]]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.clean(df, several=True).collect()}
+    assert got == {k: int(k not in (0, n[0])) for k in range(sum(n))}
