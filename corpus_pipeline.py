@@ -32,7 +32,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_templates.clean(docs, several=True)
+    out = line_templates.clean(docs, short=True, several=True)
     left = (F.col("n_dropped") == 0) | (F.length(F.trim(F.col("text"))) > 0)
     return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

@@ -170,3 +170,12 @@ def test_several_line_templates_in_a_leaf(spark, n):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_dropped"] for r in line_templates.clean(df, several=True).collect()}
     assert got == {k: int(k not in (0, n[0])) for k in range(sum(n))}
+
+
+def test_short_lines(spark):
+    rows = [(k, f"Read more\n{'abcdefgh'[k]} own text\n{k + 100}\n7\nPage {k}\n\nStop") for k in range(6)] + [(9, "Read this")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_templates.clean(df, short=True).collect()}
+    assert got[0] == rows[0][1].split("\n") and got[9] == ["Read this"]
+    for k in range(1, 6):
+        assert got[k] == [f"{'abcdefgh'[k]} own text", str(k + 100), ""]
