@@ -26,3 +26,23 @@ KNOWN = {
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "reserved-notice": "All rights reserved.",
 }
+
+#: Digests of the canonical form of whole texts that are too long to hold here, as published
+#: with common distributions: the whole file and, where an appendix tells how to apply it, the
+#: terms without it, with and without the line that ends them.
+WHOLE = {
+    "Apache-2.0": ["8f86909a6dbf3a124c7a7d11b3aaf31f", "0b86eecc1e7d2e8a032c6949313ee428", "c13f45eb6f6ea48b718436651bf73c9a"],
+    "Artistic-1.0-Perl": ["a8b0fb0c6e43a3b36bdc159e59dbfd1e"],
+    "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
+    "GFDL-1.2": ["fc8fd4dca9351a1b1ba045c2a7d3d70f"],
+    "GFDL-1.3": ["3564867804d3e20f9506651fedbca0e9"],
+    "GPL-1.0": ["738cc3b112640d95d4cd79a58967ecea", "21fa8693acc5194a648fe02e11f65a72", "dbf3c47f5a8f127e58d08cabc1ebb916"],
+    "GPL-2.0": ["5e39ace6e62f5a7fe9c17b4da986ad8c", "f2c06efe640b4a281cbe5337cdde80ab", "68380dbeadb093b94ecf563db7312db7"],
+    "GPL-3.0": ["5eaa767cc0a56c87c3852144458a3bf1", "17e434cc6db7003444b088cb4cc81e91", "444f95dc767ede978b60cfb20fbd0bca"],
+    "LGPL-2.0": ["74cf7fcef3b29a39165a795b2cad3a3a", "97832943be1e344d51af5aee1b658e4f", "c396ba2f94537628797123bc12cd2d6e"],
+    "LGPL-2.1": ["f998bc436710cfece156aaa84fd26dd4", "eaf6afb73fc860a002bfbccbe6f07ce7", "3054b3781b1af43f906dc753acad15ee"],
+    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "MPL-1.1": ["9cdb0c94cb45abb55c616e067859d4ad"],
+    "MPL-2.0": ["7d4b8b0889da3c01eff3fe431102e6d6"],
+    "BSD-3-Clause-UC": ["6989781d8e3e31bf06f590dd203d4e65"],
+}

@@ -4,7 +4,8 @@ its digest is hash-joined to the digests of known licence texts.
 Normalising: lower case, copyright lines dropped, equivalent spellings made one, everything
 but a-z and 0-9 made single spaces. A unit is only normalised if it holds a word that every
 known text holds one of, which cannot lose a match. The table of known digests is built from
-the list in ``license_texts`` (a fixed size), so it may be broadcast.
+the lists in ``license_texts`` (a fixed size), so it may be broadcast. The SQL has the list of
+texts alone, without the digests of longer ones and without copyright lines that lack a year.
 
 Nulls and ties: a null text is empty and matches nothing. Rows that agree in id and text are
 one document; a null id is an id like others. An empty table gives no rows. Other columns
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import KNOWN
+from .license_texts import KNOWN, WHOLE
 from .shared import read
 
 #: Spellings that count as one, as patterns over lower-case text.
@@ -26,12 +27,15 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("whilst", "while"),
 ]
 COPYRIGHT_LINE = "(^|\\n)[^a-z0-9\\n]*(copyright( \\(c\\)| ©)? [0-9]|\\(c\\) [0-9]|© ?[0-9])[^\\n]*"
+#: Lines that name holders after a sign, with or without a year; the pattern above is the SQL's.
+#: A sign alone, "(c) You must", may begin a list's item and needs a year.
+HOLDER_LINE = "(^|\\n)[^a-z0-9\\n]*(copyright ?(\\(c\\)|©)|copyright [0-9]|\\(c\\) [0-9]|©)[^\\n]*"
 #: Each known text holds one of these after normalising; so do the spellings it stands for.
 ANCHORS = "(?i)licen|permission|redistribution|rights"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.lower(text), HOLDER_LINE, "\n")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
@@ -56,7 +60,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts: dic
     lines = F.when(possible, F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))))
     units = own.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer(lines).alias("u"))
     units = units.select("doc_id", "text_key", "u.whole", digest(F.col("u.unit")).alias("digest"))
-    hits = units.join(F.broadcast(known(docs.sparkSession, texts)), "digest", "left")
+    names = known(docs.sparkSession, texts)
+    if texts is None:  # of longer texts only digests are held
+        names = names.unionByName(docs.sparkSession.createDataFrame([(d, k) for k, own in WHOLE.items() for d in own], "digest string, license string"))
+    hits = units.join(F.broadcast(names), "digest", "left")
     found = hits.groupBy("doc_id", "text_key").agg(
         F.max(F.when(F.col("whole"), F.col("license"))).alias("text_license"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("line_licenses"),

@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -48,6 +49,22 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd).count() == odd.select("doc_id", "text").distinct().count()
 
 
+def test_licenses_in_full(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for name in names:
+        if not os.path.exists(f"{folder}/{name}"):
+            pytest.skip("the texts are not on this machine")
+        with open(f"{folder}/{name}", encoding="utf-8") as f:
+            rows.append((names[name], f.read()))
+    rows += [("Apache-2.0", rows[0][1][: rows[0][1].index("END OF TERMS")]), (None, rows[0][1][:5000])]
+    rows += [("MIT", license_texts.KNOWN["MIT"].replace("\n\n", f"\n\n{line}\n\n", 1)) for line in ("Copyright (c) The Authors", "Copyright © the authors and others", "Copyright (C) 2021 Someone")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan(df).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(rows)}
+
+
 def toxic_rows(n=400, seed=1):
     rng = random.Random(seed)
     words = ["".join(rng.choice("aeioutnrslhd") for _ in range(rng.randint(2, 9))) for _ in range(500)]
