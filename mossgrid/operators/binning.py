@@ -102,21 +102,70 @@ def jenks(values: np.ndarray, counts: np.ndarray, classes: int) -> list[float]:
     return edges[::-1]
 
 
-def natural_edges(df: DataFrame, value: str, bins: int = 10, most: int = 2000) -> list[float]:
-    """Natural breaks over all distinct values with their counts; beyond ``most`` distinct
-    values a systematic sample of that many, with both ends, stands for them (the breaks cost
-    the square of distinct values, so the sampling is part of the classification)."""
+def _jenks_many(values: np.ndarray, n: np.ndarray, total: np.ndarray, squares: np.ndarray, classes: int) -> list[int]:
+    """Fisher's optimal breaks for many ordered groups, each with its greatest value, count,
+    sum and sum of squares: the groups that end the classes. The best break never moves back
+    as the end moves on, so a layer is made by halving, all halves of a level at once."""
+    m = len(values)
+    w, s, q = (np.concatenate([[0.0], np.cumsum(c)]) for c in (n, total, squares))
+    best = np.full(m + 1, np.inf)
+    best[0] = 0
+    back = np.zeros((classes + 1, m + 1), dtype=np.int32)
+    for k in range(1, classes + 1):
+        new = np.full(m + 1, np.inf)
+        lo, hi, a, b = (np.array([x]) for x in (k, m, k - 1, m - 1))
+        while len(lo):
+            mid = (lo + hi) // 2
+            size = np.minimum(b, mid - 1) - a + 1
+            begin = np.cumsum(size) - size
+            i, j = np.arange(int(size.sum())) + np.repeat(a - begin, size), np.repeat(mid, size)
+            cost = best[i] + np.maximum(0, q[j] - q[i] - (s[j] - s[i]) ** 2 / (w[j] - w[i]))
+            least = np.minimum.reduceat(cost, begin)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            at = i[at[np.searchsorted(at, begin)]]  # the first of equals
+            new[mid], back[k, mid] = least, at
+            lo, hi, a, b = np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi]), np.concatenate([a, at]), np.concatenate([at, b])
+            left = lo <= hi
+            lo, hi, a, b = lo[left], hi[left], a[left], b[left]
+        best = new
+    ends, j = [], m
+    for k in range(classes, 0, -1):
+        ends.append(j)
+        j = int(back[k, j])
+    return [x - 1 for x in ends[::-1]]
+
+
+def _placed(counts: DataFrame, total: int) -> DataFrame:
+    """value, n and a, the rows before the value, of counts per value; in value ranges first,
+    so that no task sorts all values."""
+    lo, hi = span(counts, "value") if total else (0.0, 0.0)
+    width = (hi - lo) / 1024 or 1.0
+    ranged = counts.withColumn("_r", F.least(F.lit(1023), F.floor((F.col("value") - lo) / width)).cast("int"))
+    before = ranged.groupBy("_r").agg(F.sum("n").alias("_t")).select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_b"))
+    start = F.col("_b") + F.sum("n").over(Window.partitionBy("_r").orderBy("value")) - F.col("n")
+    return ranged.join(F.broadcast(before), "_r").select("value", "n", start.alias("a"))  # 1024 rows at most
+
+
+def natural_edges(df: DataFrame, value: str, bins: int = 10, most: int = 2000, exact: int = 500_000) -> list[float]:
+    """Natural breaks over all distinct values with their counts. Beyond ``exact`` distinct
+    values, about as many groups of neighboring values stand for them, with their exact
+    counts, sums and sums of squares; a break then lies between two groups."""
     counts = value_counts(df, value)
-    n = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    if n == 0:
+    about = counts.agg(F.sum("n").alias("n"), F.sum(F.col("value") * F.col("n")).alias("s"), F.min("value").alias("least"), F.count(F.lit(1)).alias("kinds")).first()
+    if not about["n"]:
         return []
-    if counts.count() <= most:
+    if about["kinds"] <= most:
         rows = counts.orderBy("value").collect()
+        return jenks(np.array([r["value"] for r in rows]), np.array([float(r["n"]) for r in rows]), bins)
+    off = F.col("value") - F.lit(about["s"] / about["n"])  # from the mean, or squares lose digits
+    sums = [F.max("value").alias("top"), F.sum("n").alias("w"), F.sum(off * F.col("n")).alias("s"), F.sum(off * off * F.col("n")).alias("q")]
+    if about["kinds"] <= exact:
+        groups = counts.groupBy("value").agg(*sums)
     else:
-        shares = [k / (most - 1) for k in range(most)]
-        found = np.unique(weighted_quantiles(counts, shares))
-        rows = [{"value": x, "n": 1} for x in found]
-    return jenks(np.array([r["value"] for r in rows]), np.array([float(r["n"]) for r in rows]), bins)
+        groups = _placed(counts, about["n"]).groupBy(F.floor(F.col("a") * F.lit(exact / about["n"])).alias("g")).agg(*sums)
+    rows = groups.select("top", "w", "s", "q").toArrow().sort_by("top")
+    top, w, s, q = (rows[c].to_numpy().astype(np.float64) for c in ("top", "w", "s", "q"))
+    return [float(about["least"]), *(float(top[k]) for k in _jenks_many(top, w, s, q, bins))]
 
 
 def custom_edges(edges: Sequence[float]) -> list[float]:
@@ -207,12 +256,7 @@ def systematic_sample(df: DataFrame, value: str, most: int) -> DataFrame:
     counts = value_counts(df, value)
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     step = max(1, total // most)
-    lo, hi = span(counts, "value") if total else (0.0, 0.0)
-    width = (hi - lo) / 1024 or 1.0
-    ranged = counts.withColumn("_r", F.least(F.lit(1023), F.floor((F.col("value") - lo) / width)).cast("int"))
-    before = ranged.groupBy("_r").agg(F.sum("n").alias("_t")).select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_b"))
-    start = F.col("_b") + F.sum("n").over(Window.partitionBy("_r").orderBy("value")) - F.col("n")
-    placed = ranged.join(F.broadcast(before), "_r").select("value", "n", start.alias("a"))  # 1024 rows at most
+    placed = _placed(counts, total)
     hits = F.floor((F.col("a") + F.col("n") - 1) / step) - F.floor((F.col("a") - 1) / step)
     last = ((F.col("a") + F.col("n") == total) & F.lit((total - 1) % step != 0)).cast("int")
     return placed.select("value", (hits + last).cast("int").alias("k")).where("k > 0").select(F.explode(F.array_repeat("value", F.col("k"))).alias(value))

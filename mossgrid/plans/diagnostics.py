@@ -18,6 +18,9 @@ from mossgrid.sources import tables
 
 log = logging.getLogger(__name__)
 
+#: Values, observed and predicted, that natural breaks of regional areas are made from, about.
+NATURAL_SAMPLE = 40_000
+
 
 @dataclass
 class Context:
@@ -114,7 +117,11 @@ def regional(c: Context) -> dict[str, DataFrame]:
     areas, adjusted = [], []
     for name in c.continuous:
         predicted = c.tables["raster"].where(F.col("variable") == name)
-        edges = binning.edges_by(c.bin_method, plots.select(F.col(name).alias("v")).unionByName(predicted.select(F.col("value").alias("v"))) if c.bin_method == "EQUAL_INTERVAL" else plots.select(F.col(name).alias("v")), "v", c.bins)
+        own = plots.select(F.col(name).cast("double").alias("v"))
+        both = own.unionByName(predicted.select(F.col("value").cast("double").alias("v")))
+        if c.bin_method == "NATURAL_BREAKS":
+            own = binning.systematic_sample(both, "v", NATURAL_SAMPLE)
+        edges = binning.edges_by(c.bin_method, both if c.bin_method == "EQUAL_INTERVAL" else own, "v", c.bins)
         first = special.select(F.inline(F.array(F.struct(F.lit("Nonforest").alias("bin_name"), F.col("nonforest").cast("double").alias("area"), F.lit(-1).alias("bin")), F.struct(F.lit("Unsampled").alias("bin_name"), F.col("unsampled").cast("double").alias("area"), F.lit(0).alias("bin")))))
         o, p = binning.weighted_histogram(plots, name, "HECTARES", edges), binning.weighted_histogram(predicted, "value", "area", edges)
         areas.append(first.unionByName(o).withColumns({"dataset": F.lit("OBSERVED"), "variable": F.lit(name)}))

@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mossgrid.functions.labels import natural_key
 from mossgrid.operators import binning
+from mossgrid.plans import diagnostics
 from mossgrid.sources import tables
 
 
@@ -29,3 +31,27 @@ def test_domain_points(spark, tmp_path):
     assert tables.domain_points(spark, [(3, 4)]).count() == 1
     with pytest.raises(ValueError):
         tables.domain_points(spark)
+
+
+def test_natural_edges_of_many_values(spark):
+    values = [float(k) / 7 for k in range(3000)] + [100.0] * 4000 + [300.0 + k / 9 for k in range(50)] * 90
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    own, n = np.unique(values, return_counts=True)
+    want = binning.jenks(own, n.astype(float), 5)
+
+    def within(edges):
+        at = np.searchsorted(np.array(edges[1:]), np.array(values))
+        return sum(((np.array(values)[at == k] - np.array(values)[at == k].mean()) ** 2).sum() for k in set(at.tolist()))
+
+    got = binning.natural_edges(df, "v", 5)
+    assert within(got) == pytest.approx(within(want), rel=1e-9) and got[0] == want[0] and got[-1] == want[-1]
+    assert within(binning.natural_edges(df, "v", 5, exact=1000)) == pytest.approx(within(want), rel=0.01)
+
+
+def test_regional_natural_breaks_use_both_sides(spark):
+    area = spark.createDataFrame([(k, float(k), 1.0) for k in range(1, 30)] + [(-10001, None, 5.0), (-10002, None, 7.0)], "id long, a double, HECTARES double")
+    plots = area.where("id > 0").select("id", "a")
+    raster = spark.createDataFrame([("a", 1000.0 + k, 1.0) for k in range(30)], "variable string, value double, area double")
+    c = diagnostics.Context({"observed": plots, "independent": plots, "area": area, "raster": raster}, ["a"], bins=2, bin_method="NATURAL_BREAKS")
+    got = diagnostics.regional(c)["regional_accuracy"].where("bin > 0").collect()
+    assert {(r["dataset"], r["bin"]): r["area"] for r in got if r["area"]} == {("OBSERVED", 1): 28.0, ("OBSERVED", 2): 1.0, ("PREDICTED", 2): 30.0}  # an edge begins the next bin
