@@ -8,6 +8,8 @@ dictionary) and ask the library for unknown units in batches.
   two non-spaces, nor before a single line feed; the space belongs to the unit after it.
 * word vocabulary: white space is dropped by the tokenizer, so space and line feed separate
   units.
+
+A text that holds an added token of the vocabulary is given to the library whole.
 """
 
 from __future__ import annotations
@@ -15,21 +17,40 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
 
+from .shared import of_worker
+
 #: Units that a worker remembers for good, and those that it remembers for a while beyond them.
-REMEMBERED, PASSING = 500_000, 400_000
+REMEMBERED, PASSING = 700_000, 500_000
 
-_open: dict[tuple[str, str], "UnitEncoder"] = {}
 _GAP = re.compile(r" (?=\S)")
+_SIGNS = string.punctuation
+#: The letters that byte-level vocabularies write bytes with: printable ones stand for
+#: themselves, the others for the code points from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_SPACE, _FEED = chr(_LETTERS[32]), chr(_LETTERS[10])
+
+
+def _in_bytes(word: str) -> str:
+    """A word's bytes in the vocabulary's letters."""
+    return word.encode().decode("latin-1").translate(_LETTERS)
 
 
 class UnitEncoder(dict):
-    """Maps a unit to its ids as little-endian unsigned 32-bit bytes."""
+    """Maps a unit to its ids as little-endian unsigned 32-bit bytes.
+
+    A text that may hold an added token of the vocabulary is given to the library whole, as
+    the library cuts such tokens out before anything else; with ``ordinary`` their strings
+    are ordinary text.
+    """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,25 +58,28 @@ class UnitEncoder(dict):
         self.passing: list[str] = []
         self.kind = kind
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [] if ordinary else list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = sorted({x.content for x in added})
+        self.added_in_any_case = sorted({x.content.lower() for x in added if x.normalized})
         # the same vocabulary and merges for many plain words at once: words of letters that
-        # need no normalizing are cut at spaces only, and an id tells whether it ends (word
-        # vocabulary) or begins (byte vocabulary) a word
+        # need no normalizing, written in the vocabulary's letters for bytes and cut at spaces;
+        # an id tells whether it ends (word vocabulary) or begins (byte vocabulary) a word
         spec = json.loads(self.tokenizer.to_str())
-        cut = {"type": "WhitespaceSplit"} if kind == "word" else {"type": "Split", "pattern": {"String": " "}, "behavior": "MergedWithNext", "invert": False}
-        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [cut, to_bytes]}}))
-        # and for words after a line feed: each unit of such a text begins with that id
-        cut = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Isolated", "invert": False}
-        self.lines = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [cut, to_bytes]}}))
-        for t in (self.plain, self.lines):
-            if hasattr(t.model, "_resize_cache"):
-                t.model._resize_cache(0)  # units are remembered here already
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # units are remembered here already
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids if kind == "byte" else []
         edge = [x for token, x in spec["model"]["vocab"].items() if (token.endswith("</w>") if kind == "word" else token.startswith("\u0120"))]
         self.edge = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)
         self.edge[edge] = True
-        self.ends = {x: np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ",."}
+        self.tails: dict[str, bytes] = {}
+
+    def holds_added(self, text: str) -> bool:
+        """Whether the library may find an added token in a text."""
+        if any(x in text for x in self.added):
+            return True
+        return bool(self.added_in_any_case) and any(x in text.lower() for x in self.added_in_any_case)
 
     def units(self, text: str) -> list[str]:
         """Cut a text; a unit's first character tells what stands before it: a space (which
@@ -88,9 +112,10 @@ class UnitEncoder(dict):
         plain, first, odd = [], [], []
         for u in units:
             (plain if self._is_plain(u) else first if len(self.feed) == 1 and u[:1] == "\n" and u[1:].isalpha() else odd).append(u)
-        for at in range(0, len(first), 200):
+        for at in range(0, len(first), 200):  # words after a line feed, each behind the token of one
             part = first[at : at + 200]
-            ids = np.asarray(self.lines.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            text = " ".join([_FEED + " " + (u[1:] if u.isascii() else _in_bytes(u[1:])) for u in part])
+            ids = np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
             if len(cuts) != len(part) + 1:
                 odd += part
@@ -98,10 +123,11 @@ class UnitEncoder(dict):
             raw = ids.tobytes()
             for u, a, b in zip(part, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist()):
                 self[u] = raw[a:b]
+        begin_with = "" if self.kind == "word" else _SPACE
         for at in range(0, len(plain), 200):
             part = plain[at : at + 200]
-            text = " ".join(part)
-            ids = np.asarray(self.plain.encode_batch_fast([text if self.kind == "word" else " " + text], add_special_tokens=False)[0].ids, dtype="<u4")
+            text = begin_with + (" " + begin_with).join([u if u.isascii() else _in_bytes(u) for u in part])
+            ids = np.asarray(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.edge[ids])
             cuts = 4 * (cuts + 1 if self.kind == "word" else np.append(cuts[1:], len(ids)))
             if len(cuts) != len(part):
@@ -116,40 +142,68 @@ class UnitEncoder(dict):
             for u, x in zip(part, self.tokenizer.encode_batch_fast([self.raw(u) for u in part], add_special_tokens=False)):
                 self[u] = np.asarray(x.ids, dtype="<u4").tobytes()
 
-    def learn(self, units: list[str]) -> None:
-        """Remember the units; a comma or full stop after a letter is a token of its own."""
+    def _tail(self, tail: str) -> bytes:
+        """Ids of ASCII signs after a letter: always tokens of their own."""
+        if tail not in self.tails:
+            if len(self.tails) > 100_000:
+                self.tails.clear()
+            self.tails[tail] = np.asarray(self.tokenizer.encode(tail, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.tails[tail]
+
+    def _letter(self, x: str) -> bool:
+        """Whether a character ends in a letter, also as the tokenizer normalizes it."""
+        if self.kind == "word" and not x.isascii():
+            x = unicodedata.normalize("NFC", x).lower()[-1:]
+        return x.isalpha()
+
+    def learn(self, units: Iterable[str]) -> None:
+        """Remember the units; ASCII signs after the last letter are tokens of their own."""
         if len(self.passing) > PASSING:
             for u in self.passing:
                 self.pop(u, None)
             self.passing = []
         unknown = [u for u in dict.fromkeys(units) if u not in self]
-        cut = {u: u[:-1] if u[-1:] in self.ends and u[-2:-1].isalpha() else u for u in unknown}
-        if self.kind == "word":
-            low = {u: x.lower() if x.isascii() or self._lowers(x) else x for u, x in cut.items()}
-        else:
-            low = cut
-        self._look_up([x for x in dict.fromkeys(low.values()) if x not in self])
-        for u in unknown:
-            self[u] = self[low[u]] + self.ends[u[-1]] if cut[u] != u else self[low[u]]
+        easy, other = (list(filter(str.isalpha, unknown)), [u for u in unknown if not u.isalpha()]) if self.kind == "byte" else ([], unknown)
+        made: list[tuple[str, str, str]] = []
+        for u in other:
+            core, tail = u.rstrip(_SIGNS), ""
+            if len(core) < len(u) and core and self._letter(core[-1]):
+                tail = u[len(core) :]
+            else:
+                core = u
+            if self.kind == "word" and (core.isascii() or self._lowers(core)):
+                core = core.lower()
+            made.append((u, core, tail))
+        cores = {x for _, x, _ in made if x not in self}
+        self._look_up(list({*easy, *cores}) if easy else list(cores))
+        for u, core, tail in made:
+            if u is not core:
+                self[u] = self[core] + self._tail(tail) if tail else self[core]
         if len(self) > REMEMBERED:
-            self.passing += [*unknown, *low.values()]
+            self.passing += unknown
+            self.passing += cores.difference(unknown)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Ids of each text with ``end`` after them, as little-endian unsigned 32-bit bytes."""
         tail = np.asarray([end], dtype="<u4").tobytes()
         out: list[bytes] = []
         for at in range(0, len(texts), 128):
-            part = [self.units(x) for x in texts[at : at + 128]]
+            some = texts[at : at + 128]
+            whole = {k for k, x in enumerate(some) if self.holds_added(x)}
+            part = [[] if k in whole else self.units(x) for k, x in enumerate(some)]
             if sum(map(len, part)) > PASSING:
-                out += [self._long(units) + tail for units in part]
-                continue
-            found = [list(map(self.get, units)) for units in part]
-            missing = [_gaps(ids) for ids in found]
-            self.learn([units[i] for units, gaps in zip(part, missing) for i in gaps])
-            for units, ids, gaps in zip(part, found, missing):
-                for i in gaps:
-                    ids[i] = self[units[i]]
-                out.append(b"".join(ids) + tail)
+                own = [self._long(units) for units in part]
+            else:
+                own, found = [], [list(map(self.get, units)) for units in part]
+                missing = [_gaps(ids) for ids in found]
+                self.learn([units[i] for units, gaps in zip(part, missing) for i in gaps])
+                for units, ids, gaps in zip(part, found, missing):
+                    for i in gaps:
+                        ids[i] = self[units[i]]
+                    own.append(b"".join(ids))
+            for k in whole:
+                own[k] = np.asarray(self.tokenizer.encode(some[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out += [x + tail for x in own]
         return out
 
     def _long(self, units: list[str]) -> bytes:
@@ -174,7 +228,4 @@ def _gaps(found: list) -> list[int]:
 
 def encoder(path: str, kind: str) -> UnitEncoder:
     """The worker's encoder for a vocabulary file; ``kind`` is "byte" or "word"."""
-    key = (path, kind)
-    if key not in _open:
-        _open[key] = UnitEncoder(path, kind)
-    return _open[key]
+    return of_worker(("units", path, kind), lambda: UnitEncoder(path, kind))

@@ -10,8 +10,9 @@ slots are consistent (a value of the item always meets the same value of the doc
 it covers at least ``COVERAGE`` of the item's windows. Windows with fewer than ``FIXED``
 tokens that are not slots are no evidence and are left out on the item's side.
 
-The items' windows are broadcast after their number has been checked; beyond
-``BROADCAST_WINDOWS`` the same join shuffles by hash. Matches are grouped by document and
+The items' windows (which do not grow with the documents) are broadcast after their number
+has been checked; beyond ``BROADCAST_WINDOWS`` the same join shuffles by hash. Texts with an
+alignment are shuffled to it for the values of its slots, the others are not. Matches are grouped by document and
 item, so a passage that many documents share makes no large group. All of it is DataFrame
 functions.
 
@@ -31,14 +32,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read, staged
+from .shared import possible, read, staged, without
 
 WINDOW = 8
 FIXED = 4
 COVERAGE = 0.5
-#: Items' windows up to which they are broadcast (about 40 bytes each), and alignments up to
-#: which they are (about 1 KB each, with the item's tokens).
-BROADCAST_WINDOWS, BROADCAST_LINES = 500_000, 20_000
+#: Items' windows up to which they are broadcast (about 40 bytes each).
+BROADCAST_WINDOWS = 500_000
 
 #: Units of measure that may follow a number.
 UNITS = "km cm mm m kg g mg lb oz l ml km/h mph hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents miles mile meters meter metres metre feet inches percent degrees".split()
@@ -104,11 +104,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     lines = hits.groupBy("doc_id", "text_key", "item_key", "diagonal").agg(F.first("n_item").alias("n_item"), F.collect_set("j").alias("js"))
     lines = staged(lines.where(F.size("js") >= coverage * F.col("n_item")), "alignments")
     found = lines.join(F.broadcast(items) if small else items, "item_key").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "item_id", "item_tokens", "diagonal", "n_item", "js")
-    if lines.count() <= BROADCAST_LINES:
-        found = F.broadcast(found)
     # the texts of these documents once more, for the values of slots; written, or the
     # optimizer would put the making of tokens into the lambda that runs for each window
-    both = own.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    some = possible(own, lines, ["doc_id", "text_key"])
+    both = some.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
     both = staged(both.select("doc_id", "item_id", "item_tokens", "diagonal", "n_item", "js", marked(F.col("text"), blind).alias("tokens")), "found")
     pairs = F.transform("js", lambda j: F.zip_with(F.slice("item_tokens", j + 1, WINDOW), F.slice("tokens", j + F.col("diagonal") + 1, WINDOW), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     same = F.filter(pairs, lambda w: F.forall(w, lambda x: _template(x["a"]) == _template(x["b"])))  # hashes may collide
@@ -124,8 +123,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold an item in either form."""
     either = leaks(docs, benchmark, id_col=id_col, **options).unionByName(leaks(docs, benchmark, id_col=id_col, blind=True, **options))
-    found = either.select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("leaking_id")), "left_anti")
+    return without(docs, staged(either.select(F.col("doc_id").alias(id_col)).distinct(), "leaking"), [id_col])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, read, staged, text_or_empty
+from .shared import of_worker, partitions, possible, read, staged, text_or_empty, without
 
 SHINGLE = 3
 PERCENT = 90
@@ -40,8 +40,6 @@ PERCENT = 90
 COMMON = 1 << 20
 #: Members of a group that one task compares with each other or with as many others.
 BLOCK = 256
-#: Candidate classes up to which their ids are broadcast (24 bytes each); else a shuffled join.
-BROADCAST_IDS = 500_000
 _ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25))
 
@@ -54,14 +52,12 @@ class _WordHashes(dict):
         return out
 
 
-_hashes = _WordHashes()
-
-
 def word_hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    hashes = of_worker("word hashes", _WordHashes)
+    if len(hashes) > 400_000:
+        hashes.clear()
+    return np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: str, size: int = SHINGLE, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -187,7 +183,9 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> l
 
 
 def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+    """doc_id, n_shingles, component_id for each row; also text_key (a hash of its text) and
+    ``first``: whether its id and text are those of its component's first row (lowest id, a
+    null before all others; then lowest hash). A row with an empty set is first."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     shared = spark.sparkContext.broadcast(common_words(own))  # at most COMMON entries
@@ -223,9 +221,8 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     need = classes.select("cid", "of").join(members.select("cid").distinct(), "cid").select("cid", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"))
     need = staged(need, "need")
     n_need = need.count()
-    if n_need <= BROADCAST_IDS:
-        need = F.broadcast(need)
-    found = keyed.join(need, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).select("cid", "text")
+    some = possible(keyed, need.select(F.col("of_id").alias("doc_id"), F.col("of_key").alias("text_key")), ["doc_id", "text_key"])
+    found = some.join(need, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key"))).select("cid", "text")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +230,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "tokens"])
 
     sets = staged(found.mapInArrow(resolve, "cid long, tokens array<long>"), "tokens")
+    shared.destroy()
     if sets.count() > n_need:  # repeated rows gave a set more than once
         sets = staged(sets.dropDuplicates(["cid"]), "tokens")
 
@@ -240,8 +238,6 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = members.join(counts, "label").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     placed = staged(placed.select("label", "cid", "blocks", "own"), "placed")
-    if placed.count() <= BROADCAST_IDS:  # then sets are shuffled once, to their groups
-        placed = F.broadcast(placed)
     spread = placed.join(sets, "cid").select("label", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "tokens")
     spread = spread.select("label", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "cid", (F.col("own") > F.col("with")).cast("int").alias("side"), "tokens")
     spread = spread.repartition(partitions(spark), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
@@ -271,14 +267,33 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     linked = spread.mapInArrow(judge, "a long, b long")
     of = components(linked)
-    named = classes.select("cid", "d1", "d2", "n", "root").join(of.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("cid", "d1", "d2", "n", "root", "of").join(of.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = staged(named, "named")
-    roots = named.groupBy("component").agg(F.min("root").alias("component_id"))
-    by_class = named.join(roots, "component").select("d1", "d2", "n", "component_id")
-    full = rows.where("n > 0").select("doc_id", "d1", "d2", "n").join(by_class, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    roots = named.groupBy("component").agg(F.min("root").alias("component_id"), F.min("of").alias("of"))
+    by_class = named.select("d1", "d2", "n", "component").join(roots, "component").select("d1", "d2", "n", "component_id", "of")
+    first = F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("text_key") == F.col("of.text_key"))
+    full = rows.where("n > 0").select("doc_id", "text_key", "d1", "d2", "n").join(by_class, ["d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", first.alias("first"))
+    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(True).alias("first"))
     return full.unionByName(empty)
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: its first; rows without words all stay. Of
+    rows that agree in id and text one stays."""
+    found = classes_and_components(docs, id_col, text, size, percent)
+    found = staged(found.where("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    kind = docs.schema[id_col].dataType
+    named = lambda x: x.select(F.col("doc_id").cast(kind).alias(id_col), F.col("text_key").alias("row text key"))
+    keyed = docs.withColumn("row text key", F.xxhash64(text_or_empty(text)))
+    out = without(keyed, named(found.where("not first")), [id_col, "row text key"])
+    again = staged(found.where("first AND n > 1"), "again")
+    if again.limit(1).count():  # repeated rows are copies as well
+        once = possible(keyed, named(again), [id_col, "row text key"])
+        once = once.join(named(again).withColumn("row twice", F.lit(True)).withColumnRenamed(id_col, "row id").withColumnRenamed("row text key", "row key"), F.col(id_col).eqNullSafe(F.col("row id")) & (F.col("row text key") == F.col("row key")), "left_semi")
+        once = once.groupBy(id_col, "row text key").agg(*[F.first(c, ignorenulls=False).alias(c) for c in docs.columns if c != id_col])
+        out = without(out, named(again), [id_col, "row text key"]).unionByName(once.select(out.columns))
+    return out.select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes_and_components(read(spark, sf_dir, "documents"))
+    return classes_and_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

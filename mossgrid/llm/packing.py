@@ -10,14 +10,15 @@ A group has about ``GROUP`` documents whatever the size of the corpus, so groups
 and their number grows with the input; only lengths and checksums are shuffled.
 
 Nulls and ties: a null text is empty (its end id alone). Rows with the same doc_id are
-documents of their own. Pieces of equal length are ordered by document id, then by a hash of
-the row. An empty table gives no rows. Columns besides id and text are ignored.
+documents of their own, and are drawn into groups one by one. Pieces of equal length are
+ordered by document id, then by the row's number. An empty table gives no rows. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -72,13 +73,16 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, kind: str = "word", si
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encode = bpe.encoder(tokenizer, kind).encode
+        number = count(TaskContext.get().partitionId() << 40)  # a row's own, also among equal rows
         for batch in batches:
             owners, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
             for k in range(0, len(texts), 256):
                 for own, ids in zip(owners[k : k + 256], encode(texts[k : k + 256], end)):
-                    n, key = len(ids) // 4, zlib.crc32(ids)
+                    n, key = len(ids) // 4, next(number)
                     for at in range(0, n, size):
                         part = ids[4 * at : 4 * (at + size)]
                         rows.append((own, at, len(part) // 4, zlib.crc32(part), n, key))

@@ -195,6 +195,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield _batches(found, names, [pa.int64()] * 7)
 
     cand = staged(docs.select("doc_id", "tk", "text").mapInArrow(rows, "doc_id long, tk long, key long, digest long, start long, least long, most long"), "rows")
+    shared.destroy()
     kinds = cand.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "start", "least", "most")).alias("of"))
     kinds = staged(kinds, "kinds")
     cores = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1")

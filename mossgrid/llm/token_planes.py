@@ -92,7 +92,9 @@ def write_token_planes(docs: DataFrame, path: str, tokenizer: str, end: int = 0,
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    # equal rows are told apart by a random number, or all of them would be one shard's
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("draw", F.rand(11))
+    rows = rows.repartitionByRange(n, "doc_id", "tie", "draw").sortWithinPartitions("doc_id", "tie").drop("tie", "draw")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

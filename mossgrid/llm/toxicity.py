@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import of_worker, read
 
 SAMPLE = 2500
 SAMPLE_CHARS = 50_000
@@ -340,17 +340,6 @@ class Scorer:
         return best
 
 
-_of_worker: dict[str, Scorer] = {}
-
-
-def _worker_scorer(key: str, model: Model) -> Scorer:
-    """One scorer for all tasks of a worker that use the same model."""
-    if key not in _of_worker:
-        _of_worker.clear()
-        _of_worker[key] = Scorer(model)
-    return _of_worker[key]
-
-
 def split(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, mod 3."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3))
@@ -378,7 +367,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return docs.drop("score", "predicted").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _worker_scorer(key, model)
+        scorer = of_worker(("toxicity", key), lambda: Scorer(model))  # one for all tasks that use the same model
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             found = np.concatenate([scorer.scores([x or "" for x in texts[k : k + 512]]) for k in range(0, len(texts), 512)] or [np.zeros(0)])

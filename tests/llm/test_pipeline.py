@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from mossgrid.llm import shared
 from mossgrid.llm.shared import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -86,3 +87,39 @@ def test_no_other_module_imports_this_package():
             if f.endswith(".py"):
                 with open(os.path.join(folder, f)) as h:
                     assert "mossgrid.llm" not in h.read()
+
+
+CLASHING = ["score", "predicted", "n_dropped", "line_key", "gone_key", "gone_pos", "leaking_id", "text_key", "first", "n", "column 2"]
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_stages_on_odd_rows(spark, sf):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    one, other = " ".join(words), " ".join(reversed(words))
+    long = " ".join(f"w{k}{'xyz'[k % 3]}" for k in range(40_000))
+    rows = [(1, one), (5, one), (5, other), (5, other), (None, long), (None, long), (8, None), (8, None), (None, None), (9, ""), (10, " \n "), (11, long + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(c + " "), F.xxhash64("doc_id", "text").cast("string")) for c in CLASHING})
+    value = {tuple(r[:2]): tuple(r) for r in df.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, sf)
+        assert got.columns == df.columns and got.dtypes == df.dtypes
+        want = [(1, one), (5, other), (None, long), (8, None), (8, None), (None, None), (9, ""), (10, " \n ")] if name == "near_duplicates" else rows
+        assert rows_of(got) == sorted((value[x] for x in want), key=repr), name
+        empty = stage(spark, df.limit(0), sf)
+        assert empty.columns == df.columns and empty.count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, sf).collect()
+    assert sum(r["start"] == 0 for r in packed) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, df.limit(0), sf).count() == 0
+
+
+def test_stages_drop_what_they_staged(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = set(shared.staged_folders())
+    rows_of(corpus_pipeline.near_duplicate_stage(spark, docs, sf))
+    made = set(shared.staged_folders()) - before
+    assert made
+    rows_of(corpus_pipeline.toxicity_stage(spark, docs, sf))
+    assert not made & set(shared.staged_folders())

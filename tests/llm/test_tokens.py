@@ -16,18 +16,16 @@ FILES = {"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}
 
 def plain(kind, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(FILES[kind]))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("kind", ["byte", "word"])
 def test_units_equal_whole_texts(kind):
     rng = random.Random(5)
-    texts = ["", " ", "  a", "a  b\n\nc", "it's don't, x.", "\u0000x \u0000y", "Éa ñb ΑΣ ǅ İ", "<|endoftext|> hi"]
+    texts = ["", " ", "  a", "a  b\n\nc", "it's don't, x.", "\u0000x \u0000y", "Éa ñb ΑΣ ǅ İ", "<|endoftext|> hi", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>.", "it's*** 'll é́! ñ̃* İ, İx### 漢字。", "CAPS!!! (856) l'été,$$$"]
     texts += ["".join(rng.choice(" \n\tab'1.,é́\u0000　SÀ") for _ in range(40)) for _ in range(400)]
     got = bpe.encoder(public_tokenizers.path(FILES[kind]), kind).encode(texts, 7)
     t = Tokenizer.from_file(public_tokenizers.path(FILES[kind]))
-    t.encode_special_tokens = True
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 7], repr(text)
 
@@ -108,3 +106,14 @@ def test_packing(spark, odd, empty):
     ids = next(plain("word", r["text"], 2) for r in odd.collect() if r["doc_id"] == 5)
     assert [r["ids_crc32"] for r in five] == [zlib.crc32(np.array(ids[k : k + 128], "<u4").tobytes()) for k in range(0, len(ids), 128)]
     assert packing.packed(empty, path).count() == 0
+
+
+def test_repeated_rows_are_spread(spark):
+    df = spark.range(6000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    path = shared_dir(spark, "test")
+    token_planes.write_token_planes(df, path, public_tokenizers.path(FILES["byte"]))
+    shards = token_planes.read_token_planes(spark, path).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in shards) == 6000 and max(r["count"] for r in shards) < 3000
+    cut = packing.pieces(df, public_tokenizers.path(FILES["word"]))
+    groups = packing.pack(cut, 6000, group=500).selectExpr("shiftright(sequence_id, 32) as g").groupBy("g").count().collect()
+    assert len(groups) == 12 and max(r["count"] for r in groups) < 1000
