@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -43,7 +44,7 @@ SAMPLE = 2500
 SAMPLE_CHARS = 50_000
 LANDMARKS = 64
 DECAY = 0.7
-FLOOR = 0.35
+FLOOR = 0.45
 #: Letters of a unit; longer strings are cut into overlapping units.
 LONGEST = 20
 THRESHOLD = 0.7
@@ -97,86 +98,73 @@ class Kernel:
             codes = self._codes(self._matrix([word]), at)[0]
             np.add.at(self.features[k], codes, weight)
         self.features /= np.maximum(np.linalg.norm(self.features, axis=1, keepdims=True), 1e-9)
-        self.masks = np.array([self._mask(w) for w in landmarks], dtype=np.uint64)
-        self.least = np.array([-(-7 * len(set(w)) // 10) for w in landmarks])
-        self.pairs = np.array([self._pair_mask(self._matrix([w])[:, :-1], self._matrix([w])[:, 1:])[0] for w in landmarks], dtype=np.uint64)
-        self.least_pairs = np.maximum(1, np.bitwise_count(self.pairs) // 2)
+        self.by_code = np.ascontiguousarray(self.features.T)  # no landmark has anything at code 0
+        self.most = self.features.max(axis=0) if len(landmarks) else np.zeros(1, dtype=np.float32)
 
     def _matrix(self, words: list[str]) -> np.ndarray:
         get = self.letters.get
         return np.array([[get(c, 0) for c in w] for w in words], dtype=np.int64)
 
-    def _text_matrix(self, words: list[str], length: int) -> np.ndarray:
-        """As _matrix, for many words of one length."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), length)
-        return self.table[np.minimum(points, len(self.table) - 1)]
-
     def _codes(self, matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (matrix[:, at[:, 0]] * self.base + matrix[:, at[:, 1]]) * self.base + matrix[:, at[:, 2]]
 
-    def _mask(self, word: str) -> int:
-        out = 0
-        for c in word:
-            if k := self.letters.get(c, 0):
-                out |= 1 << min(k, 63)
-        return out
-
-    @staticmethod
-    def _pair_mask(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """64-bit masks of letter pairs."""
-        bits = np.where((a > 0) & (b > 0), np.uint64(1) << ((a * 37 + b * 11) % 64).astype(np.uint64), np.uint64(0))
-        return np.bitwise_or.reduce(bits, axis=1)
-
     def near(self, words: list[str]) -> list[dict[int, float]]:
-        """For each word, the landmarks whose kernel with it is FLOOR or more."""
+        """For each word, the landmarks whose kernel with it is FLOOR or more.
+
+        Words are left out early by bounds that no such kernel can be below: the greatest
+        value of each subsequence in any landmark, and the norm that a word would have if all
+        its subsequences were different.
+        """
         out: list[dict[int, float]] = [{} for _ in words]
         by_length = defaultdict(list)
         for k, w in enumerate(words):
             by_length[len(w)].append(k)
         for length, own in by_length.items():
             at, weight = _triples(length)
+            if not len(at) or not self.landmarks:
+                continue
+            least = FLOOR * float(np.sqrt((weight * weight).sum())) * (1 - 1e-5)
             for begin in range(0, len(own), 2048):
                 part = np.array(own[begin : begin + 2048])
-                matrix = self._text_matrix([words[k] for k in part], length)
-                bits = np.where(matrix > 0, np.uint64(1) << np.minimum(matrix, 63).astype(np.uint64), np.uint64(0))
-                masks = np.bitwise_or.reduce(bits, axis=1)
-                shared = np.bitwise_count(masks[:, None] & self.masks[None, :])
-                near = shared >= self.least[None, :]
-                pairs = self._pair_mask(matrix[:, :-1], matrix[:, 1:]) | self._pair_mask(matrix[:, :-2], matrix[:, 2:])
-                near &= np.bitwise_count(pairs[:, None] & self.pairs[None, :]) >= self.least_pairs[None, :]
-                row, column = np.nonzero(near)
-                if not len(row):
-                    continue
-                some, back = np.unique(row, return_inverse=True)
-                codes = self._codes(matrix[some], at)
-                codes[(matrix[some][:, at] == 0).any(axis=2)] = 0  # letters that no landmark has
-                for lo in range(0, len(row), 8192):
-                    r, c = back[lo : lo + 8192], column[lo : lo + 8192]
-                    value = (self.features[c[:, None], codes[r]] * weight).sum(axis=1)
-                    good = np.nonzero(value > 0)[0]
-                    if not len(good):
+                points = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), length)
+                matrix = self.table[np.minimum(points, len(self.table) - 1)]
+                codes = self._codes(matrix, at)
+                if not matrix.all():  # letters that no landmark has
+                    lacks = matrix == 0
+                    codes[lacks[:, at[:, 0]] | lacks[:, at[:, 1]] | lacks[:, at[:, 2]]] = 0
+                some = np.flatnonzero(self.most[codes] @ weight >= least)
+                step = max(1, (1 << 22) // (len(at) * len(self.landmarks)))
+                for lo in range(0, len(some), step):
+                    rows = some[lo : lo + step]
+                    value = np.matmul(weight, self.by_code[codes[rows]])
+                    hit = value.max(axis=1) >= least
+                    if not hit.any():
                         continue
-                    # the norm counts a word's equal subsequences together; its lower bound first
-                    least = np.sqrt((weight * weight).sum())
-                    good = good[value[good] >= FLOOR * least]
-                    for i in good.tolist():
-                        word = int(part[some[r[i]]])
-                        norm = self._norm(words[word])
-                        if value[i] >= FLOOR * norm:
-                            out[word][int(c[i])] = float(value[i] / norm)
+                    rows, value = rows[hit], value[hit]
+                    value = value / self._norms(points[rows], at, weight)[:, None]
+                    for r, c in zip(*(x.tolist() for x in np.nonzero(value >= FLOOR))):
+                        out[part[rows[r]]][c] = float(value[r, c])
         return out
 
     @staticmethod
-    @lru_cache(maxsize=100_000)
-    def _norm(word: str) -> float:
-        at, weight = _triples(len(word))
-        sums: dict[tuple[str, str, str], float] = defaultdict(float)
-        for (i, j, k), x in zip(at.tolist(), weight.tolist()):
-            sums[word[i], word[j], word[k]] += x
-        return sum(x * x for x in sums.values()) ** 0.5
+    def _norms(points: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Norms of words of one length; equal subsequences of a word count together."""
+        n, length = points.shape
+        first = (points[:, :, None] == points[:, None, :]).argmax(axis=2)
+        code = (first[:, at[:, 0]] * length + first[:, at[:, 1]]) * length + first[:, at[:, 2]]
+        out = np.empty(n)
+        step = max(1, (1 << 20) // length**3)
+        for lo in range(0, n, step):
+            part = code[lo : lo + step]
+            place = part + np.arange(len(part))[:, None] * length**3
+            sums = np.bincount(place.ravel(), np.broadcast_to(weight, part.shape).ravel(), minlength=len(part) * length**3)
+            out[lo : lo + step] = np.sqrt((sums.reshape(len(part), -1) ** 2).sum(axis=1))
+        return out
 
     def matrix(self) -> np.ndarray:
-        return self.features @ self.features.T
+        """Kernels of the landmarks with each other, with the floor that features have."""
+        out = self.features @ self.features.T
+        return np.where(out >= FLOOR, out, 0)
 
 
 @dataclass
@@ -257,9 +245,8 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
                 out[k] = max(out[k], x)
         return out
 
-    gram = kernel.matrix().astype(float) + 1e-6 * np.eye(len(landmarks))
-    vals, vecs = np.linalg.eigh(gram)
-    root = vecs @ np.diag(np.maximum(vals, 1e-6) ** -0.5) @ vecs.T  # the Nyström map
+    vals, vecs = np.linalg.eigh(kernel.matrix().astype(float))
+    root = vecs @ np.diag(np.where(vals > 1e-3, np.maximum(vals, 1e-3) ** -0.5, 0)) @ vecs.T  # the Nyström map
     parts_of = [np.array([pooled(p) for p in parts if any(u in value for u in p)] or [np.zeros(len(landmarks))]) for parts, _ in cut]
     labels = np.array([y for _, y in cut])
     chosen = []
@@ -345,8 +332,8 @@ def split(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most ``size`` training texts of either label."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> DataFrame:
+    """labelled_id, text, y of at most ``size`` training texts of either label."""
     own = labels.select(F.col(id_col).alias("labelled_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (split("labelled_id") != 1) & F.col("labelled_id").isNotNull())
     own = own.groupBy("labelled_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("labelled_id"), F.col(text).alias("text")).where(F.length(text) <= SAMPLE_CHARS)
@@ -354,13 +341,24 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     for y in (0, 1):
         part = own.where(F.col("y") == y).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(size)
         drawn = part if drawn is None else drawn.unionByName(part)
-    rows = texts.join(F.broadcast(drawn), "labelled_id").groupBy("labelled_id", "y").agg(F.min("text").alias("text"))
-    return [(r["text"], r["y"]) for r in rows.select("labelled_id", "text", "y").orderBy("labelled_id").toLocalIterator()]
+    return texts.join(F.broadcast(drawn), "labelled_id").groupBy("labelled_id", "y").agg(F.min("text").alias("text"))
+
+
+def fitted(rows: DataFrame) -> Model | None:
+    """The model of a bounded sample, trained in one task; only the model comes back."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns))]
+        model = train([(text, y) for _, text, y in sorted(held, key=lambda x: str(x[0]))])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.select("labelled_id", "text", "y").repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` appended."""
-    model = train(sample(docs, labels, id_col, text, **options))
+    model = fitted(sample(docs, labels, id_col, text, **options))
     key = uuid.uuid4().hex
     schema = docs.drop("score", "predicted").schema.add("score", "double").add("predicted", "integer")
     if model is None:

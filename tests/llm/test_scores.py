@@ -65,6 +65,12 @@ def test_licenses_in_full(spark):
     assert got == {k: name for k, (name, _) in enumerate(rows)}
 
 
+def test_given_texts(spark):
+    df = spark.createDataFrame([(1, "Use it as you LIKE!"), (2, "x\nuse it, as you like\ny"), (3, "use it")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text_license"], r["line_licenses"]) for r in licenses.scan(df, texts={"free": "Use it as you like."}).collect()}
+    assert got == {1: ("free", "free"), 2: (None, "free"), 3: (None, "")}
+
+
 def toxic_rows(n=400, seed=1):
     rng = random.Random(seed)
     words = ["".join(rng.choice("aeioutnrslhd") for _ in range(rng.randint(2, 9))) for _ in range(500)]
@@ -108,11 +114,24 @@ def test_kernel_against_definition():
         a, b = feature(s), feature(t)
         return sum(a[x] * b[x] for x in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
 
-    landmarks = ["idiot", "worthless"]
+    landmarks = ["idiot", "worthless", "stupid", "pathetic", "moron", "loser"]
     kernel = toxicity.Kernel(landmarks)
-    for w in ("idiot", "idiiot", "id1ot", "worthles", "worthlesss"):
-        for k, x in kernel.near([w])[0].items():
-            assert x == pytest.approx(direct(w, landmarks[k]), rel=1e-4)
+    rng = random.Random(4)
+    words = ["stup", "idiot", "id1ot", "worthlesss", "éidiot", "ab", "aaaa", "漢字漢字", "moronmoronmoronmoro"]
+    for w in landmarks:
+        for _ in range(120):
+            x = list(w)
+            for _ in range(rng.randint(1, 4)):
+                k = rng.randrange(len(x) + 1)
+                x[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "é", w[0], rng.choice("aeiorst")])
+            words.append("".join(x))
+    words = [w for w in words if len(w) > 2]
+    for w, found in zip(words, kernel.near(words)):
+        want = {k: direct(w, x) for k, x in enumerate(landmarks)}
+        want = {k: v for k, v in want.items() if v >= toxicity.FLOOR + 1e-5}  # none of them may be lost
+        assert set(want) <= set(found), w
+        for k, v in found.items():
+            assert v == pytest.approx(direct(w, landmarks[k]), rel=1e-4)
     assert kernel.near(["idiot"])[0][0] == pytest.approx(1)
 
 
