@@ -41,9 +41,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
-def digest(text: Column) -> Column:
-    """md5 of the canonical text; null where it cannot be one of the known texts."""
-    return F.when(F.regexp_like(text, F.lit(ANCHORS)), F.md5(canonical(text).cast("binary")))
+def digest(text: Column, anchored: bool = True) -> Column:
+    """md5 of the canonical text; ``anchored``: null where it cannot be one of the known texts."""
+    found = F.md5(canonical(text).cast("binary"))
+    return F.when(F.regexp_like(text, F.lit(ANCHORS)), found) if anchored else found
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -54,12 +55,13 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, text_license (of the whole text), line_licenses (names found in lines, sorted,
-    joined by commas) and n_license_lines of every document."""
+    joined by commas) and n_license_lines of every document. ``texts``: look for these (by
+    name) in place of the known ones; every unit is then normalised, as they may be any text."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    possible = F.regexp_like("text", F.lit(ANCHORS))
+    possible = F.regexp_like("text", F.lit(ANCHORS)) if texts is None else F.lit(True)
     lines = F.when(possible, F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))))
     units = own.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode_outer(lines).alias("u"))
-    units = units.select("doc_id", "text_key", "u.whole", digest(F.col("u.unit")).alias("digest"))
+    units = units.select("doc_id", "text_key", "u.whole", digest(F.col("u.unit"), texts is None).alias("digest"))
     names = known(docs.sparkSession, texts)
     if texts is None:  # of longer texts only digests are held
         names = names.unionByName(docs.sparkSession.createDataFrame([(d, k) for k, own in WHOLE.items() for d in own], "digest string, license string"))
