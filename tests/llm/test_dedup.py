@@ -179,3 +179,12 @@ def test_short_lines(spark):
     assert got[0] == rows[0][1].split("\n") and got[9] == ["Read this"]
     for k in range(1, 6):
         assert got[k] == [f"{'abcdefgh'[k]} own text", str(k + 100), ""]
+
+
+def test_rows_of_numbers_are_no_template(spark):
+    rows = [(k, f"{k}1 {k}2 {k * 7}.5 {k + 100} 2{k}\n7 7 7 7\nrow {k} of 9") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({}, {"short": True, "several": True}):
+        got = {r["doc_id"]: r["text"].split("\n") for r in line_templates.clean(df, **options).collect()}
+        assert got[0] == rows[0][1].split("\n")
+        assert all(got[k] == rows[k][1].split("\n")[:1] for k in range(1, 8))
