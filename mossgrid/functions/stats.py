@@ -10,32 +10,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _all_zero(x: Column) -> Column:
+def all_zero(x: Column) -> Column:
     return F.max(F.abs(x)) == 0
 
 
 def rmse(o: Column, p: Column) -> Column:
     """Root mean squared error; 0 if either side is all zero."""
-    return F.when(_all_zero(o) | _all_zero(p), F.lit(0.0)).otherwise(F.sqrt(F.avg((o - p) * (o - p))))
+    return F.when(all_zero(o) | all_zero(p), F.lit(0.0)).otherwise(F.sqrt(F.avg((o - p) * (o - p))))
 
 
 def normalized_rmse(o: Column, p: Column) -> Column:
     """RMSE over the mean of the observed; 0 if the observed are all zero."""
-    return F.when(_all_zero(o), F.lit(0.0)).otherwise(F.try_divide(rmse(o, p), F.avg(o)))
+    return F.when(all_zero(o), F.lit(0.0)).otherwise(F.try_divide(rmse(o, p), F.avg(o)))
 
 
 def bias_percentage(o: Column, p: Column) -> Column:
-    return F.when(_all_zero(o) | _all_zero(p), F.lit(0.0)).otherwise(F.try_divide(F.sum(p - o), F.sum(o)) * F.lit(100.0))
+    return F.when(all_zero(o) | all_zero(p), F.lit(0.0)).otherwise(F.try_divide(F.sum(p - o), F.sum(o)) * F.lit(100.0))
 
 
 def pearson(o: Column, p: Column) -> Column:
-    """Pearson's r; null where a side does not vary."""
-    return F.try_divide(F.covar_pop(o, p), F.stddev_pop(o) * F.stddev_pop(p))
+    """Pearson's r; 0 if either side is all zero, else null where a side does not vary."""
+    return F.when(all_zero(o) | all_zero(p), F.lit(0.0)).otherwise(F.try_divide(F.covar_pop(o, p), F.stddev_pop(o) * F.stddev_pop(p)))
 
 
 def r_square(o: Column, p: Column) -> Column:
     """1 - SSE/SST about the mean of the observed; can be negative."""
-    return F.when(_all_zero(o) | _all_zero(p), F.lit(0.0)).otherwise(F.lit(1.0) - F.try_divide(F.sum((o - p) * (o - p)), F.var_pop(o) * F.count(o)))
+    return F.when(all_zero(o) | all_zero(p), F.lit(0.0)).otherwise(F.lit(1.0) - F.try_divide(F.sum((o - p) * (o - p)), F.var_pop(o) * F.count(o)))
 
 
 def regression(x: Column, y: Column) -> dict[str, Column]:
@@ -71,7 +71,7 @@ def binary_statistics(pp: Column, pa: Column, ap: Column, aa: Column) -> dict[st
     return {
         "prevalence": F.try_divide(pp + pa, n), "sensitivity": sensitivity, "false_negative_rate": F.lit(1.0) - sensitivity,
         "specificity": specificity, "false_positive_rate": F.lit(1.0) - specificity, "percent_correct": correct,
-        "positive_predictive_power": F.coalesce(F.try_divide(pp, pp + ap), F.lit(0.0)),
+        "positive_predictive_power": F.coalesce(F.try_divide(pp, pp + ap), F.lit(1.0)),
         "odds_ratio": F.coalesce(F.try_divide(pp.cast("double") * aa, pa.cast("double") * ap), F.lit(1.0)),
         "true_skill": sensitivity + specificity - F.lit(1.0),
         "kappa": F.when(chance == 1, F.lit(0.0)).otherwise(F.try_divide(correct - chance, F.lit(1.0) - chance)),

@@ -58,8 +58,10 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, cells: int
 
 
 def spearman(pairs: DataFrame, by: list[str], o: str = "observed", p: str = "predicted") -> DataFrame:
+    """Pearson's r of the average ranks; 0 if either side is all zero."""
     ranked = average_rank(average_rank(pairs.select(*by, o, p), by, o, "_ro"), by, p, "_rp")
-    return ranked.groupBy(*by).agg(stats.pearson(F.col("_ro"), F.col("_rp")).alias("spearman_r"))
+    r = F.when(stats.all_zero(F.col(o)) | stats.all_zero(F.col(p)), F.lit(0.0)).otherwise(stats.pearson(F.col("_ro"), F.col("_rp")))
+    return ranked.groupBy(*by).agg(r.alias("spearman_r"))
 
 
 def local_accuracy(pairs: DataFrame, by: str = "variable", o: str = "observed", p: str = "predicted") -> DataFrame:

@@ -219,7 +219,8 @@ def labels(edges: Sequence[float]) -> list[str]:
     """Bin names: one decimal, or exponents for large edges."""
     form = "%.1e" if edges[-1] >= 1e5 else "%.1f"
     text = [(form % e).replace("e+0", "e") for e in edges]
-    return [f"{a}-{b}" for a, b in zip(text, text[1:])]
+    # a lower edge that shows as zero is plainly so, also where others have exponents
+    return [f"{'0.0' if float(a) == 0 else a}-{b}" for a, b in zip(text, text[1:])]
 
 
 def weighted_histogram(df: DataFrame, value: str, weight: str, edges: Sequence[float]) -> DataFrame:

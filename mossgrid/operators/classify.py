@@ -62,7 +62,8 @@ def error_matrix(pairs: DataFrame, classes: DataFrame | None = None, o: str = "o
     """observed, predicted, n for all pairs of classes; classes default to those of either
     side. Null classes take no part."""
     own = pairs.select(F.col(o).alias("observed"), F.col(p).alias("predicted")).where("observed is not null and predicted is not null")
-    counts = own.groupBy("observed", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as cells: kept, as everything below reads them several times
+    counts = own.groupBy("observed", "predicted").agg(F.count(F.lit(1)).alias("n")).persist()
     if classes is None:
         classes = counts.select(F.col("observed").alias("class")).union(counts.select("predicted")).distinct()
     # the grid of classes is as wide as the result itself

@@ -55,11 +55,11 @@ def zonal(neighbors: DataFrame, k: int) -> DataFrame:
 def attribute_raster(pixels: DataFrame, values: DataFrame, mask: DataFrame, weights: Sequence[float], scalar: float = 1.0, nodata: int = -32768) -> DataFrame:
     """row, col, value: weighted sum of the neighbors' attribute, scaled and rounded half to
     even. ``pixels``: row, col, rank, neighbor_id; ``values``: id, value (missing: 0);
-    ``mask``: row, col, forest. Not forest: -1; pixels of no neighbor: ``nodata``."""
+    ``mask``: row, col, forest. Not forest: -1; pixels that lack a neighbor: ``nodata``."""
     total = float(sum(weights))
     own = F.element_at(F.array(*[F.lit(float(x) / total) for x in weights]), F.col("rank"))
     near = pixels.where(F.col("rank") <= len(weights)).join(values.select(F.col("id").alias("neighbor_id"), "value"), "neighbor_id", "left")
-    sums = near.groupBy("row", "col").agg(F.sum(own * F.coalesce("value", F.lit(0.0))).alias("v"))
+    sums = near.groupBy("row", "col").agg(F.sum(own * F.coalesce("value", F.lit(0.0))).alias("v"), F.count("neighbor_id").alias("n"))
     out = mask.join(sums, ["row", "col"], "left")
-    value = F.when(~F.col("forest"), F.lit(-1)).when(F.col("v").isNull(), F.lit(nodata)).otherwise(F.rint(F.col("v") * F.lit(float(scalar))).cast("int"))
+    value = F.when(~F.col("forest"), F.lit(-1)).when(F.coalesce(F.col("n"), F.lit(0)) < len(weights), F.lit(nodata)).otherwise(F.rint(F.col("v") * F.lit(float(scalar))).cast("int"))
     return out.select("row", "col", value.alias("value"))

@@ -154,6 +154,7 @@ def _score(env: DataFrame, variables: Sequence[str], means: np.ndarray, coeffici
 def cca(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int | None = None) -> Ordination:
     """Canonical correspondence analysis. ``species``: id, species, x; ``env``: id and the
     variables."""
+    species, env = species.persist(), env.persist()  # read by each of the aggregates below
     check_inputs(species, env)
     means, g, c, names, sums = cross_products(species, env, variables)
     coef, s, v = _solve(g, c)
@@ -173,11 +174,13 @@ def cca(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int
     off = cells.join(lc, "id").groupBy("species").agg(F.array(*[F.sqrt(F.sum(F.col("x") * F.pow(F.col("lc")[a] - F.col("u")[a], F.lit(2.0))) / F.sum("x")) for a in range(k)]).alias("t"))
     found = {r["species"]: r["t"] for r in off.collect()}  # a row per species
     out.tolerances = np.array([found[n] for n in names])
+    species.unpersist(), env.unpersist()  # the tables of sites are made again from their sources
     return out.trimmed(axes) if axes else out
 
 
 def rda(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int | None = None) -> Ordination:
     """Redundancy analysis: as cca, without weights, on centered abundances."""
+    species, env = species.persist(), env.persist()  # read by each of the aggregates below
     check_inputs(species, env)
     means, g, c, names, sums = cross_products(species, env, variables, weighted=False)
     n = sums["n"]
@@ -201,6 +204,7 @@ def rda(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int
     off = spread.groupBy("species").agg(F.array(*[F.sqrt(F.sum(F.col("x") * F.pow(F.col("lc")[a] - F.col("u")[a], F.lit(2.0))) / F.sum("x")) for a in range(len(s))]).alias("t"))
     found = {r["species"]: r["t"] for r in off.collect()}  # a row per species
     out.tolerances = np.array([found[m] for m in names])
+    species.unpersist(), env.unpersist()
     return out.trimmed(axes) if axes else out
 
 

@@ -40,6 +40,7 @@ class Context:
     max_neighbors: int = 100
     deviations: dict[str, float] = field(default_factory=dict)
     class_inputs: tuple[str, str, str] = ("QMD_DOM", "BAH_PROP", "CANCOV")
+    given_bins: dict[str, list[float]] = field(default_factory=dict)  # edges, e.g. of tables.read_bins
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,9 @@ def error_matrices(c: Context, predicted: str = "independent") -> dict[str, Data
     matrices, bins = [], []
     for name in [*c.continuous, *c.categorical]:
         pairs = accuracy.pair(c.tables["observed"], c.tables[predicted], "id", [name])
-        if name in c.categorical:
+        if name in c.given_bins:
+            edges = binning.custom_edges(c.given_bins[name])
+        elif name in c.categorical:
             edges = binning.code_edges(c.categorical[name])
         else:
             both = pairs.select(F.col(f"{name}_O").alias("v")).unionByName(pairs.select(F.col(f"{name}_P").alias("v")))
@@ -95,10 +98,13 @@ def _class_pairs(c: Context, predicted: str = "independent") -> DataFrame:
     return o.select("id", F.col("class").alias("observed")).join(p.select("id", F.col("class").alias("predicted")), "id")
 
 
-def class_accuracy(pairs: DataFrame, fuzzy: DataFrame | None = None) -> dict[str, DataFrame]:
+def class_accuracy(pairs: DataFrame, fuzzy: DataFrame | None = None, classes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Matrix, totals and kappas of observed and predicted classes; without fuzzy sets a class
-    is equal to itself alone."""
-    matrix = classify.error_matrix(pairs)
+    is equal to itself alone. ``classes`` (class): all that the classifier knows, so that those
+    without plots have rows too; by default those of the fuzzy sets, or else of the pairs."""
+    if classes is None and fuzzy is not None:
+        classes = fuzzy.select("class").distinct()
+    matrix = classify.error_matrix(pairs, classes)
     out = {"class_matrix": matrix, "class_totals": classify.totals(matrix, fuzzy), "kappa": classify.kappa(matrix), "kappa_by_class": classify.kappa_by_class(matrix)}
     if fuzzy is not None:
         out |= {"fuzzy_kappa": classify.fuzzy_kappa(matrix, fuzzy), "fuzzy_kappa_by_class": classify.kappa_by_class(matrix, fuzzy)}
@@ -111,10 +117,11 @@ def vegclass(c: Context) -> dict[str, DataFrame]:
 
 
 def regional(c: Context) -> dict[str, DataFrame]:
-    """Areas per bin of the observed plots and of predicted pixels, and adjusted areas.
+    """Areas per bin of the observed plots and of predicted pixels, adjusted areas, and what
+    they are made from: plots with their predictions, error matrices and bins.
     ``area``: id, HECTARES, attributes; ``raster``: variable, value, area."""
     special, plots = classify.sentinel_areas(c.tables["area"], "id", "HECTARES")
-    areas, adjusted = [], []
+    areas, adjusted, matrices, bins, plotted = [], [], [], [], []
     for name in c.continuous:
         predicted = c.tables["raster"].where(F.col("variable") == name)
         own = plots.select(F.col(name).cast("double").alias("v"))
@@ -128,8 +135,11 @@ def regional(c: Context) -> dict[str, DataFrame]:
         areas.append(p.withColumns({"dataset": F.lit("PREDICTED"), "variable": F.lit(name)}))
         pairs = accuracy.pair(c.tables["observed"], c.tables["independent"], "id", [name])
         matrix = binning.error_matrix_binned(pairs, F.col(f"{name}_O"), F.col(f"{name}_P"), edges).select(F.col("observed_class").alias("observed"), F.col("predicted_class").alias("predicted"), "n")
+        matrices.append(matrix.withColumn("variable", F.lit(name)))
+        plotted.append(pairs.select("id", F.lit(name).alias("variable"), F.col(f"{name}_O").cast("double").alias("observed"), F.col(f"{name}_P").cast("double").alias("predicted")))
+        bins.append(special.sparkSession.createDataFrame([(name, k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:]), 1)], "variable string, class int, low double, high double"))
         adjusted.append(classify.adjusted_area(matrix, p.select(F.col("bin").alias("class"), "area")).withColumn("variable", F.lit(name)))
-    return {"regional_accuracy": _union(areas), "adjusted_area": _union(adjusted)}
+    return {"regional_accuracy": _union(areas), "adjusted_area": _union(adjusted), "predicted_plots": _union(plotted), "regional_error_matrix": _union(matrices), "regional_bins": _union(bins)}
 
 
 def multiscale(c: Context) -> dict[str, DataFrame]:

@@ -78,6 +78,23 @@ def write_zonal(records: DataFrame, path: str, id_col: str = "FCID") -> None:
     write_csv(out, path, 8)
 
 
+def write_bins(bins: DataFrame, path: str) -> None:
+    """VARIABLE, CLASS, LOW, HIGH of bins (variable, class, low, high)."""
+    write_csv(bins.select(F.col("variable").alias("VARIABLE"), F.col("class").alias("CLASS"), F.col("low").alias("LOW"), F.col("high").alias("HIGH")), path, 8, ["VARIABLE", "CLASS"])
+
+
+def read_bins(spark: SparkSession, path: str) -> dict[str, list[float]]:
+    """Edges by variable, from a CSV file with columns VARIABLE, LOW and HIGH (others are
+    ignored): the lows in order, then the last high."""
+    header = spark.read.option("header", True).csv(path).columns
+    missing = {"VARIABLE", "LOW", "HIGH"} - set(header)
+    if missing:
+        raise ValueError(f"no column {', '.join(sorted(missing))}")
+    schema = T.StructType([T.StructField(c, T.DoubleType() if c in ("LOW", "HIGH") else T.StringType()) for c in header])
+    rows = spark.read.schema(schema).option("header", True).csv(path).groupBy("VARIABLE").agg(F.sort_array(F.collect_list("LOW")).alias("low"), F.max("HIGH").alias("high"))
+    return {r["VARIABLE"]: [*r["low"], r["high"]] for r in rows.collect()}  # a row per variable
+
+
 def scalars(spark: SparkSession, path: str) -> DataFrame:
     """ATTR, SCALAR, K of attribute rasters."""
     return read_table(spark, path, "ATTR string, SCALAR double, K int")

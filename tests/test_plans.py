@@ -59,7 +59,7 @@ def test_commands_end_to_end(spark):
     attrs = s.withColumnRenamed("FCID", "id").withColumn("code", (F.col("id") % 3).cast("int"))
     cross = attrs.select("id", F.floor(F.col("id") / 3).alias("loc_id"))
     hexes = attrs.select("id", (F.col("id") % 5).alias("h"))
-    v = commands.cross_validate(p, m, env, attrs, cross, ["a", "b"], ["code"], ["c"], {"hex": hexes}, {"species": ["c"]} if False else None)
+    v = commands.cross_validate(p, m, env, attrs, cross, ["a", "b"], ["code"], ["c"], {"hex": hexes}, None)
     assert v["dependent"].where("a is null").count() == 0
     own = v["zonal"].where("neighbor = 1 and id = neighbor_id").count()
     assert own == 60
