@@ -29,13 +29,14 @@ tables give no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, read, staged, text_or_empty
+from .shared import drop_staged, partitions, possible, read, staged, staged_folders, text_or_empty
 from .suffix_grouping import suffix_array
 
 WINDOW = 400
@@ -50,9 +51,6 @@ MOST = 2000
 SYMBOL = 40
 #: Snippets in a suffix array, about; whole cores only.
 BATCH = 12_000
-#: Rows up to which the places of snippets are broadcast (about 60 bytes each, 40 MB in all);
-#: beyond it the texts are shuffled to them.
-BROADCAST_ROWS = 650_000
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
@@ -85,15 +83,60 @@ def places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of a text: start of the core, and least and greatest number of bytes before it at
     which one of its windows starts."""
     found, n = anchors(data), len(data)
-    reach = np.minimum(np.diff(np.append(-1, found)) - 1, FAR)
-    rows = [(found[reach >= j * STEP] - j * STEP, reach[reach >= j * STEP] - j * STEP) for j in range(FAR // STEP + 1)]
-    start = np.concatenate([r[0] for r in rows])
-    most = np.minimum(np.concatenate([r[1] for r in rows]), STEP - 1)
+    reach = np.minimum(np.diff(found, prepend=-1) - 1, FAR)
+    times = reach // STEP + 1
+    back = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    back *= STEP
+    start = np.repeat(found, times) - back
+    most = np.minimum(np.repeat(reach, times) - back, STEP - 1)
     least = np.maximum(0, start + WINDOW - n)
     keep = least <= most
     return start[keep], least[keep], most[keep]
 
 
+_RATIO = 0x9E3779B97F4A7C15
+_STRETCH = 1 << 17
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 to the 64."""
+    n = _STRETCH + CORE
+    out = []
+    for base in (_RATIO, pow(_RATIO, -1, 1 << 64)):
+        x = np.full(n, base, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return out[0], out[1]
+
+
+def core_keys(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ``CORE`` bytes from each start: sums of mixed 8-byte grams times
+    powers, from running sums. They choose candidates only; digests decide."""
+    out = np.empty(len(start), dtype=np.uint64)
+    up, down = _powers()
+    many = len(data) > _STRETCH
+    for lo in range(0, len(data), _STRETCH):
+        own = np.flatnonzero((start >= lo) & (start < lo + _STRETCH)) if many else slice(None)
+        at = start[own] - lo
+        if not len(at):
+            continue
+        with np.errstate(over="ignore"):
+            x = data[lo : lo + _STRETCH + CORE].astype(np.uint64)
+            for step in (1, 2, 4):
+                x = x[:-step] | (x[step:] << np.uint64(8 * step))
+            x *= np.uint64(0xC2B2AE3D27D4EB4F)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xFF51AFD7ED558CCD)
+            x ^= x >> np.uint64(32)
+            x *= up[: len(x)]
+            sums = np.cumsum(x)
+            h = (sums[at + CORE - 8] - np.where(at > 0, sums[at - 1], np.uint64(0))) * down[at]
+            h ^= h >> np.uint64(31)
+            out[own] = h * np.uint64(0xFF51AFD7ED558CCD)
+    return out
+
+
 def _valid(least: int, most: int) -> int:
     return ((1 << (most + 1)) - 1) & ~((1 << least) - 1)
 
@@ -159,13 +202,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     own_hash = xxhash.xxh3_64_intdigest
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) >= WINDOW:
-                    start, _, _ = places(np.frombuffer(raw, np.uint8))
-                    found = np.fromiter((own_hash(raw[s : s + CORE]) for s in start.tolist()), dtype=np.uint64, count=len(start))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["key"])
+                    data = np.frombuffer(raw, np.uint8)
+                    held.append(core_keys(data, places(data)[0]))
+                    n += len(held[-1])
+                if n > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["key"])
+                    held, n = [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], names=["key"])
 
     twice = docs.select("text").mapInArrow(keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bit = F.pmod(F.col("key"), F.lit(BITS))
@@ -178,21 +227,38 @@ def repeats(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         names = ["doc_id", "tk", "key", "digest", "start", "least", "most"]
+        owners: list[tuple[int | None, int, int]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def done() -> pa.RecordBatch:
+            own = [pa.array([x[k] for x in owners for _ in range(x[2])], pa.int64()) for k in (0, 1)]
+            rest = [pa.array(np.concatenate([x[k] for x in parts]).view(np.int64)) for k in range(5)]
+            owners.clear(), parts.clear()
+            return pa.RecordBatch.from_arrays([*own, *rest], names=names)
+
+        n = 0
         for batch in batches:
-            found = []
             for own, tk, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) < WINDOW:
                     continue
-                for s, a, b in zip(*(x.tolist() for x in places(np.frombuffer(raw, np.uint8)))):
-                    key = _signed(own_hash(raw[s : s + CORE]))
-                    at = key % BITS
-                    if bits[at >> 3] >> (at & 7) & 1:
-                        found.append((own, tk, key, _signed(own_hash(raw[s - b : s + WINDOW - a], seed=a * 64 + b)), s, a, b))
-                if len(found) > 20_000:
-                    yield _batches(found, names, [pa.int64()] * 7)
-                    found = []
-            yield _batches(found, names, [pa.int64()] * 7)
+                data = np.frombuffer(raw, np.uint8)
+                start, least, most = places(data)
+                key = core_keys(data, start)
+                at = (key & np.uint64(BITS - 1)).astype(np.int64)
+                hit = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                if not len(hit):
+                    continue
+                start, least, most = start[hit], least[hit], most[hit]
+                digest = np.array([own_hash(raw[s - b : s + WINDOW - a], seed=a * 64 + b) for s, a, b in zip(start.tolist(), least.tolist(), most.tolist())], dtype=np.uint64)
+                owners.append((own, tk, len(hit)))
+                parts.append((key[hit], digest, start, least, most))
+                n += len(hit)
+                if n > 50_000:
+                    yield done()
+                    n = 0
+        if n:
+            yield done()
 
     cand = staged(docs.select("doc_id", "tk", "text").mapInArrow(rows, "doc_id long, tk long, key long, digest long, start long, least long, most long"), "rows")
     shared.destroy()
@@ -202,20 +268,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     different = staged(kinds.join(cores, "key").select("key", "digest", "d", "of.*"), "different")
     at = different.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "digest", "d", "start", "least", "most")).alias("spots"))
     at = at.select(F.col("doc_id").alias("of_id"), F.col("tk").alias("of_tk"), "spots")
-    if different.count() <= BROADCAST_ROWS:
-        at = F.broadcast(at)
-    where = docs.join(at, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tk") == F.col("of_tk"))).select("text", "spots")
+    where = possible(docs, different, ["doc_id", "tk"]).join(at, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tk") == F.col("of_tk"))).select("text", "spots")
 
     def snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["key", "digest", "d", "least", "most", "before", "after"], [pa.int64()] * 5 + [pa.binary()] * 2
+        found: list[tuple] = []
         for batch in batches:
             for r in range(batch.num_rows):
                 raw = batch.column(0)[r].as_py().encode("utf-8", "surrogatepass")
-                found = [(x["key"], x["digest"], x["d"], x["least"], x["most"], raw[x["start"] - x["most"] : x["start"]], raw[x["start"] : x["start"] + WINDOW - x["least"]]) for x in batch.column(1)[r].as_py()]
-                yield _batches(found, names, types)
+                found += [(x["key"], x["digest"], x["d"], x["least"], x["most"], raw[x["start"] - x["most"] : x["start"]], raw[x["start"] : x["start"] + WINDOW - x["least"]]) for x in batch.column(1)[r].as_py()]
+                if len(found) > 10_000:
+                    yield _batches(found, names, types)
+                    found = []
+        yield _batches(found, names, types)
 
     cut = where.mapInArrow(snippets, "key long, digest long, d long, least long, most long, before binary, after binary")
     cut = staged(cut, "snippets")
+    drop_staged(spark, staged_folders()[-2:-1])  # the places of different snippets
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -251,6 +320,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     valid = F.call_function("shiftleft", F.lit(-1).cast("long"), F.col("of.least").cast("int")).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (F.lit(63) - F.col("of.most")).cast("int")))
     equal = kinds.where("n > 1").select("key", "digest", valid.alias("mask"))
     masks = equal.unionByName(by_array).unionByName(by_hash).groupBy("key", "digest").agg(F.bit_or("mask").alias("mask"))
+    masks = staged(masks, "masks")  # both sides are tables: the rows of a hot snippet can be split among tasks
     return cand.join(masks, ["key", "digest"]).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
 
 

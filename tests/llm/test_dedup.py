@@ -49,6 +49,30 @@ def test_suffix_dedup(spark, monkeypatch, most):
     assert suffix_dedup.deduplicated(df.limit(0)).count() == 0
 
 
+def test_core_keys(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_STRETCH", 700)
+    suffix_dedup._powers.cache_clear()
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    data[3000:3900] = data[100:1000]
+    start = np.arange(0, 5000 - suffix_dedup.CORE)
+    keys = suffix_dedup.core_keys(data, start)
+    by_text = collections.defaultdict(set)
+    for s, k in zip(start.tolist(), keys.tolist()):
+        by_text[data[s : s + suffix_dedup.CORE].tobytes()].add(k)
+    assert all(len(x) == 1 for x in by_text.values()) and len(set(keys.tolist())) == len(by_text) < len(start)
+    suffix_dedup._powers.cache_clear()
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh \n") for _ in range(300_000))
+    rows = [(1, long), (2, "before " + long[150_000:151_000] + " after"), (3, long[299_500:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.deduplicated(df).collect()}
+    assert got == {1: (300_000, 1500, 2), 2: (1013, 1000, 1), 3: (500, 500, 1)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
