@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -49,13 +50,19 @@ def staged_folders() -> list[str]:
 
 def drop_staged(spark: SparkSession, folders: list[str]) -> None:
     """Delete folders of staged tables through the file system that owns them. What reads
-    them must be done by then."""
+    them must be done by then.
+
+    Plans that read them are garbage then; collecting it on the driver also lets Spark's
+    cleaner remove their shuffle files and broadcasts, which it does only after a collection.
+    """
     jvm = spark.sparkContext._jvm
     for path in folders:
         if path in _folders:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
             _folders.remove(path)
+    gc.collect()
+    jvm.System.gc()
 
 
 _held: dict[Any, Any] = {}
