@@ -226,3 +226,7 @@ def test_gradients():
         down = loss()
         w[name][at] = old
         assert slopes[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_weights_start_from_some_documents_at_every_size():
+    assert [attention_lm._drawn(n) for n in (0, 1, 1200, 12_000, 10**10, 10**15)] == [1_000_000, 1_000_000, 1_000_000, 100_000, 1, 1]
