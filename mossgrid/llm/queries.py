@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention_lm, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity
+from . import attention_lm, bpe_trie, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op10_ngram_join": ngram_join.query,
     "op9_license_digests": licenses.query,
+    "op13_bpe_trie": bpe_trie.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
