@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention_lm, bpe_trie, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity
+from . import attention_lm, bpe_trie, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity, turn_repair
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op10_ngram_join": ngram_join.query,
     "op9_license_digests": licenses.query,
+    "op11_turn_repair": turn_repair.query,
     "op13_bpe_trie": bpe_trie.query,
 }
 
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_templates": line_templates.SQL,
     "op5_quality_cascade": quality.SQL,
     "op9_license_digests": licenses.SQL,
+    "op11_turn_repair": turn_repair.SQL,
 }
