@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention_lm, bpe_trie, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity, turn_repair
+from . import attention_lm, bpe_trie, decontaminate, licenses, line_templates, ngram_join, packing, quality, suffix_dedup, token_planes, toxicity, turn_repair, turn_trie
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.query,
     "op9_license_digests": licenses.query,
     "op11_turn_repair": turn_repair.query,
+    "op12_turn_trie": turn_trie.query,
     "op13_bpe_trie": bpe_trie.query,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_cascade": quality.SQL,
     "op9_license_digests": licenses.SQL,
     "op11_turn_repair": turn_repair.SQL,
+    "op12_turn_trie": turn_trie.SQL,
 }
