@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mossgrid.functions import stats
 
+from . import ordering
+
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
     missing = [c for c in names if c not in df.columns]
@@ -40,28 +42,29 @@ def long_pairs(observed: DataFrame, predicted: DataFrame, id_col: str, variables
     return wide.select(id_col, F.inline(F.array(*each)))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, name: str, cells: int = 1024) -> DataFrame:
-    """Adds the average rank (ties share their mean) of ``value`` within ``by``.
-
-    Ranks are made on distinct values and their counts and joined back. Running counts are
-    made in two steps, over equal ranges of values and then inside each, so that no task
-    sorts all values of a group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ends = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    place = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * cells), F.lit(0))
-    ranged = counts.join(ends, by).withColumn("_c", F.least(place, F.lit(cells - 1)).cast("int"))
-    sums = ranged.groupBy(*by, "_c").agg(F.sum("_n").alias("_t"))
-    before = sums.select(*by, "_c", (F.sum("_t").over(Window.partitionBy(*by).orderBy("_c")) - F.col("_t")).alias("_b"))
-    inside = F.sum("_n").over(Window.partitionBy(*by, "_c").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = ranged.join(before, [*by, "_c"]).select(*by, value, (F.col("_b") + inside - (F.col("_n") - 1) / F.lit(2.0)).alias(name))
-    return df.join(ranks, [*by, value])
+def average_rank(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the average rank (ties share their mean) of ``value`` within ``by``; rows without
+    a value go. Ranks are made on distinct values and their counts and joined back."""
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return ordering.with_common_spread(known, ordering.average_ranks(counts, by, value, name, "_n"), counts, by, value, "_n")
 
 
 def spearman(pairs: DataFrame, by: list[str], o: str = "observed", p: str = "predicted") -> DataFrame:
-    """Pearson's r of the average ranks; 0 if either side is all zero."""
-    ranked = average_rank(average_rank(pairs.select(*by, o, p), by, o, "_ro"), by, p, "_rp")
-    r = F.when(stats.all_zero(F.col(o)) | stats.all_zero(F.col(p)), F.lit(0.0)).otherwise(stats.pearson(F.col("_ro"), F.col("_rp")))
-    return ranked.groupBy(*by).agg(r.alias("spearman_r"))
+    """Pearson's r of the average ranks; 0 if either side is all zero. Over rows that have
+    both values; equal pairs are counted first."""
+    kinds = pairs.where(F.col(o).isNotNull() & F.col(p).isNotNull()).groupBy(*by, o, p).agg(F.count(F.lit(1)).alias("_k"))
+    ranked = kinds
+    for value, name in ((o, "_ro"), (p, "_rp")):  # a common value has few rows here, as many as partners
+        counts = kinds.groupBy(*by, value).agg(F.sum("_k").alias("_n"))
+        ranked = ranked.join(ordering.average_ranks(counts, by, value, name, "_n"), [*by, value])
+    n, x, y = F.col("_k"), F.col("_ro"), F.col("_rp")
+    sums = ranked.groupBy(*by).agg(
+        F.sum(n).alias("n"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), stats.all_zero(F.col(o)).alias("zero_o"), stats.all_zero(F.col(p)).alias("zero_p"),
+    )
+    mean = F.col("n") * (F.col("n") + 1.0) * (F.col("n") + 1.0) / 4.0  # ranks have the mean (n + 1) / 2
+    r = F.try_divide(F.col("xy") - mean, F.sqrt(F.col("xx") - mean) * F.sqrt(F.col("yy") - mean))
+    return sums.select(*by, F.when(F.col("zero_o") | F.col("zero_p"), F.lit(0.0)).otherwise(r).alias("spearman_r"))
 
 
 def local_accuracy(pairs: DataFrame, by: str = "variable", o: str = "observed", p: str = "predicted") -> DataFrame:

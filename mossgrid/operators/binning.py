@@ -10,9 +10,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+
 #: Added to the last edge so that the greatest value falls into the last class.
 TOP = 1e-4
 
@@ -33,17 +35,12 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
 
 def weighted_quantiles(counts: DataFrame, shares: Sequence[float], value: str = "value", n: str = "n") -> list[float]:
     """Linear quantiles of values repeated ``n`` times, without repeating them: the wanted
-    places are looked up in the running count of distinct values, which is made in two steps
-    (value ranges first) so that no task sees all values."""
+    places are looked up in the running count of distinct values."""
     total = counts.agg(F.sum(n).alias("n")).first()["n"] or 0
     if not total:
         return []
     places = sorted({k for q in shares for k in (math.floor(q * (total - 1)), min(total - 1, math.floor(q * (total - 1)) + 1))})
-    lo, hi = span(counts, value)
-    width = (hi - lo) / 1024 or 1.0
-    ranged = counts.withColumn("_r", F.least(F.lit(1023), F.floor((F.col(value) - lo) / width)).cast("int"))
-    before = ranged.groupBy("_r").agg(F.sum(n).alias("_t")).select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_b"))
-    run = ranged.join(F.broadcast(before), "_r").withColumn("_c", F.col("_b") + F.sum(n).over(Window.partitionBy("_r").orderBy(value)))
+    run = ordering.running(counts, [], value, n).withColumn("_c", F.col("before") + F.col(n))
     hit = run.agg(*[F.min(F.when(F.col("_c") > k, F.col(value))).alias(str(k)) for k in places]).first()
     found = {k: float(hit[str(k)]) for k in places}
     out = []
@@ -135,15 +132,9 @@ def _jenks_many(values: np.ndarray, n: np.ndarray, total: np.ndarray, squares: n
     return [x - 1 for x in ends[::-1]]
 
 
-def _placed(counts: DataFrame, total: int) -> DataFrame:
-    """value, n and a, the rows before the value, of counts per value; in value ranges first,
-    so that no task sorts all values."""
-    lo, hi = span(counts, "value") if total else (0.0, 0.0)
-    width = (hi - lo) / 1024 or 1.0
-    ranged = counts.withColumn("_r", F.least(F.lit(1023), F.floor((F.col("value") - lo) / width)).cast("int"))
-    before = ranged.groupBy("_r").agg(F.sum("n").alias("_t")).select("_r", (F.sum("_t").over(Window.orderBy("_r")) - F.col("_t")).alias("_b"))
-    start = F.col("_b") + F.sum("n").over(Window.partitionBy("_r").orderBy("value")) - F.col("n")
-    return ranged.join(F.broadcast(before), "_r").select("value", "n", start.alias("a"))  # 1024 rows at most
+def _placed(counts: DataFrame) -> DataFrame:
+    """value, n and a, the rows before the value, of counts per value."""
+    return ordering.running(counts, [], "value", "n", "a").select("value", "n", "a")
 
 
 def natural_edges(df: DataFrame, value: str, bins: int = 10, most: int = 2000, exact: int = 500_000) -> list[float]:
@@ -162,7 +153,7 @@ def natural_edges(df: DataFrame, value: str, bins: int = 10, most: int = 2000, e
     if about["kinds"] <= exact:
         groups = counts.groupBy("value").agg(*sums)
     else:
-        groups = _placed(counts, about["n"]).groupBy(F.floor(F.col("a") * F.lit(exact / about["n"])).alias("g")).agg(*sums)
+        groups = _placed(counts).groupBy(F.floor(F.col("a") * F.lit(exact / about["n"])).alias("g")).agg(*sums)
     rows = groups.select("top", "w", "s", "q").toArrow().sort_by("top")
     top, w, s, q = (rows[c].to_numpy().astype(np.float64) for c in ("top", "w", "s", "q"))
     return [float(about["least"]), *(float(top[k]) for k in _jenks_many(top, w, s, q, bins))]
@@ -252,12 +243,11 @@ def unique_values(df: DataFrame, value: str) -> DataFrame:
 def systematic_sample(df: DataFrame, value: str, most: int) -> DataFrame:
     """About ``most`` rows at equal steps of the sorted values, with the least and greatest.
 
-    Places come from counts per value range and running counts inside a range, so no task
-    sorts all rows. Fewer rows than ``most``: all of them."""
+    Places come from running counts, so no task sorts all rows. Fewer rows than ``most``: all of them."""
     counts = value_counts(df, value)
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     step = max(1, total // most)
-    placed = _placed(counts, total)
+    placed = _placed(counts)
     hits = F.floor((F.col("a") + F.col("n") - 1) / step) - F.floor((F.col("a") - 1) / step)
     last = ((F.col("a") + F.col("n") == total) & F.lit((total - 1) % step != 0)).cast("int")
     return placed.select("value", (hits + last).cast("int").alias("k")).where("k > 0").select(F.explode(F.array_repeat("value", F.col("k"))).alias(value))
