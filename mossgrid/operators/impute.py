@@ -47,6 +47,19 @@ def predict_categorical(neighbors: DataFrame, attributes: DataFrame, categorical
     return near.join(values, "neighbor_id").groupBy("id").agg(*[F.mode(c, True).alias(c) for c in categorical])
 
 
+def predict_all(neighbors: DataFrame, attributes: DataFrame, k: int, weights: str | Sequence[float] = "INVERSE_DISTANCES", continuous: Sequence[str] = (), categorical: Sequence[str] = (), species: Sequence[str] = (), crosswalk: DataFrame | None = None) -> DataFrame:
+    """All groups of attributes by one join and one aggregate each for pixels and plots:
+    continuous ones as ``predict`` has them, categorical ones as ``predict_categorical``, and
+    the first neighbor's species, averaged over a plot's pixels. No neighbor left: nulls."""
+    near = top_k(independent(neighbors, crosswalk) if crosswalk is not None else neighbors, k)
+    near = weigh(near, k, weights).select("id", "pixel_number", "neighbor_id", F.col("w").alias("own weight"), F.col("rank").alias("own rank"))
+    values = attributes.select(F.col("id").alias("neighbor_id"), *[F.col(c).alias(c) for c in dict.fromkeys([*continuous, *categorical, *species])])
+    first = [F.max(F.when(F.col("own rank") == 1, F.col(c))).alias(f"first {c}") for c in dict.fromkeys([*categorical, *species])]
+    pixels = near.join(values, "neighbor_id").groupBy("id", "pixel_number").agg(*[F.sum(F.col("own weight") * F.col(c)).alias(c) for c in continuous], *first, F.count(F.lit(1)).alias("neighbors"))
+    plots = pixels.groupBy("id").agg(F.sum("neighbors").alias("neighbors"), *[F.avg(c).alias(c) for c in continuous], *[F.mode(f"first {c}", True).alias(c) for c in categorical], *[F.avg(f"first {c}").alias(c) for c in species])
+    return neighbors.select("id").distinct().join(plots.drop("neighbors"), "id", "left")
+
+
 def zonal(neighbors: DataFrame, k: int) -> DataFrame:
     """id, pixel_number, neighbor (from 1), neighbor_id, distance."""
     return top_k(neighbors, k).select("id", "pixel_number", F.col("rank").alias("neighbor"), "neighbor_id", "distance")

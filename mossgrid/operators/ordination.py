@@ -63,6 +63,20 @@ def species_long(matrix: DataFrame, id_col: str, transform: str = "NONE") -> Dat
     return out.where("x <> 0")
 
 
+def downweighted(species: DataFrame, fraction: float = 5.0) -> DataFrame:
+    """Rare species count less: abundances of a species whose frequency (square of its sum
+    over its sum of squares) is below that of the most frequent one divided by ``fraction``
+    are multiplied by the ratio of the two. A fraction below 1 is taken as its inverse.
+    Null abundances count for nothing and stay; no rows give none."""
+    if fraction <= 0:
+        raise ValueError("the fraction must be positive")
+    often = species.groupBy("species").agg(F.coalesce(F.try_divide(F.sum("x") * F.sum("x"), F.sum(F.col("x") * F.col("x")) + 1e-10), F.lit(0.0)).alias("often"))
+    least = often.agg((F.max("often") / F.lit(max(fraction, 1 / fraction))).alias("least"))  # one row
+    weight = F.coalesce(F.least(F.try_divide("often", "least"), F.lit(1.0)), F.lit(1.0))
+    weights = often.crossJoin(F.broadcast(least)).select("species", weight.alias("weight"))
+    return species.join(weights, "species").select("id", "species", (F.col("x") * F.col("weight")).alias("x"))
+
+
 def check_inputs(species: DataFrame, env: DataFrame) -> None:
     """Same ids on both sides, all sums positive."""
     ids = species.groupBy("id").agg(F.sum("x").alias("s"))
@@ -248,7 +262,9 @@ def dbrda(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: in
 METHODS = {("numpy", "CCA"): cca, ("numpy", "RDA"): rda, ("vegan", "CCA"): cca, ("vegan", "RDA"): rda, ("vegan", "DBRDA"): dbrda, ("sknnr", "CCA"): cca}
 
 
-def fit(program: str, metric: str, species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int | None = None) -> Ordination:
+def fit(program: str, metric: str, species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int | None = None, downweighting: bool = False) -> Ordination:
+    """``downweighting`` is an option of the program vegan; others leave it out of account."""
     if (program, metric) not in METHODS:
         raise ValueError(f"no method for {program} and {metric}")
-    return METHODS[program, metric](species, env, variables, axes)
+    own = downweighted(species) if downweighting and program == "vegan" else species
+    return METHODS[program, metric](own, env, variables, axes)

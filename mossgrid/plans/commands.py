@@ -11,6 +11,7 @@ from mossgrid.operators import impute as imputing
 from mossgrid.operators import neighbors, ordination, rasters
 from mossgrid.plans import diagnostics
 from mossgrid.sources import model_file
+from mossgrid.sources import tables as table_files
 from mossgrid.sources.small_files import Parameters
 
 
@@ -20,7 +21,7 @@ def build_model(parameters: Parameters, species: DataFrame, env: DataFrame, path
     key = parameters.plot_id
     x = ordination.species_long(species, key, own.transform)
     names = own.names(parameters.model_year)
-    model = ordination.fit(own.program, own.metric, x, env.select(F.col(key).cast("long").alias("id"), *[F.col(v).cast("double").alias(v) for v in names]), names)
+    model = ordination.fit(own.program, own.metric, x, env.select(F.col(key).cast("long").alias("id"), *[F.col(v).cast("double").alias(v) for v in names]), names, downweighting=bool(own.downweighting))
     if path:
         model_file.write(model, species.sparkSession, path)
     return model
@@ -57,12 +58,7 @@ def predictions(parameters: Parameters, near: DataFrame, attributes: DataFrame,
     """All groups of attributes in one table: continuous ones by k and weights, categorical
     ones and species by the first neighbor."""
     own = parameters.imputation
-    out = imputing.predict(near, attributes, continuous, own.k, own.weight_list(), crosswalk)
-    if categorical:
-        out = out.join(imputing.predict_categorical(near, attributes, categorical, crosswalk), "id", "left")
-    if species:
-        out = out.join(imputing.predict(near, attributes, species, 1, "EQUAL", crosswalk), "id", "left")
-    return out
+    return imputing.predict_all(near, attributes, own.k, own.weight_list(), continuous, categorical, species, crosswalk)
 
 
 def cross_validate(parameters: Parameters, model: ordination.Ordination, env: DataFrame, attributes: DataFrame, crosswalk: DataFrame, continuous: Sequence[str], categorical: Sequence[str] = (), species: Sequence[str] = (), tables: dict[str, DataFrame] | None = None, settings: dict | None = None) -> dict:
@@ -94,10 +90,32 @@ def run_diagnostics(parameters: Parameters, observed: DataFrame, predicted: Data
     return diagnostics.run(parameters.accuracy.diagnostics, context, diagnostics.ACCURACY)
 
 
-def new_targets(parameters: Parameters, model: ordination.Ordination, env: DataFrame, targets: DataFrame, attributes: DataFrame, continuous: Sequence[str]) -> dict[str, DataFrame]:
-    """Neighbors and predictions of the ids of a target table."""
-    near = find_neighbors(parameters, model, env.join(targets.select("id"), "id", "left_semi")).persist()
-    return {"neighbors": near, "predicted": predictions(parameters, near, attributes, continuous, (), (), None)}
+def new_targets(parameters: Parameters, model: ordination.Ordination, env: DataFrame, targets: DataFrame, attributes: DataFrame, continuous: Sequence[str], crosswalk: DataFrame | None = None, categorical: Sequence[str] = (), species: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Neighbors of the ids of a target table, and from them, with all groups of attributes,
+    ``dependent`` and ``independent`` predictions and zonal records. ``targets`` has id, and
+    place where its order matters; predictions then have an id's first place. Without a
+    crosswalk there are no independent tables. ``neighbors`` is persisted; release it when
+    the tables are written."""
+    order = targets.groupBy("id").agg(F.min("place").alias("place")) if "place" in targets.columns else targets.select("id").distinct()
+    near = find_neighbors(parameters, model, env.join(order.select("id"), "id", "left_semi")).persist()
+    out = {"neighbors": near}
+    for name, own in [("dependent", None), *([("independent", crosswalk)] if crosswalk is not None else [])]:
+        left = near if own is None else neighbors.independent(near, own)
+        out[name] = predictions(parameters, near, attributes, continuous, categorical, species, own).join(order, "id")
+        out[f"zonal_{name}"] = imputing.zonal(left, parameters.imputation.k)
+    return out | {"predicted": out["dependent"]}
+
+
+def write_new_targets(found: dict[str, DataFrame], predicted_prefix: str, zonal_prefix: str, id_col: str = "FCID") -> None:
+    """The tables of new_targets as CSV files under the names that a command line gives:
+    predictions in the order of the target list (else of ids), records in that of ids."""
+    for name in ("independent", "dependent"):
+        if name not in found:
+            continue
+        own = found[name]
+        order = own.orderBy("place", "id").drop("place") if "place" in own.columns else own.orderBy("id")
+        table_files.write_csv(order.withColumnRenamed("id", id_col), f"{predicted_prefix}_{name}.csv")
+        table_files.write_zonal(found[f"zonal_{name}"].orderBy("id", "pixel_number", "neighbor"), f"{zonal_prefix}_pixel_{name}.csv", id_col)
 
 
 def build_attribute_raster(near: DataFrame, attributes: DataFrame, attribute: str, mask: DataFrame, k: int, scalar: float = 1.0, weights: Sequence[float] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mossgrid.operators import accuracy, binning, classify, impute, neighbors, ordination, rasters
+from mossgrid.sources import tables
 
 AXES, K, MOST = 8, 7, 24
 FLAGSHIP = "impute_continuous"
@@ -58,6 +59,29 @@ def knn_independent(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.top_k(neighbors.independent(near, p.select("id", "loc_id")), K).select("id", "rank", "neighbor_id", _r("distance").alias("distance"))
 
 
+def knn_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve nearest of moved plots in small cells and blocks, the same reference kept in cells."""
+    p = plots(spark, d)
+    moved = p.withColumn("scores", F.transform("scores", lambda x, k: x + F.sin(F.col("id") * 7 + k) / 10))
+    index = neighbors.build_index(p, 12, cell_rows=40, block_rows=16)
+    return neighbors.search(moved, index, 12).select("id", "rank", "neighbor_id", _r("distance").alias("distance"))
+
+
+def impute_all_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Four rows make a plot: a by inverse distances, label by majority, b of the first neighbor."""
+    p, near = _near(spark, d)
+    pixels = neighbors.independent(near, p.select("id", "loc_id")).withColumns({"pixel_number": (F.col("id") % 4).cast("int"), "id": F.floor(F.col("id") / 4)})
+    out = impute.predict_all(pixels, p, K, "INVERSE_DISTANCES", ["a"], ["label"], ["b"])
+    return out.select("id", _r("a").alias("a"), "label", _r("b").alias("b"))
+
+
+def requested_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """First neighbors of a list of ids with repeats, with places in the list."""
+    _, near = _near(spark, d)
+    wanted = _read(spark, d, "orders").select((F.col("o_custkey") % 997).alias("id"), F.col("o_orderkey").alias("place"))
+    return tables.requested(near.where("rank = 1").select("id", "neighbor_id"), wanted, "id").select("place", "id", "neighbor_id")
+
+
 def _impute(weights) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         p, near = _near(spark, d)
@@ -113,6 +137,13 @@ def spearman_rank(spark: SparkSession, d: str) -> DataFrame:
     return accuracy.spearman(order_pairs(spark, d), ["variable"], "observed", "predicted").select("variable", _r("spearman_r").alias("spearman_r"))
 
 
+def skewed_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Average ranks where nine rows in ten have the value 0."""
+    over = F.greatest(F.col("l_quantity") - 45, F.lit(0)).cast("double")
+    own = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", over.alias("v"))
+    return accuracy.average_rank(own, ["l_returnflag"], "v", "rank").groupBy("l_returnflag", "v").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("least"), F.max("rank").alias("most"))
+
+
 def regression_lines(spark: SparkSession, d: str) -> DataFrame:
     out = accuracy.regression_lines(order_pairs(spark, d), "variable", "observed", "predicted")
     return out.select("variable", *[_r(c, 4).alias(c) for c in out.columns if c != "variable"])
@@ -349,6 +380,12 @@ def chi_square_residuals(spark: SparkSession, d: str) -> DataFrame:
     return ordination.chi_square_residuals(site_species(spark, d)).withColumn("residual", _r("residual", 9))
 
 
+def species_downweighting(spark: SparkSession, d: str) -> DataFrame:
+    """Brands whose last digit is 3 are rare: they are kept at few sites."""
+    rare = F.col("species").endswith("3") & (F.col("id") % 12 != 0)
+    return ordination.downweighted(site_species(spark, d).where(~rare)).withColumn("x", _r("x"))
+
+
 def species_info_n2(spark: SparkSession, d: str) -> DataFrame:
     return ordination.species_info(site_species(spark, d)).withColumn("n2", _r("n2"))
 
@@ -412,7 +449,8 @@ def flag_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "impute_continuous": _impute("INVERSE_DISTANCES"), "knn_topk": knn_topk, "knn_independent": knn_independent,
+    "impute_continuous": _impute("INVERSE_DISTANCES"), "knn_topk": knn_topk, "knn_independent": knn_independent, "knn_partitioned": knn_partitioned,
+    "impute_all_groups": impute_all_groups, "requested_neighbors": requested_neighbors, "skewed_ranks": skewed_ranks, "species_downweighting": species_downweighting,
     "impute_equal_weights": _impute("EQUAL"), "impute_explicit_weights": _impute(impute.SEVEN_WEIGHTS),
     "impute_categorical_majority": impute_categorical, "zonal_records": zonal_records,
     "nn_index_position": _positions, "nn_index_outlier": lambda s, d: _positions(s, d).where("average_position >= 5"),
@@ -435,6 +473,11 @@ ORACLE_SQL: dict[str, str] = {
     "impute_equal_weights": _impute_sql("1e0"),
     "impute_explicit_weights": _impute_sql(f"{_W7}[rank]"),
     "knn_topk": "WITH d AS (SELECT t.vec_id AS id, n.vec_id AS neighbor_id, list_distance(t.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS distance FROM embeddings t JOIN embeddings n ON true), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, id <> neighbor_id, neighbor_id) AS rank FROM d) SELECT id, rank::INT AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 5",
+    "species_downweighting": f"WITH {_SS}, r AS (SELECT * FROM ss WHERE NOT (species LIKE '%3' AND id % 12 <> 0)), o AS (SELECT species, sum(x) * sum(x) / (sum(x * x) + 1e-10) AS often FROM r GROUP BY 1), w AS (SELECT species, least(1, often / (max(often) OVER () / 5)) AS w FROM o) SELECT id, species, round(x * w, 6) AS x FROM r JOIN w USING (species)",
+    "knn_partitioned": f"WITH {_P}, m AS (SELECT id, list_transform(s, lambda x, k: x + sin(id * 7 + k - 1) / 10) AS s FROM p), d AS (SELECT t.id, n.id AS neighbor_id, list_distance(t.s, n.s) AS distance FROM m t JOIN p n ON true), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, id <> neighbor_id, neighbor_id) AS rank FROM d) SELECT id, rank::INT AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 12",
+    "impute_all_groups": f"WITH {_RANKED}, i AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM r WHERE rank <= {MOST} AND id // 4 <> neighbor_id // 4), x AS (SELECT id // 4 AS plot, id, sum(CASE WHEN k <= {K} THEN a / CASE WHEN distance = 0 THEN 1e-12 ELSE distance END END) / sum(CASE WHEN k <= {K} THEN 1 / CASE WHEN distance = 0 THEN 1e-12 ELSE distance END END) AS a, max(CASE WHEN k = 1 THEN label END) AS label, max(CASE WHEN k = 1 THEN b END) AS b FROM i GROUP BY id), l AS (SELECT plot, label, row_number() OVER (PARTITION BY plot ORDER BY count(*) DESC, label) AS k FROM x GROUP BY plot, label) SELECT x.plot AS id, round(avg(a), 6) AS a, any_value(l.label) AS label, round(avg(b), 6) AS b FROM x JOIN l ON l.plot = x.plot AND k = 1 GROUP BY x.plot",
+    "requested_neighbors": f"WITH {_RANKED} SELECT o_orderkey AS place, id, neighbor_id FROM orders JOIN r ON id = o_custkey % 997 AND rank = 1",
+    "skewed_ranks": "WITH v AS (SELECT l_returnflag, greatest(l_quantity - 45, 0)::DOUBLE AS v, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY v) - (n - 1) / 2.0 AS r FROM v) SELECT l_returnflag, v, n, r::DOUBLE AS least, r::DOUBLE AS most FROM s",
     "knn_independent": f"WITH {_INDEPENDENT} SELECT id, rank::INT AS rank, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= {K}",
     "impute_categorical_majority": f"WITH {_RANKED}, f AS (SELECT id // 5 AS id, label, row_number() OVER (PARTITION BY id ORDER BY rank) AS f FROM r WHERE id <> neighbor_id), c AS (SELECT id, label, count(*) AS n FROM f WHERE f = 1 GROUP BY 1, 2) SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS k FROM c) WHERE k = 1",
     "zonal_records": f"WITH {_RANKED} SELECT id, 1 AS pixel_number, rank::INT AS neighbor, neighbor_id, round(distance, 6) AS distance FROM r WHERE rank <= 3",

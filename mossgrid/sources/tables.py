@@ -34,6 +34,17 @@ def subset(df: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     return df.join(wanted.select(id_col), id_col, "left_semi")
 
 
+def positioned(wanted: DataFrame, id_col: str, place: str = "place") -> DataFrame:
+    """A list of ids with the place of each: in the order in which its one file is read."""
+    return wanted.select(F.col(id_col), F.monotonically_increasing_id().alias(place))
+
+
+def requested(df: DataFrame, wanted: DataFrame, id_col: str, place: str = "place") -> DataFrame:
+    """Rows of the ids of a list (``id_col`` and ``place``), as often as the list has them and
+    with their place in it, by which the sink sorts; an id without rows has none."""
+    return wanted.select(id_col, place).join(df, id_col)
+
+
 def forest_majority(plots: DataFrame, id_col: str, count: str = "PNT_COUNT", least: float = 2.0, wanted: DataFrame | None = None) -> DataFrame:
     out = plots.where(F.col(count) >= least)
     return out if wanted is None else subset(out, wanted, id_col)

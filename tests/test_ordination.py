@@ -115,3 +115,29 @@ def test_model_file_round_trip(spark, tmp_path):
     a, b = (t.sites.orderBy("id").select("id", F.col("lc")[0].alias("a"), "n2").toPandas() for t in (m, back))
     np.testing.assert_allclose(a.to_numpy(), b.to_numpy(), atol=1e-5)
     assert m.trimmed(2).rank == 2
+
+
+def test_downweighting(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(1, 9, (30, 6)).astype(float) * (rng.random((30, 6)) < np.array([1, 0.9, 0.5, 0.1, 0.07, 0.03]))
+    x[0] = 1
+    df = spark.createDataFrame([(i, f"s{j}", float(x[i, j])) for i in range(30) for j in range(6) if x[i, j]], "id long, species string, x double")
+    often = x.sum(axis=0) ** 2 / (x**2).sum(axis=0)
+    for fraction in (5.0, 0.2, 2.0):
+        least = often.max() / max(fraction, 1 / fraction)
+        want = x * np.where(often < least, often / least, 1)
+        got = {(r["id"], r["species"]): r["x"] for r in o.downweighted(df, fraction).collect()}
+        assert len(got) == np.count_nonzero(x) and all(v == pytest.approx(want[i, int(s[1])]) for (i, s), v in got.items())
+    assert o.downweighted(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        o.downweighted(df, 0)
+
+
+def test_downweighting_reaches_the_model(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"s{j}", float(rng.integers(1, 9))) for i in range(20) for j in range(6) if j < 4 or i % 7 == j]
+    df = spark.createDataFrame(rows, "id long, species string, x double")
+    env = spark.createDataFrame([(i, float(rng.normal()), float(rng.normal())) for i in range(20)], "id long, v0 double, v1 double")
+    plain, less, other = (o.fit(p, "CCA", df, env, ["v0", "v1"], downweighting=w).eigenvalues for p, w in (("vegan", False), ("vegan", True), ("numpy", True)))
+    assert np.allclose(plain, other) and not np.allclose(plain, less)
+    assert np.allclose(less, o.cca(o.downweighted(df), env, ["v0", "v1"]).eigenvalues)
