@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mossgrid.operators import accuracy, binning, classify, impute, neighbors, ordination, rasters
+from mossgrid.operators import accuracy, binning, classify, impute, neighbors, ordination, rasters, tiles
 from mossgrid.sources import tables
 
 AXES, K, MOST = 8, 7, 24
@@ -441,6 +441,14 @@ def footprint_window(spark: SparkSession, d: str) -> DataFrame:
     return rasters.extract(pixels, stack, ["size"]).select("id", "pixel_number", "row", "col", "size")
 
 
+def footprint_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """As footprint_window, by a join of tiles."""
+    own = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 20 + 1.5).alias("x"), (-(F.col("s_nationkey") % 10) - 1.5).alias("y"), F.lit("f").alias("key"))
+    stack = _read(spark, d, "part").select(F.floor(F.col("p_partkey") / 22).cast("int").alias("row"), (F.col("p_partkey") % 22).cast("int").alias("col"), F.col("p_size").cast("double").alias("size"))
+    prints = [rasters.Footprint("f", ((1, 1, 1), (1, 2, 1), (0, 1, 1)), 1.0)]
+    return tiles.extract(own, tiles.to_tiles(stack, ["size"], 16), ["size"], prints, rasters.Geometry(0.0, 0.0, 1.0), tile=16)
+
+
 def flag_projection(spark: SparkSession, d: str) -> DataFrame:
     from mossgrid.sources.attributes import AttributeField, project
 
@@ -465,7 +473,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chi_square_residuals": chi_square_residuals, "species_info_n2": species_info_n2, "site_info_n2": site_info_n2, "weighted_env_means": weighted_env_means,
     "cca_cross_products": cca_cross_products, "cca_eigenvalues": cca_eigenvalues, "rda_eigenvalues": rda_eigenvalues, "dbrda_eigenvalues": dbrda_eigenvalues,
     "cca_site_scores": cca_site_scores, "bray_curtis": bray_curtis,
-    "footprint_window": footprint_window, "flag_projection": flag_projection,
+    "footprint_window": footprint_window, "footprint_tiles": footprint_tiles, "flag_projection": flag_projection,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -518,3 +526,4 @@ ORACLE_SQL: dict[str, str] = {
     "footprint_window": "WITH s AS (SELECT s_suppkey AS id, (s_suppkey % 20 + 1)::INT AS c, (s_nationkey % 10 + 1)::INT AS r FROM supplier), o AS (SELECT unnest(range(0, 9)) AS k) SELECT id, (k + 1)::INT AS pixel_number, (r + k // 3 - 1)::INT AS row, (c + k % 3 - 1)::INT AS col, p_size::DOUBLE AS size FROM s JOIN o ON true JOIN part ON p_partkey // 22 = r + k // 3 - 1 AND p_partkey % 22 = c + k % 3 - 1",
     "flag_projection": "SELECT c_custkey, c_acctbal, c_nationkey FROM customer",
 }
+ORACLE_SQL["footprint_tiles"] = ORACLE_SQL["footprint_window"]
