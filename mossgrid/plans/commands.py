@@ -75,7 +75,7 @@ def cross_validate(parameters: Parameters, model: ordination.Ordination, env: Da
 def _context(parameters: Parameters, near: DataFrame, attributes: DataFrame, independent: DataFrame, dependent: DataFrame, crosswalk: DataFrame | None, continuous: Sequence[str], species: Sequence[str], tables: dict[str, DataFrame] | None, settings: dict | None) -> diagnostics.Context:
     own = {"observed": attributes, "independent": independent, "dependent": dependent, "neighbors": near} | ({"crosswalk": crosswalk} if crosswalk is not None else {}) | (tables or {})
     a, o = parameters.accuracy, parameters.outliers
-    values = {"bins": a.bins, "bin_method": a.bin_method, "k": parameters.imputation.k, "weights": parameters.imputation.weight_list(), "k_values": list(a.k_values), "hex_levels": {h.column: h.min_plots for h in a.hex_levels}, "index_threshold": o.index_threshold, "deviations": dict(o.deviations), "max_neighbors": parameters.imputation.max_neighbors}
+    values = {"bins": a.bins, "bin_method": a.bin_method, "k": parameters.imputation.k, "weights": parameters.imputation.weight_list(), "k_values": list(a.k_values), "k_weights": {k: w if isinstance(w, str) else list(w) for k, w in a.k_weights}, "hex_levels": {h.column: h.min_plots for h in a.hex_levels}, "index_threshold": o.index_threshold, "deviations": dict(o.deviations), "max_neighbors": parameters.imputation.max_neighbors}
     return diagnostics.Context(own, list(continuous), species=list(species), **(values | (settings or {})))
 
 

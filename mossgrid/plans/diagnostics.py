@@ -35,6 +35,7 @@ class Context:
     k: int = 1
     weights: str | list[float] = "INVERSE_DISTANCES"
     k_values: list[int] = field(default_factory=lambda: [1])
+    k_weights: dict[int, str | list[float]] = field(default_factory=dict)  # weights of a k, if it has its own
     hex_levels: dict[str, int] = field(default_factory=dict)  # column of the hex table: least plots
     index_threshold: float = 100.0
     max_neighbors: int = 100
@@ -148,7 +149,7 @@ def multiscale(c: Context) -> dict[str, DataFrame]:
     out = []
     names = c.continuous
     for k in c.k_values:
-        weights = c.weights if k == c.k else "INVERSE_DISTANCES"
+        weights = c.k_weights.get(k, c.weights if k == c.k else "INVERSE_DISTANCES")
         predicted = impute.predict(c.tables["neighbors"], c.tables["observed"], names, k, weights, c.tables.get("crosswalk")).fillna(0.0)
         pairs = accuracy.long_pairs(c.tables["observed"], predicted, "id", names)
         levels = [("plot", pairs.select("variable", "observed", "predicted"))]

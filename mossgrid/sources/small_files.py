@@ -103,6 +103,7 @@ class AccuracyParameters:
     bin_method: str = "EQUAL_INTERVAL"
     hex_levels: tuple[HexLevel, ...] = ()
     k_values: tuple[int, ...] = (1,)
+    k_weights: tuple[tuple[int, str | tuple[float, ...]], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,10 @@ class Parameters:
             raise ValueError("the id column is FCID or PLTID")
 
     def path(self, name: str) -> str:
-        """Where a file is: below the model's folder, in the sub-folder of its group."""
+        """Where a file is: below the model's folder, in the sub-folder of its group; a whole
+        path stays as it is."""
+        if "://" in self.files[name] or self.files[name].startswith("/"):
+            return self.files[name]
         group = {"accuracy": self.accuracy.directory, "outlier": self.outliers.directory}.get(name.split(":")[0], "")
         return str(PurePosixPath(self.directory) / group / self.files[name]) if "://" not in self.directory else "/".join(x for x in (self.directory.rstrip("/"), group, self.files[name]) if x)
 
@@ -164,11 +168,16 @@ def _fill(own, values: dict):
 
 
 def read_parameters(path: str) -> Parameters:
-    """Parameters from an XML file. Elements are found by name wherever they stand; other
-    kinds of files are refused."""
+    """Parameters from an XML file: a model's document, whose elements are read by their
+    place, or a plain list, whose elements are found by name wherever they stand. Other kinds
+    of files are refused."""
     if not path.endswith(".xml"):
         raise NotImplementedError("parameters are read from XML files only")
     root = ET.parse(path).getroot()
+    if root.find("file_locations") is not None:
+        from .model_parameters import ModelDocument
+
+        return ModelDocument(root).parameters()
 
     def text(*names: str, default: str = "") -> str:
         for name in names:
