@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mossgrid.functions.stats import kappa_2x2
@@ -61,14 +61,21 @@ def severity(pairs: DataFrame, o: str = "observed", p: str = "predicted") -> Dat
 def error_matrix(pairs: DataFrame, classes: DataFrame | None = None, o: str = "observed", p: str = "predicted") -> DataFrame:
     """observed, predicted, n for all pairs of classes; classes default to those of either
     side. Null classes take no part."""
-    own = pairs.select(F.col(o).alias("observed"), F.col(p).alias("predicted")).where("observed is not null and predicted is not null")
-    # as many rows as cells: kept, as everything below reads them several times
-    counts = own.groupBy("observed", "predicted").agg(F.count(F.lit(1)).alias("n")).persist()
+    own = pairs.select(F.col(o).alias("observed"), F.col(p).alias("predicted"))
+    counts = own.groupBy("observed", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    # null classes leave by a condition on counts, as one on classes alone would be moved below
+    # the aggregate and evaluated, with all that classes are made from, once more
+    counts = counts.where(F.when(F.col("observed").isNotNull() & F.col("predicted").isNotNull(), F.col("n")).otherwise(0) > 0)
+    # the grid of classes is as wide as the result itself; counts fill it by a second aggregate
+    # over cells, so that nothing above them is read again
     if classes is None:
-        classes = counts.select(F.col("observed").alias("class")).union(counts.select("predicted")).distinct()
-    # the grid of classes is as wide as the result itself
-    grid = classes.select(F.col("class").alias("observed")).crossJoin(classes.select(F.col("class").alias("predicted")))
-    return grid.join(counts, ["observed", "predicted"], "left").select("observed", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+        one = counts.groupBy().agg(F.array_union(F.collect_set("observed"), F.collect_set("predicted")).alias("classes"), F.collect_list(F.struct("observed", "predicted", "n")).alias("cells"))  # a row of all cells
+        empty = F.flatten(F.transform("classes", lambda o: F.transform("classes", lambda p: F.struct(o.alias("observed"), p.alias("predicted"), F.lit(0).cast("long").alias("n")))))
+        filled = one.select(F.inline(F.concat("cells", empty)))
+    else:
+        grid = classes.select(F.col("class").alias("observed")).crossJoin(classes.select(F.col("class").alias("predicted")))
+        return grid.join(counts, ["observed", "predicted"], "left").select("observed", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    return filled.groupBy("observed", "predicted").agg(F.sum("n").alias("n"))
 
 
 def totals(matrix: DataFrame, fuzzy: DataFrame | None = None) -> DataFrame:
@@ -99,15 +106,19 @@ def kappa(matrix: DataFrame) -> DataFrame:
 
 def kappa_by_class(matrix: DataFrame, fuzzy: DataFrame | None = None) -> DataFrame:
     """class, kappa of the matrix collapsed to that class and the rest; with fuzzy sets a
-    fuzzy-equal pair of the class counts as agreement."""
+    fuzzy-equal pair of the class counts as agreement. One aggregate: each cell counts for
+    its observed and its predicted class, and for the whole (class null)."""
     own = _with_fuzzy(matrix, fuzzy)
-    total = own.agg(F.sum("n").alias("t"))
-    hit = own.where("is_fuzzy").select(F.explode(F.array_distinct(F.array("observed", "predicted"))).alias("class"), "n").groupBy("class").agg(F.sum("n").alias("a"))
-    miss = own.where("not is_fuzzy")
-    b = miss.groupBy(F.col("observed").alias("class")).agg(F.sum("n").alias("b"))
-    c = miss.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("c"))
-    classes = matrix.select(F.col("observed").alias("class")).distinct()
-    each = classes.join(hit, "class", "left").join(b, "class", "left").join(c, "class", "left").fillna(0).crossJoin(total)
+    n, none = F.col("n"), F.lit(0).cast(matrix.schema["n"].dataType)
+    part = lambda c, a, b, d, t: F.struct(c.alias("class"), a.alias("a"), b.alias("b"), d.alias("c"), t.alias("t"))
+    o, p = F.col("observed"), F.col("predicted")
+    hits = F.transform(F.array_distinct(F.array(o, p)), lambda c: part(c, n, none, none, none))
+    misses = F.array(part(o, none, n, none, none), part(p, none, none, n, none))
+    whole = part(F.lit(None).cast(matrix.schema["observed"].dataType), none, none, none, n)
+    each = own.select(F.inline(F.concat(F.when(F.col("is_fuzzy"), hits).otherwise(misses), F.array(whole))))
+    sums = each.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("a", "b", "c", "t")])
+    total = F.max(F.when(F.col("class").isNull(), F.col("t"))).over(Window.partitionBy())  # a row for each class
+    each = sums.withColumn("t", total).where("class IS NOT NULL")
     rest = F.col("t") - F.col("a") - F.col("b") - F.col("c")
     return each.select("class", kappa_2x2(F.col("a"), F.col("b"), F.col("c"), rest).alias("kappa"))
 
