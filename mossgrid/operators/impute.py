@@ -60,6 +60,29 @@ def predict_all(neighbors: DataFrame, attributes: DataFrame, k: int, weights: st
     return neighbors.select("id").distinct().join(plots.drop("neighbors"), "id", "left")
 
 
+def predict_each_k(neighbors: DataFrame, attributes: DataFrame, continuous: Sequence[str], weights: dict[int, str | Sequence[float]], crosswalk: DataFrame | None = None) -> DataFrame:
+    """``predict`` for several k at once: id, k and the attributes, from one ranking, one join
+    and one aggregate each for pixels and plots. ``weights``: those of each k."""
+    near = top_k(independent(neighbors, crosswalk) if crosswalk is not None else neighbors, max(weights)).select("id", "pixel_number", "neighbor_id", "distance", F.col("rank").alias("own rank"))
+    met = near.join(attributes.select(F.col("id").alias("neighbor_id"), *continuous), "neighbor_id")
+    rank, sums = F.col("own rank"), []
+    for k, own in weights.items():
+        if own == "INVERSE_DISTANCES":
+            raw: Column = F.lit(1.0) / F.when(F.col("distance") == 0, F.lit(1e-12)).otherwise(F.col("distance"))
+        elif own == "EQUAL":
+            raw = F.lit(1.0)
+        else:
+            if len(own) != k:
+                raise ValueError("as many weights as neighbors are needed")
+            raw = F.get(F.array(*[F.lit(float(x)) for x in own]), rank - 1)
+        raw = F.when(rank <= k, raw)
+        sums += [F.sum(raw).alias(f"{k} weight"), *[F.sum(raw * F.col(c)).alias(f"{k} {c}") for c in continuous]]
+    pixels = met.groupBy("id", "pixel_number").agg(*sums)
+    plots = pixels.groupBy("id").agg(*[F.avg(F.col(f"`{k} {c}`") / F.col(f"`{k} weight`")).alias(f"{k} {c}") for k in weights for c in continuous])
+    each = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"`{k} {c}`").alias(c) for c in continuous]) for k in weights])
+    return neighbors.select("id").distinct().join(plots, "id", "left").select("id", F.inline(each))
+
+
 def zonal(neighbors: DataFrame, k: int) -> DataFrame:
     """id, pixel_number, neighbor (from 1), neighbor_id, distance."""
     return top_k(neighbors, k).select("id", "pixel_number", F.col("rank").alias("neighbor"), "neighbor_id", "distance")

@@ -145,23 +145,25 @@ def regional(c: Context) -> dict[str, DataFrame]:
 
 def multiscale(c: Context) -> dict[str, DataFrame]:
     """Statistics by k and level: plots, then means and deviations of hexes with enough of
-    them. ``hex``: id and a column of hex ids per level."""
-    out = []
+    them. ``hex``: id and a column of hex ids per level. All k come from one imputation, all
+    levels from one aggregate, and all statistics from one table of (level, k, variable)."""
     names = c.continuous
-    for k in c.k_values:
-        weights = c.k_weights.get(k, c.weights if k == c.k else "INVERSE_DISTANCES")
-        predicted = impute.predict(c.tables["neighbors"], c.tables["observed"], names, k, weights, c.tables.get("crosswalk")).fillna(0.0)
-        pairs = accuracy.long_pairs(c.tables["observed"], predicted, "id", names)
-        levels = [("plot", pairs.select("variable", "observed", "predicted"))]
-        for level, least in c.hex_levels.items():
-            sums = pairs.join(c.tables["hex"].select("id", F.col(level).alias("hex")), "id").groupBy("hex", "variable").agg(F.avg("observed").alias("mo"), F.avg("predicted").alias("mp"), F.stddev_pop("observed").alias("so"), F.stddev_pop("predicted").alias("sp"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-            levels.append((f"{level}_MEAN", sums.select("variable", F.col("mo").alias("observed"), F.col("mp").alias("predicted"))))
-            levels.append((f"{level}_STD", sums.select("variable", F.col("so").alias("observed"), F.col("sp").alias("predicted"))))
-        for level, table in levels:
-            both = accuracy.agreement(table, "variable", "observed", "predicted").join(accuracy.ks(table, "variable", "observed", "predicted"), "variable")
-            stats = ["gmfr_a", "gmfr_b", "ac", "ac_sys", "ac_uns", "ks_max", "ks_mean"]
-            out.append(both.select(F.lit(level).alias("level"), F.lit(k).alias("k"), "variable", F.inline(F.array(*[F.struct(F.lit(s.upper()).alias("statistic"), F.col(s).cast("double").alias("value")) for s in stats]))))
-    return {"multiscale_accuracy": _union(out)}
+    weights = {k: c.k_weights.get(k, c.weights if k == c.k else "INVERSE_DISTANCES") for k in c.k_values}
+    predicted = impute.predict_each_k(c.tables["neighbors"], c.tables["observed"], names, weights, c.tables.get("crosswalk")).fillna(0.0, names)
+    own = predicted.select("id", "k", *[F.col(n).cast("double").alias(f"{n}_P") for n in names])
+    own = c.tables["observed"].select("id", *[F.col(n).cast("double").alias(f"{n}_O") for n in names]).join(own, "id")
+    pairs = own.select("id", "k", F.inline(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(f"{n}_O").alias("observed"), F.col(f"{n}_P").alias("predicted")) for n in names])))
+    key = lambda level: F.struct(level.alias("level"), F.col("k"), F.col("variable")).alias("key")
+    table = pairs.select(key(F.lit("plot")), "observed", "predicted")
+    if c.hex_levels:
+        levels = F.array(*[F.struct(F.lit(level).alias("level"), F.col(level).cast("string").alias("hex"), F.lit(least).alias("least")) for level, least in c.hex_levels.items()])
+        placed = pairs.join(c.tables["hex"].select("id", levels.alias("levels")), "id").select("k", "variable", "observed", "predicted", F.inline("levels"))
+        sums = placed.groupBy("level", "least", "hex", "k", "variable").agg(F.avg("observed").alias("mo"), F.avg("predicted").alias("mp"), F.stddev_pop("observed").alias("so"), F.stddev_pop("predicted").alias("sp"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("least"))
+        kinds = F.array(F.struct(F.concat("level", F.lit("_MEAN")).alias("name"), F.col("mo").alias("observed"), F.col("mp").alias("predicted")), F.struct(F.concat("level", F.lit("_STD")).alias("name"), F.col("so").alias("observed"), F.col("sp").alias("predicted")))
+        table = table.unionByName(sums.select("k", "variable", F.inline(kinds)).select(key(F.col("name")), "observed", "predicted"))
+    found = accuracy.agreement(table, "key", "observed", "predicted").join(accuracy.ks(table, "key", "observed", "predicted"), "key")
+    stats = ["gmfr_a", "gmfr_b", "ac", "ac_sys", "ac_uns", "ks_max", "ks_mean"]
+    return {"multiscale_accuracy": found.select("key.level", "key.k", "key.variable", F.inline(F.array(*[F.struct(F.lit(s.upper()).alias("statistic"), F.col(s).cast("double").alias("value")) for s in stats])))}
 
 
 def validation(c: Context) -> dict[str, DataFrame]:
