@@ -8,6 +8,7 @@ and coarse areas.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from mossgrid.operators import accuracy, binning, classify, impute, neighbors, ordination, rasters, tiles
 from mossgrid.sources import tables
 
+from . import diagnostics
+
 AXES, K, MOST = 8, 7, 24
 FLAGSHIP = "impute_continuous"
 
@@ -75,6 +78,15 @@ def impute_all_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", _r("a").alias("a"), "label", _r("b").alias("b"))
 
 
+def multiscale_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement and distribution statistics by k, at plots and in two sizes of hexes."""
+    p, near = _near(spark, d)
+    hexes = p.select("id", (F.col("id") % 5).alias("HEX_5"), (F.col("id") % 31).alias("HEX_31"))
+    own = {"observed": p.select("id", "a", "b"), "neighbors": near, "hex": hexes, "crosswalk": p.select("id", "loc_id")}
+    c = diagnostics.Context(own, ["a", "b"], k=3, weights="INVERSE_DISTANCES", k_values=[1, 3], hex_levels={"HEX_5": 10, "HEX_31": 16})
+    return diagnostics.multiscale(c)["multiscale_accuracy"].withColumn("value", _r("value", 4) + F.lit(0.0))
+
+
 def requested_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """First neighbors of a list of ids with repeats, with places in the list."""
     _, near = _near(spark, d)
@@ -458,7 +470,7 @@ def flag_projection(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "impute_continuous": _impute("INVERSE_DISTANCES"), "knn_topk": knn_topk, "knn_independent": knn_independent, "knn_partitioned": knn_partitioned,
-    "impute_all_groups": impute_all_groups, "requested_neighbors": requested_neighbors, "skewed_ranks": skewed_ranks, "species_downweighting": species_downweighting,
+    "impute_all_groups": impute_all_groups, "multiscale_accuracy": multiscale_accuracy, "requested_neighbors": requested_neighbors, "skewed_ranks": skewed_ranks, "species_downweighting": species_downweighting,
     "impute_equal_weights": _impute("EQUAL"), "impute_explicit_weights": _impute(impute.SEVEN_WEIGHTS),
     "impute_categorical_majority": impute_categorical, "zonal_records": zonal_records,
     "nn_index_position": _positions, "nn_index_outlier": lambda s, d: _positions(s, d).where("average_position >= 5"),
@@ -527,3 +539,22 @@ ORACLE_SQL: dict[str, str] = {
     "flag_projection": "SELECT c_custkey, c_acctbal, c_nationkey FROM customer",
 }
 ORACLE_SQL["footprint_tiles"] = ORACLE_SQL["footprint_window"]
+
+
+def _multiscale_sql() -> str:
+    """The statistics of gmfr_ac and ks_statistics, over a table of all levels and k."""
+    bare = lambda name: re.sub(r"round\(((?:[^()]|\([^()]*\))*), \d\) AS", r"\1 AS", ORACLE_SQL[name].removeprefix(f"WITH {_OP}, "))
+    raw = "1 / CASE WHEN distance = 0 THEN 1e-12 ELSE distance END"
+    sums = ", ".join(f"sum(CASE WHEN k <= 3 THEN {v} * {raw} END) / sum(CASE WHEN k <= 3 THEN {raw} END) AS {v}3, max(CASE WHEN k = 1 THEN {v} END) AS {v}1" for v in "ab")
+    each = " UNION ALL ".join(f"SELECT p.id, {k} AS k, '{v}' AS variable, p.{v} AS o, i.{v}{k} AS p FROM p JOIN i USING (id)" for v in "ab" for k in (1, 3))
+    hexes = " UNION ALL ".join(f"SELECT 'HEX_{n}_{kind}', k, variable, {f}(o), {f}(p) FROM e GROUP BY id % {n}, k, variable HAVING count(*) >= {least}" for n, least in ((5, 10), (31, 16)) for kind, f in (("MEAN", "avg"), ("STD", "stddev_pop")))
+    names = ["gmfr_a", "gmfr_b", "ac", "ac_sys", "ac_uns", "ks_max", "ks_mean"]
+    out = " UNION ALL ".join(f"SELECT split_part(variable, '/', 1) AS level, split_part(variable, '/', 2)::INT AS k, split_part(variable, '/', 3) AS variable, '{n.upper()}' AS statistic, round({n}, 4) + 0 AS value FROM st" for n in names)
+    return (
+        f"WITH {_RANKED}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS k FROM r WHERE rank <= {MOST} AND id // 4 <> neighbor_id // 4), i AS (SELECT id, {sums} FROM n GROUP BY id), e AS ({each}), "
+        f"lv(level, k, variable, o, p) AS (SELECT 'plot', k, variable, o, p FROM e UNION ALL {hexes}), op AS (SELECT level || '/' || k || '/' || variable AS variable, o, p FROM lv), "
+        f"ga AS (WITH {bare('gmfr_ac')}), kt AS (WITH {bare('ks_statistics')}), st AS (SELECT * FROM ga JOIN kt USING (variable)) {out}"
+    )
+
+
+ORACLE_SQL["multiscale_accuracy"] = _multiscale_sql()
