@@ -101,11 +101,12 @@ def agreement(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def ks(pairs: DataFrame, by: str, o: str, p: str, points: int = 1000) -> DataFrame:
     """Largest and mean distance of the two distribution functions at equally spaced points
-    over the joint range: counts per grid cell, then running sums over the grid."""
+    over the joint range: counts per grid cell, then running sums over the grid. The greatest
+    value belongs to the last point, whatever its quotient is rounded to."""
     span = pairs.groupBy(by).agg(F.least(F.min(o), F.min(p)).alias("lo"), F.greatest(F.max(o), F.max(p)).alias("hi"), F.count(F.lit(1)).alias("n"))
     both = pairs.select(by, F.explode(F.array(F.struct(F.col(o).alias("v"), F.lit(1).alias("s")), F.struct(F.col(p).alias("v"), F.lit(-1).alias("s")))).alias("x")).select(by, "x.v", "x.s")
     step = (F.col("hi") - F.col("lo")) / F.lit(float(points - 1))
-    cells = both.join(F.broadcast(span.select(by, "lo", "hi")), by).select(by, F.coalesce(F.ceil(F.try_divide(F.col("v") - F.col("lo"), step)), F.lit(0)).cast("int").alias("g"), "s")
+    cells = both.join(F.broadcast(span.select(by, "lo", "hi")), by).select(by, F.least(F.coalesce(F.ceil(F.try_divide(F.col("v") - F.col("lo"), step)), F.lit(0)), F.lit(points - 1)).cast("int").alias("g"), "s")
     counts = cells.groupBy(by, "g").agg(F.sum("s").alias("s"))
     grid = span.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")).join(counts, [by, "g"], "left")
     gap = F.abs(F.sum(F.coalesce("s", F.lit(0))).over(Window.partitionBy(by).orderBy("g"))) / F.col("n")

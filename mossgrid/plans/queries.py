@@ -507,7 +507,7 @@ ORACLE_SQL: dict[str, str] = {
     "spearman_rank": f"WITH {_OP}, {_RANKS} SELECT variable, round(s, 6) AS spearman_r FROM sp",
     "regression_lines": f"WITH {_OP}, q AS (SELECT variable, regr_sxy(p, o) / regr_sxx(p, o) AS n, regr_syy(p, o) / regr_sxy(p, o) AS i, sqrt(regr_syy(p, o) / regr_sxx(p, o)) AS r, avg(o) AS x, avg(p) AS y FROM op GROUP BY variable) SELECT variable, round(n, 4) AS normal_slope, round(y - n * x, 4) AS normal_intercept, round(i, 4) AS inverse_slope, round(y - i * x, 4) AS inverse_intercept, round(r, 4) AS rma_slope, round(y - r * x, 4) AS rma_intercept FROM q",
     "gmfr_ac": f"WITH {_OP}, q AS (SELECT variable, avg(o) AS mx, avg(p) AS my, sqrt(var_pop(p) / var_pop(o)) AS b, avg(p) - sqrt(var_pop(p) / var_pop(o)) * avg(o) AS a FROM op GROUP BY variable), z AS (SELECT variable, any_value(a) AS a, any_value(b) AS b, sum((o - p) * (o - p)) AS ssd, sum(abs(o - (p - a) / b) * abs(p - (a + b * o))) AS spdu, sum((abs(mx - my) + abs(o - mx)) * (abs(mx - my) + abs(p - my))) AS spod FROM op JOIN q USING (variable) GROUP BY variable) SELECT variable, round(a, 3) AS gmfr_a, round(b, 6) AS gmfr_b, round(1 - ssd / spod, 6) AS ac, round(1 - (ssd - spdu) / spod, 6) AS ac_sys, round(1 - spdu / spod, 6) AS ac_uns FROM z",
-    "ks_statistics": f"WITH {_OP}, q AS (SELECT variable, least(min(o), min(p)) AS lo, greatest(max(o), max(p)) AS hi, count(*) AS n FROM op GROUP BY variable), e AS (SELECT variable, o AS v, 1 AS s FROM op UNION ALL SELECT variable, p, -1 FROM op), c AS (SELECT e.variable, ceil((v - lo) / ((hi - lo) / 999e0))::INT AS g, sum(s) AS s FROM e JOIN q USING (variable) GROUP BY 1, 2), w AS (SELECT variable, n, x.g, abs(sum(coalesce(s, 0)) OVER (PARTITION BY variable ORDER BY x.g)) / n::DOUBLE AS d FROM q JOIN (SELECT unnest(range(0, 1000)) AS g) x ON true LEFT JOIN c USING (variable, g)) SELECT variable, round(max(d), 6) AS ks_max, round(avg(d), 6) AS ks_mean FROM w GROUP BY variable",
+    "ks_statistics": f"WITH {_OP}, q AS (SELECT variable, least(min(o), min(p)) AS lo, greatest(max(o), max(p)) AS hi, count(*) AS n FROM op GROUP BY variable), e AS (SELECT variable, o AS v, 1 AS s FROM op UNION ALL SELECT variable, p, -1 FROM op), c AS (SELECT e.variable, least(999, ceil((v - lo) / ((hi - lo) / 999e0)))::INT AS g, sum(s) AS s FROM e JOIN q USING (variable) GROUP BY 1, 2), w AS (SELECT variable, n, x.g, abs(sum(coalesce(s, 0)) OVER (PARTITION BY variable ORDER BY x.g)) / n::DOUBLE AS d FROM q JOIN (SELECT unnest(range(0, 1000)) AS g) x ON true LEFT JOIN c USING (variable, g)) SELECT variable, round(max(d), 6) AS ks_max, round(avg(d), 6) AS ks_mean FROM w GROUP BY variable",
     "binary_error_matrix": f"WITH {_BP} SELECT * FROM bm",
     "species_accuracy": f"WITH {_BP}, q AS (SELECT species, n_pp::DOUBLE AS a, n_pa::DOUBLE AS b, n_ap::DOUBLE AS c, n_aa::DOUBLE AS d, (n_pp + n_pa + n_ap + n_aa)::DOUBLE AS n FROM bm), z AS (SELECT *, CASE WHEN a + b = 0 THEN 1 ELSE a / (a + b) END AS se, CASE WHEN c + d = 0 THEN 1 ELSE d / (c + d) END AS sp, ((a + b) * (a + c) + (c + d) * (b + d)) / (n * n) AS ch, (a + d) / n AS pc FROM q) SELECT species, round((a + b) / n, 6) AS prevalence, round(se, 6) AS sensitivity, round(1 - se, 6) AS false_negative_rate, round(sp, 6) AS specificity, round(1 - sp, 6) AS false_positive_rate, round(pc, 6) AS percent_correct, round(CASE WHEN a + c = 0 THEN 1 ELSE a / (a + c) END, 6) AS positive_predictive_power, round(CASE WHEN b * c = 0 THEN 1 ELSE a * d / (b * c) END, 6) AS odds_ratio, round(se + sp - 1, 6) AS true_skill, round(CASE WHEN ch = 1 THEN 0 ELSE (pc - ch) / (1 - ch) END, 6) AS kappa FROM z",
     "variable_deviation_outlier": f"WITH {_OP} SELECT o_orderkey AS id, variable, round(abs(o - p), 2) AS deviation FROM op JOIN (VALUES ('1-URGENT', 250000e0), ('2-HIGH', 260000e0), ('5-LOW', 270000e0)) m(v, m) ON v = variable WHERE abs(o - p) >= m",

@@ -1,33 +1,24 @@
-"""Every query that has SQL and reads small tables only, against it."""
+"""Queries of sources, sinks and smaller operators against their SQL."""
 
 import duckdb
 import pytest
 
-from mossgrid.plans import queries, table_queries
+from mossgrid.plans import table_queries
 
 SF = "/root/testdata/sf0.001"
-NEW = ["knn_partitioned", "impute_all_groups", "requested_neighbors", "skewed_ranks", "species_downweighting", "multiscale_accuracy", "footprint_tiles"]
 
 
-#: Five hexes of a few plots lie on the grid points of distribution functions, where digits beyond
-#: the fifteenth decide; this one needs more rows.
-LARGER = {"multiscale_accuracy": "/root/testdata/sf0.01"}
-
-
-def connected(sf):
+@pytest.fixture(scope="module")
+def con():
     out = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
-        out.sql(f"create view {t} as from '{sf}/{t}.parquet'")
+        out.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     return out
 
 
-@pytest.mark.parametrize("name", [*table_queries.QUERIES, *NEW])
-def test_equals_sql(spark, name):
-    sf = LARGER.get(name, SF)
-    con = connected(sf)
-    made = queries.QUERIES | table_queries.QUERIES
-    sql = queries.ORACLE_SQL | table_queries.ORACLE_SQL
-    got, want = made[name](spark, sf), con.sql(sql[name])
+@pytest.mark.parametrize("name", table_queries.QUERIES)
+def test_equals_sql(spark, con, name):
+    got, want = table_queries.QUERIES[name](spark, SF), con.sql(table_queries.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     rows = lambda r: sorted(map(tuple, r), key=repr)
