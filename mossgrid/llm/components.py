@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_staged, staged, staged_folders
+from .shared import drop_staged, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     large group; each round is written to the shared folder, which cuts lineage.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = staged(edges, "links")
+    held: list[str] = []
+    edges = staged(edges, "links", held)
     before = None
     while True:
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -29,8 +30,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = staged(small.where("u <> v").distinct(), "links")
-        drop_staged(edges.sparkSession, staged_folders()[-2:-1])  # the round before
+        last, held = held, []
+        edges = staged(small.where("u <> v").distinct(), "links", held)
+        drop_staged(edges.sparkSession, last)
     own = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return own.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -13,11 +13,14 @@ constant token, so rows of different numbers are not alike.
 Lines of fewer than ``LEADING`` tokens are no templates and stay in the query, as in its SQL;
 with ``short`` each whole masked line is a leaf, so they go by the same test.
 
-With ``several`` (the query and its SQL have one) a leaf has many templates: the lines that
-belong to none are taken again, and the majority step is repeated over them. Where it gives
-no recurring template, the lines are parted by their tokens at the position of the most
-frequent token that not all of them carry, and each part is taken on by itself, until no part
-has lines of ``MIN_DOCS`` documents.
+With ``several`` (the query and its SQL have one) a leaf has many templates, found in one
+pass: of a line that fits not the first, the tokens that lines of ``MIN_DOCS`` documents carry
+at their place are ranked by how many do (then by place), and the line goes into one node for
+each of ``DEPTHS``: that of its first so many ranked tokens beyond the leading ones; into one of
+as many of all its ranked tokens as it must agree with; and into one of its last ranked token
+alone, which tells templates whose variable field takes few values. Every node has its
+majority template, and equal templates of a leaf are one. A line belongs to the template of
+its shallowest node that it fits and that recurs.
 
 Work at scale: leaves are counted first, on hashes alone; only lines of recurring leaves are
 shuffled (a bitmap of fixed size holds back the others). No group is collected: counts and
@@ -36,11 +39,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, drop_staged, possible, read, shared_dir, staged, staged_folders
+from .shared import SPACES, drop_staged, possible, read, staged
 
 LEADING = 3
 MIN_DOCS = 5
 AGREEMENT = 0.7
+#: Ranked tokens that name a node where a leaf has several templates; 0 is the whole leaf.
+DEPTHS = (0, 1, 2, 4)
 _FIELD = "<*>"
 
 
@@ -67,58 +72,48 @@ def _carried(kinds: DataFrame, by: list[str]) -> DataFrame:
     return kinds.select(*by, "n_docs", F.posexplode("tokens").alias("at", "token")).groupBy(*by, "at", "token").agg(F.sum("n_docs").alias("n"))
 
 
-def _judged(kinds: DataFrame, carried: DataFrame, by: list[str], min_docs: int, agreement: float) -> DataFrame:
-    """Whether kinds of lines fit the majority template of their group."""
+def _judged(kinds: DataFrame, carried: DataFrame, by: list[str], min_docs: int, agreement: float, held: list[str] | None = None) -> DataFrame:
+    """Whether kinds of lines fit the majority template of their group; kind: its hash."""
     best = carried.groupBy(*by, "at").agg(F.max(F.struct("n", "token")).alias("top"))
     best = best.select(*by, "at", F.when(F.col("top.n") >= min_docs, F.col("top.token")).alias("token"))
     template = best.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
-    template = staged(template, "templates")
+    # a hash passes over nulls; no token is a space
+    template = staged(template.withColumn("kind", F.xxhash64(F.transform("template", lambda x: F.coalesce(x, F.lit(" "))))), "templates", held)
     agree = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    return kinds.join(template, by).select(*by, "same", "n_docs", "tokens", (agree >= agreement * F.size("tokens")).alias("fits"))
+    return kinds.join(template, by).select(*by, "same", "n_docs", "tokens", "kind", (agree >= agreement * F.size("tokens")).alias("fits"))
 
 
 def _further(kinds: DataFrame, found: DataFrame, keys: DataFrame, min_docs: int, agreement: float) -> DataFrame:
     """leaf, same, kind of lines that belong to further templates of their leaf. ``found``:
-    leaf and same of those that belong to the first; ``keys``: leaf, same, key."""
-    spark, by = kinds.sparkSession, ["leaf", "node"]
-    path, schema = shared_dir(spark, "further"), "leaf long, same long, kind long"
-    rest = kinds.join(found, ["leaf", "same"], "left_anti").withColumn("node", F.lit(0).cast("long")).select("leaf", "node", "same", "n_docs", "tokens")
+    leaf and same of those that belong to the first; ``keys``: leaf, same, key.
+
+    The jobs are as many whatever a leaf holds: all nodes of all depths are judged at once."""
+    held: list[str] = []
+    rest = kinds.join(found, ["leaf", "same"], "left_anti").select("leaf", "same", "n_docs", "tokens")
+    often = staged(_carried(rest, ["leaf"]).where(F.col("n") >= min_docs), "often", held)
+    spots = rest.select("leaf", "same", F.posexplode("tokens").alias("at", "token")).join(often, ["leaf", "at", "token"])
+    ranked = spots.groupBy("leaf", "same").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "at", "token"))).alias("ranked"))
     # a template's tokens are carried by min_docs documents, also among all lines of its leaf;
-    # a line that has too few such tokens belongs to no template, however its leaf is parted
-    spots = rest.select("leaf", "same", F.posexplode("tokens").alias("at", "token"))
-    n_before = len(staged_folders())
-    often = staged(_carried(rest, ["leaf"]).where(F.col("n") >= min_docs).select("leaf", "at", "token"), "often")
-    able = staged(spots.join(often, ["leaf", "at", "token"]).groupBy("leaf", "same").agg(F.count(F.lit(1)).alias("held")), "able")
-    rest = rest.join(able, ["leaf", "same"]).where(F.col("held") >= agreement * F.size("tokens")).drop("held")
-    turn, done = 0, staged_folders()[n_before:]
-    while True:
-        wide = rest.groupBy(*by).agg(F.sum("n_docs").alias("total")).where(F.col("total") >= min_docs)
-        rest = staged(rest.select("leaf", "node", "same", "n_docs", "tokens").join(wide, by), "rest")
-        drop_staged(spark, done)  # only this turn's rest was made of them
-        if not rest.limit(1).count():
-            break
-        done = staged_folders()[-1:]
-        if turn == 0:  # of the documents only these are looked at again
-            keys = staged(keys.join(rest.select("leaf", "same"), ["leaf", "same"]).distinct(), "keys")
-        turn += 1
-        n_before = len(staged_folders())
-        carried = staged(_carried(rest, by), "carried")
-        judged = staged(_judged(rest, carried, by, min_docs, agreement), "judged")
-        fits = judged.where("fits").select("leaf", "node", "same")
-        recurs = keys.join(fits, ["leaf", "same"]).select("leaf", "node", "key").distinct().groupBy(*by).count().where(F.col("count") >= min_docs).select(*by)
-        recurs = staged(recurs, "recurs")
-        fits.join(recurs, by).select("leaf", "same", F.xxhash64("node", F.lit(turn)).alias("kind")).write.mode("append").parquet(path)
-        again = judged.where("not fits").join(recurs, by).select("leaf", "node", "same", "n_docs", "tokens")
-        wide = rest.select(*by, "total").distinct()
-        parts = carried.join(recurs, by, "left_anti").join(wide, by).where((F.col("n") >= min_docs) & (F.col("n") < F.col("total")))
-        place = parts.groupBy(*by).agg(F.max(F.struct("n", (-F.col("at")).alias("back"))).alias("top")).select(*by, (-F.col("top.back")).alias("at"))
-        names = parts.select("leaf", "node", "at", "token").join(place, [*by, "at"])
-        names = names.groupBy(*by, "at").agg(F.collect_set("token").alias("names"))  # each is carried by min_docs or more
-        token = F.get("tokens", F.col("at"))
-        parted = judged.join(names, by).select("leaf", F.xxhash64("node", "at", F.when(F.array_contains("names", token), token)).alias("node"), "same", "n_docs", "tokens")
-        rest = again.unionByName(parted)
-        done += staged_folders()[n_before:]
-    return spark.createDataFrame([], schema) if not turn else spark.read.schema(schema).parquet(path)
+    # a line that has too few such tokens belongs to no template
+    rest = rest.join(staged(ranked, "ranked", held), ["leaf", "same"]).where(F.size("ranked") >= agreement * F.size("tokens"))
+    free = F.filter("ranked", lambda x: x["at"] >= LEADING)
+    first = [F.slice(free, 1, d) for d in DEPTHS] + [F.slice("ranked", F.lit(1), F.ceil(F.lit(agreement) * F.size("tokens")).cast("int")), F.slice(free, -1, 1)]
+    nodes = F.array(*[F.xxhash64(F.transform(x, lambda y: F.struct(y["at"], y["token"]))) for x in first])
+    rest = staged(rest.select("leaf", "same", "n_docs", "tokens", nodes.alias("nodes")), "rest", held)
+
+    by = ["leaf", "depth", "node"]
+    wide = rest.select("leaf", "n_docs", F.posexplode("nodes").alias("depth", "node")).groupBy(*by).agg(F.sum("n_docs").alias("total"))
+    wide = staged(wide.where(F.col("total") >= min_docs).select(*by), "wide", held)
+    placed = staged(rest.select("leaf", "same", "n_docs", "tokens", F.posexplode("nodes").alias("depth", "node")).join(wide, by), "placed", held)
+    fits = _judged(placed, _carried(placed, by), by, min_docs, agreement, held).where("fits")
+    fits = staged(fits.select("leaf", "same", "depth", "kind"), "fits", held)
+    keys = staged(keys.join(fits.select("leaf", "same").distinct(), ["leaf", "same"]).distinct(), "keys", held)
+    recurs = keys.join(fits, ["leaf", "same"]).select("leaf", "kind", "key").distinct().groupBy("leaf", "kind").count().where(F.col("count") >= min_docs)
+    chosen = fits.join(staged(recurs.select("leaf", "kind"), "recurs", held), ["leaf", "kind"])
+    chosen = chosen.groupBy("leaf", "same").agg(F.min(F.struct("depth", "kind")).alias("least")).select("leaf", "same", F.col("least.kind").alias("kind"))
+    chosen = staged(chosen, "further")
+    drop_staged(kinds.sparkSession, held)
+    return chosen
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, agreement: float = AGREEMENT, short: bool = False, several: bool = False) -> DataFrame:
@@ -134,7 +129,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_d
     kinds = own.select("leaf", "same", "key", "tokens").groupBy("leaf", "same", "key").agg(F.first("tokens").alias("tokens"))
     kinds = kinds.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     kinds = staged(kinds, "kinds")
-    judged = staged(_judged(kinds, _carried(kinds, ["leaf"]), ["leaf"], min_docs, agreement).drop("tokens"), "judged")
+    judged = staged(_judged(kinds, _carried(kinds, ["leaf"]), ["leaf"], min_docs, agreement).drop("tokens", "kind"), "judged")
     fits = own.select("leaf", "same", "key").join(judged.where("fits").select("leaf", "same"), ["leaf", "same"])
     fitting = fits.select("leaf", "key").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf", F.lit(True).alias("recurs"))
     judged = judged.join(staged(fitting, "fitting"), "leaf", "left")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -30,39 +30,43 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/mossgrid-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+class _Folders(threading.local):
+    """Folders of staged tables that are still there, in the order in which they were written:
+    a thread's own, so that queries in several threads cannot delete each other's."""
+
+    def __init__(self) -> None:
+        self.own: list[str] = []
+
+
+_folders = _Folders()
+
+
+def staged(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; this cuts lineage
-    in a way that survives the loss of executors."""
+    in a way that survives the loss of executors. The folder is added to ``held`` too, the
+    list of a caller who deletes what it has staged."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    _folders.append(path)
+    _folders.own.append(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders of staged tables that are still there, in the order in which they were written.
-_folders: list[str] = []
-
-
 def staged_folders() -> list[str]:
-    return list(_folders)
+    return list(_folders.own)
 
 
-def drop_staged(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders of staged tables through the file system that owns them. What reads
-    them must be done by then.
-
-    Plans that read them are garbage then; collecting it on the driver also lets Spark's
-    cleaner remove their shuffle files and broadcasts, which it does only after a collection.
-    """
+def drop_staged(spark: SparkSession, held: list[str]) -> None:
+    """Delete folders of tables that this thread has staged, through the file system that owns
+    them, and take them off the list ``held``. What reads them must be done by then."""
     jvm = spark.sparkContext._jvm
-    for path in folders:
-        if path in _folders:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-            _folders.remove(path)
-    gc.collect()
-    jvm.System.gc()
+    for path in [x for x in held if x in _folders.own]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _folders.own.remove(path)
+    held.clear()
 
 
 _held: dict[Any, Any] = {}

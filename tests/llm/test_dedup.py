@@ -1,5 +1,7 @@
 import collections
+import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -196,6 +198,100 @@ def test_several_line_templates_in_a_leaf(spark, n):
     assert got == {k: int(k not in (0, n[0])) for k in range(sum(n))}
 
 
+def brute_templates(rows, least=5):
+    """(row, place) of the lines that go where a leaf has several templates; one text an id."""
+    share, leaves = line_templates.AGREEMENT, collections.defaultdict(lambda: collections.defaultdict(list))
+    for r, (_, text) in enumerate(rows):
+        for place, line in enumerate(text.split("\n")):
+            raw = line.split()
+            if len(raw) >= 3:
+                t = tuple(raw) if all(any(c.isdigit() for c in x) for x in raw) else tuple("<*>" if any(c.isdigit() for c in x) else x for x in raw)
+                leaves[len(t), t[:3]][t].append((r, place))
+    docs = lambda spots: len({r for r, _ in spots})
+    gone = set()
+    for leaf in leaves.values():
+        if docs([x for spots in leaf.values() for x in spots]) < least:
+            continue
+
+        def carried(lines):
+            n = collections.Counter()
+            for t in lines:
+                n.update({(at, x): docs(leaf[t]) for at, x in enumerate(t)})
+            return n
+
+        def template(lines):
+            best = {}
+            for (at, x), n in carried(lines).items():
+                best[at] = max(best.get(at, (0, "")), (n, x))
+            return tuple(best[at][1] if best[at][0] >= least else None for at in sorted(best))
+
+        def fit(lines, own):
+            return [t for t in lines if sum(x == y for x, y in zip(t, own)) >= share * len(t)]
+
+        kind = {t: t for t in leaf if docs(leaf[t]) >= least}
+        first = fit(leaf, template(leaf))
+        first = first if docs([x for t in first for x in leaf[t]]) >= least else []
+        rest, nodes, found = [t for t in leaf if t not in first], collections.defaultdict(list), collections.defaultdict(dict)
+        n = carried(rest)
+        for t in rest:
+            ranked = sorted((-n[at, x], at, x) for at, x in enumerate(t) if n[at, x] >= least)
+            if len(ranked) >= share * len(t):
+                free = tuple(x for x in ranked if x[1] >= 3)
+                keys = [free[:d] for d in line_templates.DEPTHS] + [tuple(ranked[: math.ceil(share * len(t))]), free[-1:]]
+                for depth, key in enumerate(keys):
+                    nodes[depth, key].append(t)
+        for (depth, _), lines in nodes.items():
+            own = template(lines)
+            for t in fit(lines, own):
+                found[own][t] = min(depth, found[own].get(t, depth))
+        for own, lines in found.items():
+            if docs([x for t in lines for x in leaf[t]]) >= least:
+                for t, depth in lines.items():
+                    if not isinstance(kind.get(t), list) or depth < kind[t][0]:
+                        kind[t] = [depth, own]
+        kind |= {t: "first" for t in first}
+        groups = collections.defaultdict(list)
+        for t, k in kind.items():
+            groups[repr(k[1]) if isinstance(k, list) else k].extend(leaf[t])
+        for spots in groups.values():
+            gone |= set(spots) - {min(spots, key=lambda x: (rows[x[0]][0], x[1]))}
+    return gone
+
+
+def test_several_templates_against_brute_force(spark):
+    rng = random.Random(8)
+    words = lambda few: [a + b for a in "bcdfg" for b in few]
+    made = []
+    for k in range(9):  # one leaf: some constants are shared by several templates, fields vary much or little
+        made.append([rng.choice(words("ae")) if at not in (3 + k % 5, 9) else None for at in range(11)])
+    lines = [" ".join(["all", "lines", "begin", *(x or rng.choice(words("ou")) + "xyz"[rng.randrange(3)] for x in t)]) for t in made for _ in range(rng.randint(3, 14))]
+    lines += [f"{a} {b} {rng.choice('uvw')} {rng.randint(1, 99)} {rng.choice(words('a'))}" for a in "kl" for b in "mn" for _ in range(12)]
+    lines += ["all lines begin"] * 4 + ["1 2 3"] * 6 + ["short one"] * 6 + [f"{k} {k + 1} {k + 2}" for k in range(6)]
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[k::60])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_templates.clean(df, several=True).collect()}
+    gone = brute_templates(rows)
+    want = {d: "\n".join(x for at, x in enumerate(t.split("\n")) if (r, at) not in gone) for r, (d, t) in enumerate(rows)}
+    assert got == want
+    assert len(gone) > line_templates.recurring(df).count()
+
+
+def test_many_templates_of_one_leaf(spark):
+    letters = [a + b for a in "abcdefgh" for b in "klmnop"]
+    lines = [f"see this page about{letters[k]} topic{letters[k]} read{letters[k]} by {letters[j]}" for k in range(40) for j in range(6)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in line_templates.clean(df, several=True).where("n_dropped = 0").select("doc_id").collect()}
+    assert kept == {6 * k for k in range(40)}
+
+
+def test_staged_tables_of_threads(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(30) if k % 10 != 9], "a long, b long")
+    with ThreadPoolExecutor(3) as pool:
+        for got in pool.map(lambda _: {tuple(r) for r in components.components(links).collect()}, range(3)):
+            assert got == {(k, k // 10 * 10) for k in range(30)}
+
+
 def test_short_lines(spark):
     rows = [(k, f"Read more\n{'abcdefgh'[k]} own text\n{k + 100}\n7\nPage {k}\n\nStop") for k in range(6)] + [(9, "Read this")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
