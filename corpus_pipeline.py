@@ -19,12 +19,14 @@ in id and text are copies: one stays in near_duplicates if it has words, all are
 other stages. Columns of any name besides doc_id and text come through as they are (n_chars,
 where there is one, is counted anew when lines go). An empty table gives empty results.
 
-A stage deletes the tables that the stage before it has staged for itself, so a stage's
-result must be written before the next stage is called.
+A stage deletes the tables that the stage before it in its thread has staged for itself, so a
+stage's result must be written before the next stage is called; ``run`` deletes each stage's
+result but the last when the next one is written.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +34,25 @@ from pyspark.sql import functions as F
 
 from mossgrid.llm import decontaminate as benchmark_templates
 from mossgrid.llm import line_templates, ngram_join, packing, toxicity
-from mossgrid.llm.shared import drop_staged, read, shared_dir, staged_folders
+from mossgrid.llm.shared import drop_staged, read, staged, staged_folders
 
 #: Words in a shingle and least similarity of near duplicates; op10's query has its own.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-_of_last_stage: list[str] = []
+_of_last = threading.local()
+
+
+def _drop_of_last(spark: SparkSession) -> None:
+    """Delete what the stage before has staged, called in this thread."""
+    drop_staged(spark, getattr(_of_last, "folders", []))
 
 
 def _filtered(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``step`` on the columns under names that cannot clash with its own."""
-    drop_staged(docs.sparkSession, _of_last_stage)
+    _drop_of_last(docs.sparkSession)
     before = set(staged_folders())
     held = {c: c if c in ("doc_id", "text") else f"column {k}" for k, c in enumerate(docs.columns)}
     out = step(docs.select([F.col(f"`{c}`").alias(x) for c, x in held.items()]))
-    _of_last_stage[:] = [x for x in staged_folders() if x not in before]
+    _of_last.folders = [x for x in staged_folders() if x not in before]
     return out.select([F.col(f"`{x}`").alias(c) for c, x in held.items()])
 
 
@@ -76,7 +83,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    drop_staged(spark, _of_last_stage)
+    _drop_of_last(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -94,8 +101,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    held: list[str] = []
     for name, stage in STAGES[:-1]:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        last, held = held, []
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}", held)
+        drop_staged(spark, last)
     return STAGES[-1][1](spark, docs, sf_dir)
