@@ -78,10 +78,10 @@ def pieces(docs: DataFrame, tokenizer: str, end: int = 2, kind: str = "word", si
         encode = bpe.encoder(tokenizer, kind).encode
         number = count(TaskContext.get().partitionId() << 40)  # a row's own, also among equal rows
         for batch in batches:
-            owners, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for k in range(0, len(texts), 256):
-                for own, ids in zip(owners[k : k + 256], encode(texts[k : k + 256], end)):
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)  # of a batch's texts no more are held twice
+                for own, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist(), end)):
                     n, key = len(ids) // 4, next(number)
                     for at in range(0, n, size):
                         part = ids[4 * at : 4 * (at + size)]
