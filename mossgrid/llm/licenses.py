@@ -4,8 +4,8 @@ its digest is hash-joined to the digests of known licence texts.
 Normalising: lower case, copyright lines dropped, equivalent spellings made one, everything
 but a-z and 0-9 made single spaces. A unit is only normalised if it holds a word that every
 known text holds one of, which cannot lose a match. The table of known digests is built from
-the lists in ``license_texts`` (a fixed size), so it may be broadcast. The SQL has the list of
-texts alone, without the digests of longer ones and without copyright lines that lack a year.
+the lists in ``license_texts`` (a fixed size), so it may be broadcast; the SQL has the same
+texts, digests and patterns.
 
 Nulls and ties: a null text is empty and matches nothing. Rows that agree in id and text are
 one document; a null id is an id like others. An empty table gives no rows. Other columns
@@ -26,9 +26,8 @@ SPELLINGS = [
     ("non-commercial", "noncommercial"), ("organisation", "organization"), ("favour", "favor"), ("acknowledgement", "acknowledgment"),
     ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("whilst", "while"),
 ]
-COPYRIGHT_LINE = "(^|\\n)[^a-z0-9\\n]*(copyright( \\(c\\)| ©)? [0-9]|\\(c\\) [0-9]|© ?[0-9])[^\\n]*"
-#: Lines that name holders after a sign, with or without a year; the pattern above is the SQL's.
-#: A sign alone, "(c) You must", may begin a list's item and needs a year.
+#: Lines that name holders after a sign, with or without a year. A sign alone, "(c) You must",
+#: may begin a list's item and needs a year.
 HOLDER_LINE = "(^|\\n)[^a-z0-9\\n]*(copyright ?(\\(c\\)|©)|copyright [0-9]|\\(c\\) [0-9]|©)[^\\n]*"
 #: Each known text holds one of these after normalising; so do the spellings it stands for.
 ANCHORS = "(?i)licen|permission|redistribution|rights"
@@ -79,7 +78,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(x: str) -> str:
-    out = f"regexp_replace(lower({x}), '{COPYRIGHT_LINE.replace(chr(92) * 2, chr(92))}', chr(10), 'g')"
+    out = f"regexp_replace(lower({x}), '{HOLDER_LINE}', chr(10), 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return f"md5(trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')))"
@@ -90,7 +89,7 @@ def _sql_text(x: str) -> str:
 
 
 SQL = f"""
-WITH known AS (SELECT {_sql_canonical('t')} AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_sql_text(k)}, {_sql_text(v)})' for k, v in KNOWN.items())}) AS k(license, t) GROUP BY 1),
+WITH known(digest, license) AS (SELECT {_sql_canonical('t')} AS digest, min(license) AS license FROM (VALUES {', '.join(f'({_sql_text(k)}, {_sql_text(v)})' for k, v in KNOWN.items())}) AS k(license, t) GROUP BY 1 UNION ALL VALUES {', '.join(f'({_sql_text(x)}, {_sql_text(k)})' for k, own in WHOLE.items() for x in own)}),
 d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
 u AS (SELECT doc_id, text, true AS whole, text AS unit FROM d UNION ALL SELECT doc_id, text, false, unnest(string_split(text, chr(10))) FROM d),
 h AS (SELECT u.doc_id, u.text, whole, license FROM u LEFT JOIN known ON known.digest = {_sql_canonical('u.unit')})

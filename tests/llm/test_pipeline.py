@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from mossgrid.llm import shared
+from mossgrid.llm import license_texts, licenses, shared
 from mossgrid.llm.shared import staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -78,6 +78,33 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == columns and plain(got) == plain(want)
 
 
+def test_whole_licenses_against_sql(spark):
+    import duckdb
+
+    rows = [(n, f"Copyright (c) The Authors of {n}\n\n" + t.replace("License", "Licence")) for n, t in enumerate(license_texts.KNOWN.values())]
+    rows += [(100 + n, head + license_texts.KNOWN["ISC"]) for n, head in enumerate(("© Someone\n", "(c) 2020 Someone\n", "(c) Someone\n", "Copyright 2001-2004, Someone\n", "* Copyright © Someone\n", "A copyright (c) Someone\n"))]
+    folder = "/usr/share/common-licenses"
+    for n, name in enumerate(sorted(os.listdir(folder)) if os.path.isdir(folder) else []):
+        with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as h:
+            text = h.read()
+        rows += [(200 + n, text), (300 + n, text.upper().replace("\n", "\r\n   ")), (400 + n, text + "\nand more")]
+    rows += [(None, None), (500, ""), (501, "All rights reserved.\nall RIGHTS reserved\nno")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = df.toArrow()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    columns = ["doc_id", "text_license", "line_licenses", "n_license_lines"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({licenses.SQL})").fetchall()
+    got = [tuple(r) for r in licenses.scan(df).select(columns).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    found = {r[0]: r[1] for r in got}
+    assert all(found[n] for n in range(len(license_texts.KNOWN)))
+    assert [found[100 + n] for n in range(6)] == ["ISC", "ISC", None, "ISC", "ISC", None]
+    if os.path.isdir(folder):
+        whole = {found[n] for n in found if n is not None and 200 <= n < 300} - {None}
+        assert whole and whole <= set(license_texts.WHOLE) | set(license_texts.KNOWN)
+
+
 def test_no_other_module_imports_this_package():
     top = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     for folder, _, files in os.walk(os.path.join(top, "mossgrid")):
