@@ -265,8 +265,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     kinds = cand.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tk", "start", "least", "most")).alias("of"))
     kinds = staged(kinds, "kinds")
     cores = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    places: list[str] = []
-    different = staged(kinds.join(cores, "key").select("key", "digest", "d", "of.*"), "different", places)
+    folders: list[str] = []
+    different = staged(kinds.join(cores, "key").select("key", "digest", "d", "of.*"), "different", folders)
     at = different.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "digest", "d", "start", "least", "most")).alias("spots"))
     at = at.select(F.col("doc_id").alias("of_id"), F.col("tk").alias("of_tk"), "spots")
     where = possible(docs, different, ["doc_id", "tk"]).join(at, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("tk") == F.col("of_tk"))).select("text", "spots")
@@ -285,7 +285,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     cut = where.mapInArrow(snippets, "key long, digest long, d long, least long, most long, before binary, after binary")
     cut = staged(cut, "snippets")
-    drop_staged(spark, places)
+    drop_staged(spark, folders)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
