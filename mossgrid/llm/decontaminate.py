@@ -57,7 +57,9 @@ def marked(text: Column, blind: bool = False) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "")
     out = F.lower(out) if blind else out
     for pattern, new in STEPS[1:] if blind else STEPS:
-        out = F.regexp_replace(out, pattern, new)
+        # Java repeats a group by recursion, one level a name or number, unless it gives nothing
+        # back; as these groups are the last of their patterns, nothing is ever asked back
+        out = F.regexp_replace(out, pattern.replace(")*", ")*+"), new)
     return F.array_remove(F.split(F.lower(F.regexp_replace(out, "[^\\p{L}\\p{N}\x01]+", " ")), " "), "")
 
 

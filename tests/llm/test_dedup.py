@@ -189,6 +189,16 @@ def test_decontaminate_in_any_case(spark):
     assert 1 not in {r["doc_id"] for r in decontaminate.leaks(df, bench).collect()}
 
 
+def test_decontaminate_long_runs(spark):
+    """Very many names or parts of a number in a row."""
+    prose = "the wizard asked seven small dragons for a map of the old northern castle"
+    runs = ["said " + "Anna " * 60_000, "at " + "1.2," * 60_000 + "3 km"]
+    docs = spark.createDataFrame([(k, f"{run} . {prose}") for k, run in enumerate(runs)] + [(2, prose)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, prose)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()) == [0, 1, 2]
+    assert decontaminate.decontaminated(docs, bench).count() == 0
+
+
 @pytest.mark.parametrize("n", [(10, 7), (8, 8), (5, 40)])
 def test_several_line_templates_in_a_leaf(spark, n):
     words = [a + b for a in "abcdefgh" for b in "klmnop"]
