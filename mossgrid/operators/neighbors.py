@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE_ROWS, TARGET_SAMPLE, COPY_TARGETS = 4096, 65_536, 8192, 16_384, 4096, 200_000
 _COPIES = 1024
 
-_OUT = "id long, pixel_number int, neighbor_id long, d2 double"
+_OUT = "id long, pixel_number int, neighbor_id long, distance double"
 _PLACED = "cell int, block int, copy int, target boolean, id long, pixel_number int, scores array<double>"
 
 
@@ -41,12 +41,12 @@ def project(env: Column, means: Sequence[float], coefficients: np.ndarray, axis_
     axes = min(n_axes, coefficients.shape[1])
     out = []
     for a in range(axes):
-        scale = 1.0 if axis_weights is None else float(axis_weights[a]) ** 0.5
-        terms = [(env[k] - F.lit(float(m))) * F.lit(float(coefficients[k, a]) * scale) for k, m in enumerate(means)]
+        terms = [(env[k] - F.lit(float(m))) * F.lit(float(coefficients[k, a])) for k, m in enumerate(means)]
         score = terms[0]
         for t in terms[1:]:
             score = score + t
-        out.append(score)
+        # weighted last, as the scores of plots are: equal covariates have equal scores
+        out.append(score if axis_weights is None else score * F.lit(float(axis_weights[a]) ** 0.5))
     return F.array(*out)
 
 
@@ -227,10 +227,10 @@ def search(targets: DataFrame, index: Index | None, k: int, scores: str = "score
     if index.others is not None:  # a target's own row, if there are many of its scores
         mine = own.join(index.others.select("id", F.col("scores").alias("_s")), "id")
         d2 = F.aggregate(F.zip_with("scores", "_s", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-        found = found.unionByName(mine.select("id", "pixel_number", F.col("id").alias("neighbor_id"), d2.alias("d2")))
-    order = [F.col("d2"), (F.col("id") != F.col("neighbor_id")), F.col("neighbor_id")]
+        found = found.unionByName(mine.select("id", "pixel_number", F.col("id").alias("neighbor_id"), F.sqrt(d2).alias("distance")))
+    order = [F.col("distance"), (F.col("id") != F.col("neighbor_id")), F.col("neighbor_id")]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id", "pixel_number").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("id", "pixel_number", "rank", "neighbor_id", F.sqrt("d2").alias("distance"))
+    return ranked.where(F.col("rank") <= k).select("id", "pixel_number", "rank", "neighbor_id", "distance")
 
 
 def _copies(own: DataFrame, bounds: _Bounds, blocks: np.ndarray) -> np.ndarray:
@@ -291,13 +291,17 @@ def _best(tid: np.ndarray, pixel: pa.Array, x: np.ndarray, ids: np.ndarray, matr
         limit = np.partition(about, kk - 1, axis=1)[:, kk - 1] if kk < len(ids) else about.max(axis=1)
         slack = 1e-9 * ((t * t).sum(axis=1) + square.max() + 1)
         r, c = np.nonzero(about <= (limit + slack)[:, None])
-        d2 = ((t[r] - matrix[c]) ** 2).sum(axis=1)
-        keep = np.lexsort((ids[c], ids[c] != tid[lo + r], d2, r))
-        r, c, d2 = r[keep], c[keep], d2[keep]
+        distance = np.zeros(len(r))
+        for a in range(t.shape[1]):  # one element after another, as SQL adds up
+            apart = t[r, a] - matrix[c, a]
+            distance += apart * apart
+        distance = np.sqrt(distance)
+        keep = np.lexsort((ids[c], ids[c] != tid[lo + r], distance, r))
+        r, c, distance = r[keep], c[keep], distance[keep]
         first = np.searchsorted(r, np.arange(len(t)))
         inside = np.arange(len(r)) - first[r] < kk
-        r, c, d2 = r[inside], c[inside], d2[inside]
-        yield pa.RecordBatch.from_arrays([pa.array(tid[lo + r]), pixel.take(pa.array(lo + r)), pa.array(ids[c]), pa.array(d2)], names=["id", "pixel_number", "neighbor_id", "d2"])
+        r, c, distance = r[inside], c[inside], distance[inside]
+        yield pa.RecordBatch.from_arrays([pa.array(tid[lo + r]), pixel.take(pa.array(lo + r)), pa.array(ids[c]), pa.array(distance)], names=["id", "pixel_number", "neighbor_id", "distance"])
 
 
 def independent(neighbors: DataFrame, crosswalk: DataFrame) -> DataFrame:

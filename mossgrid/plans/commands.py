@@ -128,10 +128,10 @@ def build_attribute_raster(near: DataFrame, attributes: DataFrame, attribute: st
 def impute(parameters: Parameters, model: ordination.Ordination, stack: DataFrame) -> DataFrame:
     """Wall to wall: row, col, rank, neighbor_id, distance of every pixel of a stack of
     covariates (row, col, variables)."""
-    width = 1 << 31
-    env = stack.withColumns({"id": F.col("row").cast("long") * width + F.col("col"), "pixel_number": F.lit(1)})
-    near = find_neighbors(parameters, model, env)
-    return near.select(F.floor(F.col("id") / width).cast("int").alias("row"), F.pmod("id", F.lit(width)).cast("int").alias("col"), "rank", "neighbor_id", "distance")
+    # a pixel's id is negative, so that no plot is taken for the pixel's own
+    env = stack.withColumns({"id": -1 - (F.shiftleft(F.col("row").cast("long"), 31) + F.col("col")), "pixel_number": F.lit(1)})
+    place = -1 - F.col("id")
+    return find_neighbors(parameters, model, env).select(F.shiftright(place, 31).cast("int").alias("row"), F.pmod(place, F.lit(1 << 31)).cast("int").alias("col"), "rank", "neighbor_id", "distance")
 
 
 def footprint_environment(spark: SparkSession, plots: DataFrame, footprints: list[rasters.Footprint], geometry: rasters.Geometry, stack: DataFrame, variables: list[str], use_kernel: bool = False) -> DataFrame:
