@@ -9,8 +9,9 @@ to the cells that these bounds leave. There it meets the reference: rows of both
 shuffled by cell, the reference first, so that a task holds one block of a cell while targets
 stream by. The best of every cell are merged by a window.
 
-Large cells are cut into blocks, each of which gets the cell's targets; cells that many
-targets go to (as a sample of targets tells) are repeated, and each copy gets some of them. Of
+Small cells that are near each other are packed into units, so that a target and what it finds
+are sent once for all of them; larger cells are units of their own. Large units are cut into
+blocks, each of which gets the unit's targets; units that many targets go to (as a sample of targets tells) are repeated, and each copy gets some of them. Of
 reference rows with equal scores the k lowest ids are kept, and a target's own row besides, as
 no other can be among its k nearest. So neither many equal plots nor many targets at one place
 make a large group.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 #: the reference and the targets (all on the driver); targets that one copy of a cell gets.
 CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE_ROWS, TARGET_SAMPLE, COPY_TARGETS = 4096, 65_536, 8192, 16_384, 4096, 200_000
 _COPIES = 1024
+#: Numbers of a matrix, and rows, that a Python worker makes at once (whatever the table's size).
+_AT_ONCE, _ROWS_OUT = 2_000_000, 16_384
 
 _OUT = "id long, pixel_number int, neighbor_id long, distance double"
 _PLACED = "cell int, block int, copy int, target boolean, id long, pixel_number int, scores array<double>"
@@ -137,7 +140,7 @@ def build_index(reference: DataFrame, most: int, scores: str = "scores", cell_ro
 
 
 def _nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    rows = max(1, 8_000_000 // len(pivots))
+    rows = max(1, _AT_ONCE // len(pivots))
     return np.concatenate([_squares(x[k : k + rows], pivots).argmin(axis=1) for k in range(0, len(x), rows)]).astype(np.int32)
 
 
@@ -145,17 +148,47 @@ def _to_pivot(x: np.ndarray, pivots: np.ndarray, cell: np.ndarray) -> np.ndarray
     return np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
 
 
+def _by_place(places: np.ndarray) -> np.ndarray:
+    """An order in which places near each other follow each other mostly: halves by the widest
+    axis, and so on."""
+
+    def cut(own: np.ndarray) -> np.ndarray:
+        if len(own) < 3:
+            return own
+        axis = np.ptp(places[own], axis=0).argmax()
+        own, half = own[np.argsort(places[own, axis], kind="stable")], len(own) // 2
+        return np.concatenate([cut(own[:half]), cut(own[half:])])
+
+    return cut(np.arange(len(places)))
+
+
+def _units(index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The unit of each cell and the number of blocks of each unit. Cells are packed up to
+    ``CELL_ROWS`` rows, and blocks hold no fewer where they are cut."""
+    unit, at, held = np.zeros(len(index.sizes), np.int64), 0, 0
+    for cell in _by_place(index.pivots):
+        if held and held + index.sizes[cell] > CELL_ROWS:
+            at, held = at + 1, 0
+        unit[cell] = at
+        held += index.sizes[cell]
+    return unit, -(-np.bincount(unit, index.sizes).astype(np.int64) // max(index.block_rows, CELL_ROWS))
+
+
 class _Bounds:
-    """Which cells a target has to be sent to."""
+    """Which cells, or units of them if these are given, a target has to be sent to."""
 
-    def __init__(self, index: Index, k: int):
+    def __init__(self, index: Index, k: int, unit: np.ndarray | None = None):
+        self.unit = unit
+        if unit is not None:
+            self.by_unit = np.argsort(unit, kind="stable")
+            self.first = np.searchsorted(unit[self.by_unit], np.arange(unit.max() + 1))
         self.k, self.pivots, self.sample = k, index.pivots, index.sample
         self.there, self.nearest, self.farthest = index.sizes > 0, index.nearest, index.farthest
         self.length = float(max((index.pivots**2).sum(axis=1).max(), (index.sample**2).sum(axis=1).max()))
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of (row of ``x``, cell), by row."""
-        step = max(1, 8_000_000 // max(len(self.pivots), len(self.sample)))
+        """Pairs of (row of ``x``, cell or unit), by row."""
+        step = max(1, _AT_ONCE // max(len(self.pivots), len(self.sample)))
         parts = [self._cells(x[k : k + step]) for k in range(0, len(x), step)]
         rows = [r + k * step for k, (r, _) in enumerate(parts)]
         return np.concatenate(rows), np.concatenate([c for _, c in parts])
@@ -173,7 +206,8 @@ class _Bounds:
         apart = np.sqrt(((self.pivots[own][:, None, :] - self.pivots[None]) ** 2).sum(axis=2)) if len(self.pivots) < 64 else np.sqrt(_squares(self.pivots[own], self.pivots))
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = np.where(apart > slack, (d2 - d2[np.arange(len(x)), own][:, None] - 4 * error[:, None]) / (2 * (apart + slack)), 0)
-        return np.nonzero((np.maximum(least, plane) <= most[:, None] + slack) & self.there)
+        near = (np.maximum(least, plane) <= most[:, None] + slack) & self.there
+        return np.nonzero(near if self.unit is None else np.logical_or.reduceat(near[:, self.by_unit], self.first, axis=1))
 
 
 def knn(targets: DataFrame, reference: DataFrame, k: int, scores: str = "scores", cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -194,32 +228,37 @@ def search(targets: DataFrame, index: Index | None, k: int, scores: str = "score
         return spark.createDataFrame([], "id long, pixel_number int, rank int, neighbor_id long, distance double")
     if k > index.most:
         raise ValueError(f"the index serves up to {index.most} neighbors")
-    bounds, blocks = _Bounds(index, k), index.blocks()
+    unit, blocks = _units(index)
+    bounds = _Bounds(index, k, unit)
     copies = _copies(own, bounds, blocks)
     shared = spark.sparkContext.broadcast((bounds, blocks, copies))
 
     def deal_reference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, blocks, copies = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = _nearest_pivot(_matrix(batch.column(1)), bounds.pivots)
-            ids = batch.column(0).to_numpy()
-            again = np.repeat(np.arange(len(cell)), copies[cell])
-            copy = np.arange(len(again)) - np.repeat(np.cumsum(copies[cell]) - copies[cell], copies[cell])
-            yield _placed(cell[again], (_mixed(ids) % blocks[cell])[again], copy, False, batch.column(0).take(pa.array(again)), None, batch.column(1).take(pa.array(again)))
+            step = max(1, _ROWS_OUT // int(copies.max()))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                cell = bounds.unit[_nearest_pivot(_matrix(part.column(1)), bounds.pivots)]
+                ids = part.column(0).to_numpy()
+                again = np.repeat(np.arange(len(cell)), copies[cell])
+                copy = np.arange(len(again)) - np.repeat(np.cumsum(copies[cell]) - copies[cell], copies[cell])
+                yield _placed(cell[again], (_mixed(ids) % blocks[cell])[again], copy, False, part.column(0).take(pa.array(again)), None, part.column(1).take(pa.array(again)))
 
     def deal_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds, blocks, copies = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            step = min(1024, max(1, _AT_ONCE // int(blocks.sum())))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 row, cell = bounds.cells(_matrix(part.column(2)))
                 ids = _mixed(part.column(0).to_numpy() * 31 + part.column(1).fill_null(0).to_numpy(zero_copy_only=False))
                 again = np.repeat(np.arange(len(row)), blocks[cell])
                 block = np.arange(len(again)) - np.repeat(np.cumsum(blocks[cell]) - blocks[cell], blocks[cell])
-                row, cell = row[again], cell[again]
-                yield _placed(cell, block, ids[row] % copies[cell], True, part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row)))
+                for lo in range(0, len(again), _ROWS_OUT):
+                    some = slice(lo, lo + _ROWS_OUT)
+                    at_row, at_cell = row[again[some]], cell[again[some]]
+                    yield _placed(at_cell, block[some], ids[at_row] % copies[at_cell], True, *[part.column(c).take(pa.array(at_row)) for c in range(3)])
 
     both = index.rows.select("id", "scores").mapInArrow(deal_reference, _PLACED).unionByName(own.select("id", "pixel_number", "scores").mapInArrow(deal_targets, _PLACED))
     met = both.repartition("cell", "block", "copy").sortWithinPartitions("cell", "block", "copy", "target")
@@ -284,7 +323,7 @@ def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 def _best(tid: np.ndarray, pixel: pa.Array, x: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """Candidates come from one matrix product; their distances are evaluated again exactly."""
     square = (matrix * matrix).sum(axis=1)
-    rows, kk = max(1, 20_000_000 // len(ids)), min(k, len(ids))
+    rows, kk = max(1, _AT_ONCE // len(ids)), min(k, len(ids))
     for lo in range(0, len(x), rows):
         t = x[lo : lo + rows]
         about = square[None, :] - 2 * t @ matrix.T

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,34 @@ def test_nulls_few_rows_and_limits(spark):
     with pytest.raises(ValueError):
         neighbors.search(odd, neighbors.build_index(ref, 2), 3)
     assert neighbors.knn(ref, ref, 2).where(F.col("rank") == 1).where("id <> neighbor_id").count() == 0
+
+
+def test_small_cells_are_packed(spark, monkeypatch):
+    """A target is sent once to many small cells, and large units are still cut."""
+    rng = np.random.default_rng(5)
+    y, x = rng.normal(size=(600, 6)), rng.normal(size=(80, 6))
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 90)
+    index = neighbors.build_index(table(spark, y), 5, cell_rows=20, block_rows=4)
+    unit, blocks = neighbors._units(index)
+    assert len(index.sizes) >= 25 and len(blocks) <= 12 and np.bincount(unit, index.sizes).max() <= 90
+    sent = neighbors._Bounds(index, 5, unit).cells(x)
+    cells = neighbors._Bounds(index, 5).cells(x)
+    assert set(zip(*sent)) == {(r, unit[c]) for r, c in zip(*cells)} and len(sent[0]) < len(cells[0]) / 2
+    got = found(neighbors.search(table(spark, x, range(1000, 1080)), index, 5))
+    assert got == brute(x, range(1000, 1080), y, np.arange(600), 5)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 8)
+    assert neighbors._units(index)[1].max() > 1
+    assert found(neighbors.search(table(spark, x, range(1000, 1080)), index, 5)) == got
+
+
+def test_memory_is_bounded():
+    """What a worker makes at once does not grow with the rows that it meets."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    y, x = rng.normal(size=(40_000, 8)), rng.normal(size=(1500, 8))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in neighbors._best(np.arange(1500) + 10**6, pa.nulls(1500, pa.int32()), x, np.arange(40_000), y, 24))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1500 * 24 and peak < 100 << 20
