@@ -239,6 +239,7 @@ DISTANCE_SITES = 4000
 def dbrda(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: int | None = None) -> Ordination:
     """Distance-based redundancy analysis on Bray-Curtis dissimilarities: principal
     coordinates (of positive eigenvalues) take the place of species."""
+    species, env = species.persist(), env.persist()  # read by checks, ids and pairs
     check_inputs(species, env)
     ids = [r["id"] for r in species.select("id").distinct().orderBy("id").limit(DISTANCE_SITES + 1).collect()]
     if len(ids) > DISTANCE_SITES:
@@ -254,6 +255,7 @@ def dbrda(species: DataFrame, env: DataFrame, variables: Sequence[str], axes: in
     # a constant keeps column sums positive; centering takes it out again
     points = species.sparkSession.createDataFrame(rows, "id long, species string, x double")
     out = rda(points, env, variables, axes)
+    species.unpersist(), env.unpersist()
     out.prefix = "CAP"
     return out
 

@@ -373,14 +373,15 @@ _ENV = ["acctbal", "price", "discount"]
 
 def site_species(spark: SparkSession, d: str) -> DataFrame:
     part = _read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("species"))
-    own = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(_read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
-    own = own.join(_read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("id")), "c_custkey").join(part, "l_partkey")
+    # orders meet their customers before line items, which are more, meet them
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(_read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("id")), "c_custkey").drop("c_custkey")
+    own = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(orders, "l_orderkey").join(part, "l_partkey")
     return own.groupBy("id", "species").agg(F.sum("l_quantity").alias("x"))
 
 
 def site_env(spark: SparkSession, d: str) -> DataFrame:
-    own = _read(spark, d, "lineitem").select("l_orderkey", "l_discount").join(_read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", F.col("o_custkey").alias("c_custkey")), "l_orderkey")
-    own = own.join(_read(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("long").alias("id")), "c_custkey")
+    orders = _read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice", F.col("o_custkey").alias("c_custkey")).join(_read(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("long").alias("id")), "c_custkey").drop("c_custkey")
+    own = _read(spark, d, "lineitem").select("l_orderkey", "l_discount").join(orders, "l_orderkey")
     return own.groupBy("id").agg(F.avg("c_acctbal").alias("acctbal"), F.avg("o_totalprice").alias("price"), F.avg("l_discount").alias("discount"))
 
 
@@ -412,7 +413,9 @@ def weighted_env_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cca_cross_products(spark: SparkSession, d: str) -> DataFrame:
-    _, g, c, names, _ = ordination.cross_products(site_species(spark, d), site_env(spark, d), _ENV)
+    species, env = site_species(spark, d).persist(), site_env(spark, d).persist()  # read by each aggregate
+    _, g, c, names, _ = ordination.cross_products(species, env, _ENV)
+    species.unpersist(), env.unpersist()
     rows = [("G", a, b, float(g[i, j])) for i, a in enumerate(_ENV) for j, b in enumerate(_ENV)] + [("C", a, b, float(c[i, j])) for i, a in enumerate(_ENV) for j, b in enumerate(names)]
     return spark.createDataFrame(rows, "part string, variable string, other string, value double").withColumn("value", _r("value", 5) + F.lit(0.0))
 

@@ -141,3 +141,25 @@ def test_downweighting_reaches_the_model(spark):
     plain, less, other = (o.fit(p, "CCA", df, env, ["v0", "v1"], downweighting=w).eigenvalues for p, w in (("vegan", False), ("vegan", True), ("numpy", True)))
     assert np.allclose(plain, other) and not np.allclose(plain, less)
     assert np.allclose(less, o.cca(o.downweighted(df), env, ["v0", "v1"]).eigenvalues)
+
+
+@pytest.mark.parametrize("name", ["cca_cross_products", "dbrda_eigenvalues"])
+def test_sites_are_made_once(spark, monkeypatch, name):
+    """The joins behind species and sites run once for all aggregates."""
+    from mossgrid.plans import queries
+
+    made, read = queries.site_species, spark.sparkContext.accumulator(0)
+
+    def counted(spark, d):
+        own = made(spark, d)
+
+        def passed(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return own.mapInArrow(passed, own.schema)
+
+    monkeypatch.setattr(queries, "site_species", counted)
+    out = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert out.count() and 0 < read.value <= made(spark, "/root/testdata/sf0.001").count()
