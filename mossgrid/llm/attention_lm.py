@@ -13,7 +13,8 @@ The corpus statistics cover all training documents: word counts are summed exact
 cluster (they grow with the input), and each distinct word is encoded once, with its exact
 count, for the counts of ids and of pairs inside words. The ``HOT`` most frequent words go to the executors with
 their counts (a fixed bound); for other words each document's rows are joined to the counts
-by a shuffle. The attention weights start from a fit on at most ``SAMPLE`` training documents;
+by a shuffle. Pairs of ids likewise: the most frequent of each of 2^20 slots goes to the
+executors, the others are joined to the documents that hold them. The attention weights start from a fit on at most ``SAMPLE`` training documents;
 then every training document is a part of one of ``ROUNDS`` rounds, in which each task goes on
 from the same weights over its documents and the weights are averaged, by ids seen.
 
@@ -127,6 +128,20 @@ class Model:
     back: np.ndarray  # by the id before: log10 of what the pairs leave to single frequencies
     pair_key: np.ndarray
     pair_log: np.ndarray
+    crowded: np.ndarray  # slots that several pairs share; all but one of them are looked up by a join
+
+    def missed(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each sequence the pairs that ``_inside`` scores by the back-off, though a pair of
+        their slot may have been left out there."""
+        n = np.array([len(s) for s in sequences], dtype=np.int64)
+        b = np.concatenate(sequences).astype(np.int64)
+        a = np.append(self.end, b[:-1])
+        a[np.cumsum(n) - n] = self.end
+        rest = np.flatnonzero(self.class_of[b] == CLASSES - 1)
+        key = (a[rest] << 16) | b[rest]
+        slot = _slot(key, len(self.pair_key))
+        out = self.crowded[slot] & (self.pair_key[slot] != key)
+        return np.split(key[out], np.searchsorted(rest[out], np.cumsum(n)[:-1]))
 
     def _inside(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 probability of ids in their classes."""
@@ -134,7 +149,7 @@ class Model:
         rest = np.nonzero(self.class_of[ids] == CLASSES - 1)
         a, b = before[rest], ids[rest]
         key = (a << 16) | b
-        slot = _slot(key)
+        slot = _slot(key, len(self.pair_key))
         out[rest] = np.where(self.pair_key[slot] == key, self.pair_log[slot], out[rest] + self.back[a])
         return out
 
@@ -216,13 +231,15 @@ _SLOTS = 20
 _BACK_OFF = 20.0
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * 2654435761) & 0xFFFFFFFF) >> (32 - _SLOTS)
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    return ((key * 2654435761) & 0xFFFFFFFF) >> (33 - slots.bit_length())
 
 
-def fit(sequences: list[np.ndarray], id_counts: np.ndarray, end: int, begins: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], seed: int = 3, passes: int = 2) -> Model:
+def fit(sequences: list[np.ndarray], id_counts: np.ndarray, end: int, begins: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], seed: int = 3, passes: int = 2, after: np.ndarray | None = None, crowded: np.ndarray | None = None) -> Model:
     """Fit the attention weights by Adam on blocks of the sequences. ``begins``: whether an
-    id begins a word; ``pairs``: ids in a row inside words, and how often."""
+    id begins a word; ``pairs``: ids in a row inside words, and how often. Where these are not
+    all pairs, ``after`` has the counts of all by their first id, ``crowded`` the slots of more
+    than one."""
     order = np.argsort(-id_counts, kind="stable")
     input_of = np.full(len(id_counts), INPUTS - 1, dtype=np.int32)
     input_of[order[: INPUTS - 1]] = np.arange(min(INPUTS - 1, len(order)))
@@ -238,14 +255,18 @@ def fit(sequences: list[np.ndarray], id_counts: np.ndarray, end: int, begins: np
     n = np.bincount(at, n[some], minlength=len(key))
     pair_key, pair_n = np.full(1 << _SLOTS, -1, dtype=np.int64), np.zeros(1 << _SLOTS)
     rising = np.argsort(n, kind="stable")
-    pair_key[_slot(key[rising])], pair_n[_slot(key[rising])] = key[rising], n[rising]  # the most frequent of a slot stays
-    after = np.bincount(np.maximum(pair_key, 0) >> 16, pair_n, minlength=len(id_counts))
+    slot = _slot(key[rising], len(pair_key))
+    pair_key[slot], pair_n[slot] = key[rising], n[rising]  # the most frequent of a slot stays
+    if after is None:
+        after = np.bincount(np.maximum(pair_key, 0) >> 16, pair_n, minlength=len(id_counts))
+    if crowded is None:
+        crowded = np.zeros(len(pair_key), dtype=bool)
     back = np.log10(_BACK_OFF / (after + _BACK_OFF))
     one = np.maximum(pair_key, 0)
     pair_log = np.log10((pair_n + _BACK_OFF * 10 ** inside[one & 0xFFFF]) / (after[one >> 16] + _BACK_OFF))
     rng = np.random.default_rng(seed)
     w = {k: (rng.standard_normal(shape) * s).astype(np.float32) for k, shape, s in (("E", (INPUTS, WIDTH), 0.3), ("P", (2 * BLOCK, WIDTH), 0.1), ("Q", (WIDTH, WIDTH), 0.25), ("K", (WIDTH, WIDTH), 0.25), ("V", (WIDTH, WIDTH), 0.25), ("O", (WIDTH, CLASSES), 0.1), ("b", (CLASSES,), 0.0))}
-    model = Model(end, input_of, class_of, inside, w, back, pair_key, pair_log)
+    model = Model(end, input_of, class_of, inside, w, back, pair_key, pair_log, crowded)
     if not sequences:
         return model
     inputs, targets, first, _ = blocked(sequences, end)
@@ -327,10 +348,9 @@ def _table(tokenizer: str) -> Words:
     return of_worker(("words", tokenizer), lambda: Words(tokenizer))
 
 
-def id_statistics(counts: DataFrame, tokenizer: str, end: int, n_docs: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """How often each id is in all words of ``counts`` (the end id: ``n_docs``), and ids in a row inside words, with
-    how often: of the pairs that share a slot the most frequent, those whose second id is not
-    a class of its own."""
+def counted_ids(counts: DataFrame, tokenizer: str) -> DataFrame:
+    """key and n: how often each id (key -1 - id) and each pair of ids in a row inside a word
+    (first id << 16 | second) is in all words of ``counts``."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer)
@@ -341,24 +361,63 @@ def id_statistics(counts: DataFrame, tokenizer: str, end: int, n_docs: int = 0)
                 of = np.repeat(np.arange(len(per)), per)
                 n = times[k : k + 50_000][of]
                 inner = of[:-1] == of[1:]
-                # an id alone is -1 - id, a pair its two ids
                 key = np.concatenate([-1 - got.astype(np.int64), (got[:-1].astype(np.int64) << 16 | got[1:])[inner]])
                 key, at = np.unique(key, return_inverse=True)
                 sums = np.zeros(len(key), dtype=np.int64)
                 np.add.at(sums, at, np.concatenate([n, n[1:][inner]]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums)], names=["key", "n"])
 
-    found = staged(counts.select("word", "n").mapInArrow(encode, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
-    id_counts = np.zeros(end + 1)
+    return staged(counts.select("word", "n").mapInArrow(encode, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+
+
+@dataclass
+class Statistics:
+    """Figures of ids and pairs, each of a fixed greatest size, and the pairs beyond them."""
+
+    id_counts: np.ndarray
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
+    after: np.ndarray
+    crowded: np.ndarray
+    others: DataFrame  # key, n: pairs that are not the most frequent of their slot
+
+
+def statistics(found: DataFrame, end: int, n_docs: int = 0) -> Statistics:
+    """From ``counted_ids``: how often each id is there (the end id: ``n_docs``); of the pairs
+    that share a slot the most frequent, those whose second id is not a class of its own; the
+    counts of all such pairs by first id; and the other pairs of each slot."""
+    id_counts, after, crowded = np.zeros(end + 1), np.zeros(end + 1), np.zeros(1 << _SLOTS, dtype=bool)
     single = found.where("key < 0").toArrow()  # a row per id of the vocabulary at most
     id_counts[-1 - single["key"].to_numpy()] = single["n"].to_numpy()
     id_counts[end] += n_docs
     own = np.argsort(-id_counts, kind="stable")[: CLASSES - 2].tolist()
     pairs = found.where("key >= 0").where(~F.col("key").bitwiseAND(F.lit(0xFFFF)).isin(own))
+    sums = pairs.groupBy(F.shiftright("key", 16).alias("a")).agg(F.sum("n").alias("n")).toArrow()  # a row per id at most
+    after[sums["a"].to_numpy()] = sums["n"].to_numpy()
     slot = F.shiftrightunsigned((F.col("key") * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 32 - _SLOTS)
-    best = pairs.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "key")).alias("top")).select("top.*").toArrow()  # a row per slot at most
+    slots = pairs.withColumn("slot", slot).groupBy("slot").agg(F.max(F.struct("n", "key")).alias("top"), F.count(F.lit(1)).alias("many"))
+    slots = staged(slots.select("slot", "top.n", "top.key", "many"), "slots")
+    best = slots.toArrow()  # a row per slot at most
     key = best["key"].to_numpy()
-    return id_counts, (key >> 16, key & 0xFFFF, best["n"].to_numpy().astype(np.float64))
+    crowded[best["slot"].to_numpy()[best["many"].to_numpy() > 1]] = True
+    others = pairs.withColumn("slot", slot).join(slots.where("many > 1").select("slot", F.col("key").alias("top")), "slot").where("key <> top").select("key", "n")
+    return Statistics(id_counts, (key >> 16, key & 0xFFFF, best["n"].to_numpy().astype(np.float64)), after, crowded, others)
+
+
+def id_statistics(counts: DataFrame, tokenizer: str, end: int, n_docs: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``statistics`` of ids and of the most frequent pair of each slot."""
+    own = statistics(counted_ids(counts, tokenizer), end, n_docs)
+    return own.id_counts, own.pairs
+
+
+def gains(others: DataFrame, inside: np.ndarray) -> DataFrame:
+    """key and gain: what the log10 probability of a pair that has no slot is above the back-off's."""
+
+    def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(1 + n / (_BACK_OFF * 10 ** inside[key & 0xFFFF])))], names=["key", "gain"])
+
+    return others.mapInArrow(gain, "key long, gain double")
 
 
 def trained(model: Model, training: DataFrame, tokenizer: str, rounds: int = ROUNDS, step: float = STEP) -> int:
@@ -453,8 +512,8 @@ def scored(docs: DataFrame, tokenizer: str, end: int = 50256, id_col: str = "doc
             ids += len(got)
     begins = np.append(words.encoder.edge, np.zeros(max(0, end + 1 - len(words.encoder.edge)), dtype=bool))[: end + 1]
     begins[end] = True
-    id_counts, pairs = id_statistics(counts, tokenizer, end, n_docs)
-    model = fit(sequences, id_counts, end, begins, pairs)
+    known_ids = statistics(counted_ids(counts, tokenizer), end, n_docs)
+    model = fit(sequences, known_ids.id_counts, end, begins, known_ids.pairs, after=known_ids.after, crowded=known_ids.crowded)
     trained(model, training, tokenizer)
     shared = spark.sparkContext.broadcast((model, hot_hash, hot_n))  # fixed bounds
     key = uuid.uuid4().hex
@@ -492,20 +551,21 @@ def scored(docs: DataFrame, tokenizer: str, end: int = 50256, id_col: str = "doc
                 sums = np.bincount(owner, value, minlength=len(n))
                 tails = np.split(flat[~known].view(np.int64), np.cumsum(np.bincount(owner[~known], minlength=len(n)))[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, len(n)), batch.column(1).slice(k, len(n)), pa.array(n + 1), pa.array(np.bincount(owner[known], minlength=len(n))), pa.array(sums), pa.array(model.score(sequences)), pa.array(tails, pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "n_tokens", "known", "value", "score", "tail"],
+                    [batch.column(0).slice(k, len(n)), batch.column(1).slice(k, len(n)), pa.array(n + 1), pa.array(np.bincount(owner[known], minlength=len(n))), pa.array(sums), pa.array(model.score(sequences)), pa.array(tails, pa.list_(pa.int64())), pa.array(model.missed(sequences), pa.list_(pa.int64()))],
+                    names=["doc_id", "held_out", "n_tokens", "known", "value", "score", "tail", "missed"],
                 )
 
     kind = dict(own.dtypes)["doc_id"]
-    rows = own.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, value double, score double, tail array<long>")
+    rows = own.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, value double, score double, tail array<long>, missed array<long>")
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), f"scores-{key[:6]}")
     shared.destroy()
     tail = rows.select("row", F.explode("tail").alias("hash")).join(counts.select("hash", "n"), "hash", "left")
     tail = tail.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1).cast("double"))).alias("tail_value"))
+    missed = rows.select("row", F.explode("missed").alias("key")).join(gains(known_ids.others, model.inside), "key").groupBy("row").agg(F.sum("gain").alias("gain"))
     end_value = float(np.log10(n_docs + 0.1))
-    out = rows.drop("tail").join(tail, "row", "left")
+    out = rows.drop("tail", "missed").join(tail, "row", "left").join(missed, "row", "left")
     base = F.col("value") + F.coalesce("tail_value", F.lit(0.0)) + F.lit(end_value) - F.col("n_tokens") * F.lit(float(floor))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(n_docs > 0))).cast("long").alias("n_known"), F.lit(int(n_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(n_docs > 0))).cast("long").alias("n_known"), F.lit(int(n_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,3 +230,15 @@ def test_gradients():
 
 def test_weights_start_from_some_documents_at_every_size():
     assert [attention_lm._drawn(n) for n in (0, 1, 1200, 12_000, 10**10, 10**15)] == [1_000_000, 1_000_000, 1_000_000, 100_000, 1, 1]
+
+
+def test_pairs_that_share_a_slot_keep_their_probability(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"zq{'abcdefgh'[(k * j) % 8]}xv{'klmnopqrst'[(k + j) % 10]}kj" for j in range(1, 9)) for k in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (60, None), (61, "")], "doc_id long, text string").repartition(3)
+    score = lambda: {r["doc_id"]: r["score"] for r in attention_lm.scored(df, path).collect()}
+    want = score()
+    monkeypatch.setattr(attention_lm, "_SLOTS", 2)
+    got = score()
+    assert got.keys() == want.keys() and len(got) == 62
+    assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
