@@ -9,12 +9,14 @@ token); in a group a pair is verified only if its prefixes meet under the other
 Steps: (1) count the documents of each word, keep the ``COMMON`` most frequent (a fixed
 bound, for the orders only; a word that is missing there costs time, never a link); (2) sets, prefixes and a 128-bit digest per document; documents with equal sets become
 one class; (3) classes that share a prefix token get the smallest class of that token's list
-as label; all pairs of a label's members are judged; (4) a label with more than ``BLOCK``
+as label; the members of a label first meet with small sketches of their sets, which bound every
+intersection from above, and only classes with a partner left there go on, in groups named by the
+smallest class that they are tied to; all pairs of a group's members are judged by their sets; (4) a label with more than ``BLOCK``
 members is cut into blocks and every pair of blocks is a group of its own, so a hot group is
 spread over tasks and no pair is lost; groups emit a spanning forest of their links instead
 of all links; (5) components by star contraction, written per round.
 
-Sets are only kept for classes that share a token with another class.
+Sets are only made again for classes that have a partner left by the sketches.
 
 Nulls and ties: null or blank texts have empty sets, link with nothing and are their own
 component; a null doc_id counts as no id (a component of such rows only is null). Rows with
@@ -110,10 +112,10 @@ def common_words(docs: DataFrame, keep: int = COMMON) -> tuple[np.ndarray, np.nd
             return pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(np.unique(word_hashes(text)))
+            for text in batch.column(0):
+                held.append(np.unique(word_hashes(text.as_py())))
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > 2_000_000:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -148,13 +150,74 @@ def _pairs_that_share(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many tokens of a set have each value of their lowest bits: a byte for each value, two
+    to four tokens a value. Empty where a byte is not enough (then nothing is known)."""
+    width = max(32, 1 << max(0, (len(own) - 1) // 4).bit_length())
+    n = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+class _Forest:
+    """Sets of numbers that grow together; the least number stands for its set."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def tie(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _may_link(n: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (above the diagonal) that sizes and sides leave."""
+    out = np.triu(np.ones((len(n), len(n)), dtype=bool), 1) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+    return out & (side[:, None] != side[None, :]) if side.any() and not side.all() else out
+
+
+def tied(sketches: list[bytes], n: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Members with a partner that sizes and sketches leave, and for each the first of those it
+    is tied to by such partners. Never without a pair that is linked."""
+    open_pairs = _may_link(n, side, percent)
+    open_pairs |= open_pairs.T
+    width = np.array([len(x) for x in sketches])
+    forest, some = _Forest(len(n)), np.zeros(len(n), dtype=bool)
+
+    def meet(i: int, with_: np.ndarray) -> None:
+        if len(with_):
+            some[i] = some[with_] = True
+            for j in with_.tolist():
+                forest.tie(i, j)
+
+    for i in np.flatnonzero(width == 0).tolist():
+        meet(i, np.flatnonzero(open_pairs[i]))
+    for w in np.unique(width[width > 0]).tolist():
+        wide = np.flatnonzero(width >= w)  # wider ones are folded: their lowest bits
+        held = np.stack([np.frombuffer(sketches[i], np.uint8).reshape(-1, w).sum(axis=0, dtype=np.int32) for i in wide.tolist()])
+        for at in np.flatnonzero(width[wide] == w).tolist():
+            i = int(wide[at])
+            left = np.flatnonzero(open_pairs[i, wide] & ((wide > i) | (width[wide] > w)))
+            if len(left):
+                most = np.minimum(held[left], held[at]).sum(axis=1, dtype=np.int64)
+                meet(i, wide[left[(100 + percent) * most >= percent * (n[i] + n[wide[left]])]])
+    kept = np.flatnonzero(some)
+    return kept, np.array([forest.find(i) for i in kept.tolist()], dtype=np.int64)
+
+
 def links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the linked pairs; ``side`` 0/1 is the block, pairs of one block
     are left out if both blocks have members (they have a group of their own)."""
     m, n = len(sets), np.array([len(s) for s in sets])
-    possible = np.triu(np.ones((m, m), dtype=bool), 1) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
-    if side.any() and not side.all():
-        possible &= side[:, None] != side[None, :]
+    possible = _may_link(n, side, percent)
     for order in range(len(_ORDERS)):
         if not possible.any():
             return []
@@ -165,21 +228,44 @@ def links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> l
     else:
         both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], dtype=np.int64)
     good = 100 * both >= percent * (n[a] + n[b] - both)
-    root = list(range(m))
+    forest = _Forest(m)
+    return [(i, j) for i, j in zip(a[good].tolist(), b[good].tolist()) if forest.tie(i, j)]
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    out = []
-    for i, j in zip(a[good].tolist(), b[good].tolist()):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+def _in_blocks(members: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
+    """Members (label, cid) with the ``columns`` of ``own`` by cid, a task's group after another:
+    label, lo, hi, cid, side, blocks, columns. A label of more than ``BLOCK`` members is cut into
+    blocks, each pair of which is a group."""
+    counts = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    placed = members.join(counts, "label").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    placed = staged(placed.select("label", "cid", "blocks", "own"), "placed")
+    spread = placed.join(own.select("cid", *columns), "cid").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("label", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "cid", (F.col("own") > F.col("with")).cast("int").alias("side"), "blocks", *columns)
+    return spread.repartition(partitions(members.sparkSession), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """The groups of ``_in_blocks``: (label, lo, hi, blocks) and lists of cids, sides and the
+    values of each further column (token lists as arrays)."""
+    key, held = None, []
+    for batch in batches:
+        names = [batch.column(k).to_pylist() for k in (0, 1, 2, 5)]
+        columns = [batch.column(k).to_pylist() for k in (3, 4)]
+        for c in batch.columns[6:]:
+            if pa.types.is_list(c.type):
+                flat, ends = c.flatten().to_numpy(zero_copy_only=False).view(np.uint64), c.offsets.to_numpy() - c.offsets[0].as_py()
+                columns.append([flat[a:b] for a, b in zip(ends, ends[1:])])
+            else:
+                columns.append(c.to_pylist())
+        for own, row in zip(zip(*names), zip(*columns)):
+            if own != key:
+                if held:
+                    yield key, held
+                key, held = own, [[] for _ in row]
+            for into, x in zip(held, row):
+                into.append(x)
+    if held:
+        yield key, held
 
 
 def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -192,21 +278,20 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for k in range(0, len(texts), 2048):
-                sets = [shingles(x, size, shared.value) for x in texts[k : k + 2048]]
+            for k in range(0, batch.num_rows, 1024):
+                sets = [shingles(x, size, shared.value) for x in batch.column(1).slice(k, 1024).to_pylist()]
                 with np.errstate(over="ignore"):
                     d1 = np.array([(s * _M2).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                     d2 = np.array([np.bitwise_xor.reduce((s ^ (s >> np.uint64(31))) * _M3) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 first = [prefix(s, 0, percent).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "d1", "d2", "n", "prefix"],
+                    [batch.column(0).slice(k, len(sets)), batch.column(2).slice(k, len(sets)), pa.array(d1), pa.array(d2), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())],
+                    names=["doc_id", "text_key", "d1", "d2", "n", "prefix", "sketch"],
                 )
 
     keyed = own.withColumn("text_key", F.xxhash64("text"))
-    rows = staged(keyed.mapInArrow(describe, "doc_id long, text_key long, d1 long, d2 long, n long, prefix array<long>"), "sets")
-    whole = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("root"), F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("prefix").alias("prefix"))
+    rows = staged(keyed.mapInArrow(describe, "doc_id long, text_key long, d1 long, d2 long, n long, prefix array<long>, sketch binary"), "sets")
+    whole = rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("root"), F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     classes = staged(whole.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     postings = classes.select("cid", F.explode("prefix").alias("token"))
@@ -218,6 +303,18 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     near = members.select("label", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")).groupBy("label", "step").count().where("count > 1").drop("count")
     members = staged(members.join(near, ["label", "step"]).select("label", "cid"), "members")
 
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _groups(batches):
+            if len(group[0]) > 1:
+                kept, first = tied(group[3], np.array(group[2]), np.array(group[1]), percent)
+                ids = np.array(group[0], dtype=np.int64)
+                # named by the least class, so that groups of several labels become one; blocks by their label
+                least = np.full(len(ids), np.iinfo(np.int64).max)
+                np.minimum.at(least, first, ids[kept])
+                yield pa.RecordBatch.from_arrays([pa.array(least[first] if key[3] == 1 else np.full(len(kept), key[0])), pa.array(ids[kept])], names=["label", "cid"])
+
+    members = staged(_in_blocks(members, classes, ["n", "sketch"]).mapInArrow(left, "label long, cid long").distinct(), "tied")
+
     need = classes.select("cid", "of").join(members.select("cid").distinct(), "cid").select("cid", F.col("of.doc_id").alias("of_id"), F.col("of.text_key").alias("of_key"))
     need = staged(need, "need")
     n_need = need.count()
@@ -234,38 +331,13 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text: str =
     if sets.count() > n_need:  # repeated rows gave a set more than once
         sets = staged(sets.dropDuplicates(["cid"]), "tokens")
 
-    counts = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = members.join(counts, "label").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    placed = staged(placed.select("label", "cid", "blocks", "own"), "placed")
-    spread = placed.join(sets, "cid").select("label", "cid", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"), "tokens")
-    spread = spread.select("label", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "cid", (F.col("own") > F.col("with")).cast("int").alias("side"), "tokens")
-    spread = spread.repartition(partitions(spark), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, side, held = None, [], [], []
-
-        def done() -> pa.RecordBatch:
+        for _, (ids, side, held) in _groups(batches):
             found = links(held, np.array(side), percent) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            tokens = batch.column(5)
-            flat, ends = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64), tokens.offsets.to_numpy()
-            ends = ends - ends[0]
-            for r, (label, lo, hi, cid, s) in enumerate(zip(*columns)):
-                if (label, lo, hi) != key:
-                    if len(held) > 1:
-                        yield done()
-                    key, ids, side, held = (label, lo, hi), [], [], []
-                ids.append(cid)
-                side.append(s)
-                held.append(flat[ends[r] : ends[r + 1]])
-        if len(held) > 1:
-            yield done()
-
-    linked = spread.mapInArrow(judge, "a long, b long")
+    linked = _in_blocks(members, sets, ["tokens"]).mapInArrow(judge, "a long, b long")
     of = components(linked)
     named = classes.select("cid", "d1", "d2", "n", "root", "of").join(of.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = staged(named, "named")

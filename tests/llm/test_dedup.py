@@ -318,3 +318,40 @@ def test_rows_of_numbers_are_no_template(spark):
         got = {r["doc_id"]: r["text"].split("\n") for r in line_templates.clean(df, **options).collect()}
         assert got[0] == rows[0][1].split("\n")
         assert all(got[k] == rows[k][1].split("\n")[:1] for k in range(1, 8))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    base = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 40, 127, 129, 260, 900, 3000) for _ in range(4)]
+    near = [np.unique(np.concatenate([s[rng.random(len(s)) > 0.06], rng.integers(0, 2**63, len(s) // 40 + 1, dtype=np.uint64)])) for s in base]
+    sets = [*base, *near, *base[::3]]
+    n, side = np.array([len(s) for s in sets]), np.arange(len(sets)) % 2
+    for own in (np.zeros(len(sets), int), side):
+        for hidden in (set(), {1, 30}):  # a sketch that tells nothing
+            kept, first = ngram_join.tied([b"" if k in hidden else ngram_join.sketch(s) for k, s in enumerate(sets)], n, own, percent)
+            of = dict(zip(kept.tolist(), first.tolist()))
+            for i, a in enumerate(sets):
+                for j in range(i):
+                    both = len(np.intersect1d(a, sets[j]))
+                    if 100 * both >= percent * (len(a) + len(sets[j]) - both) and (not own.any() or own[i] != own[j]):
+                        assert of[i] == of[j]
+
+
+def test_sets_go_only_to_those_left_by_sketches(spark, monkeypatch):
+    # texts of one size that share rare words, and two that link
+    common = " ".join(f"rare{k}" for k in range(6))
+    rows = [(k, " ".join(f"own{k}x{j}" for j in range(60)) + " " + common) for k in range(30)]
+    rows += [(100, rows[0][1] + " end")]
+    seen = {}
+    plain = ngram_join.staged
+
+    def watched(df, name, held=None):
+        out = plain(df, name, held)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", watched)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes_and_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{k: k for k in range(30)}, 100: 0}
+    assert seen["tokens"][0].count() == 2
