@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE_ROWS, TARGET_SAMPLE, COPY_TARGETS = 4096, 65_536, 8192, 16_384, 4096, 200_000
 _COPIES = 1024
 #: Numbers of a matrix, and rows, that a Python worker makes at once (whatever the table's size).
-_AT_ONCE, _ROWS_OUT = 2_000_000, 16_384
+_AT_ONCE, _ROWS_OUT = 500_000, 8192
 
 _OUT = "id long, pixel_number int, neighbor_id long, distance double"
 _PLACED = "cell int, block int, copy int, target boolean, id long, pixel_number int, scores array<double>"

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -132,3 +134,15 @@ def test_memory_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == 1500 * 24 and peak < 100 << 20
+
+
+def test_matrices_of_a_worker_stay_small():
+    rng = np.random.default_rng(5)
+    matrix, x = rng.standard_normal((60_000, 8)), rng.standard_normal((256, 8))
+    best = lambda m: sum(b.num_rows for b in neighbors._best(np.arange(m), pa.array([1] * m, pa.int32()), x[:m], np.arange(60_000), matrix, 24))
+    best(1)  # what it imports is not counted
+    tracemalloc.start()
+    rows = best(256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 256 * 24 and peak < 32e6
