@@ -25,7 +25,8 @@ import numpy as np
 
 from .shared import of_worker
 
-#: Units that a worker remembers for good, and those that it remembers for a while beyond them.
+#: Units that a worker remembers for good, and those that it remembers for a while beyond them
+#: (of a word vocabulary half as many).
 REMEMBERED, PASSING = 700_000, 500_000
 
 _GAP = re.compile(r" (?=\S)")
@@ -57,6 +58,7 @@ class UnitEncoder(dict):
         super().__init__()
         self.passing: list[str] = []
         self.kind = kind
+        self.share = 2 if kind == "word" else 1  # words are cheap to look up again; they are a part of what a pipeline's worker holds
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         added = [] if ordinary else list(self.tokenizer.get_added_tokens_decoder().values())
@@ -158,7 +160,7 @@ class UnitEncoder(dict):
 
     def learn(self, units: Iterable[str]) -> None:
         """Remember the units; ASCII signs after the last letter are tokens of their own."""
-        if len(self.passing) > PASSING:
+        if len(self.passing) > PASSING // self.share:
             for u in self.passing:
                 self.pop(u, None)
             self.passing = []
@@ -179,7 +181,7 @@ class UnitEncoder(dict):
         for u, core, tail in made:
             if u is not core:
                 self[u] = self[core] + self._tail(tail) if tail else self[core]
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // self.share:
             self.passing += unknown
             self.passing += cores.difference(unknown)
 
