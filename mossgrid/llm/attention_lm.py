@@ -13,7 +13,7 @@ The corpus statistics cover all training documents: word counts are summed exact
 cluster (they grow with the input), and each distinct word is encoded once, with its exact
 count, for the counts of ids and of pairs inside words. The ``HOT`` most frequent words go to the executors with
 their counts (a fixed bound); for other words each document's rows are joined to the counts
-by a shuffle. Pairs of ids likewise: the most frequent of each of 2^20 slots goes to the
+by a shuffle. Texts are encoded once: their ids are staged (two bytes each), and training and scoring read those. Pairs of ids likewise: the most frequent of each of 2^20 slots goes to the
 executors, the others are joined to the documents that hold them. The attention weights start from a fit on at most ``SAMPLE`` training documents;
 then every training document is a part of one of ``ROUNDS`` rounds, in which each task goes on
 from the same weights over its documents and the weights are averaged, by ids seen.
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,10 @@ CLASSES = 48
 INPUTS = 1024
 WIDTH = 16
 BLOCK = 16
+#: Blocks that are scored at a time: what is made for them stays in a core's cache.
+_SCORED = 128
+#: What each place of a block sees of the block before it and of its own.
+_SEEN = (np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK).astype(np.float32)
 #: Words whose counts every executor holds (16 bytes each, and a remembered encoding).
 HOT = 1 << 18
 #: Documents that the attention weights start from, about, and ids of them at most.
@@ -69,6 +73,8 @@ class Words(dict):
         super().__init__()
         self.encoder = bpe.UnitEncoder(path, "byte", ordinary=True)
         self.order: list[bytes] = []
+        self.forgotten = 0  # how often words were
+        self.figures, self.figured, self.figures_of = np.zeros(0), 0, None
         self.hash = np.zeros(REMEMBERED + 1, dtype=np.uint64)
         self.start = np.zeros(REMEMBERED + 2, dtype=np.int64)
         self.ids = np.zeros(8 * REMEMBERED, dtype=np.uint16)
@@ -79,34 +85,51 @@ class Words(dict):
         words = list(dict.fromkeys(words))
         if len(self.order) + len(words) > REMEMBERED:
             keep = CORE if len(self.order) > CORE and CORE + len(words) <= REMEMBERED else 0
+            self.forgotten += 1
             for w in self.order[keep:]:
                 del self[w]
             del self.order[keep:]
         units = [w.decode("utf-8", "replace") for w in words]
         self.encoder.learn(units)
-        for w, u in zip(words, units):
-            code = len(self.order)
-            ids = np.frombuffer(self.encoder[u], "<u4")
-            end = int(self.start[code]) + len(ids)
-            if end > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(max(len(self.ids), len(ids)), dtype=np.uint16))
-            self.ids[self.start[code] : end] = ids
-            self.start[code + 1] = end
-            self.hash[code] = xxhash.xxh3_64_intdigest(w)
-            self[w] = code
-            self.order.append(w)
+        raw = list(map(self.encoder.__getitem__, units))
+        first, n = len(self.order), len(words)
+        ends = int(self.start[first]) + np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=n) // 4)
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        if n and ends[-1] > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(max(len(self.ids), len(ids)), dtype=np.uint16))
+        self.ids[self.start[first] : self.start[first] + len(ids)] = ids
+        self.start[first + 1 : first + 1 + n] = ends
+        self.hash[first : first + n] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
+        self.update(zip(words, range(first, first + n)))
+        self.order += words
         self.encoder.clear()
         self.encoder.passing = []
 
     def codes(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Codes of the words of some texts (of REMEMBERED - CORE distinct words at most)."""
-        unknown = [w for t in texts for w in t if w not in self]
+        found = [list(map(self.get, t)) for t in texts]
+        gaps = [[k for k, x in enumerate(own) if x is None] if None in own else [] for own in found]
+        unknown = [t[k] for t, own in zip(texts, gaps) for k in own]
         if unknown:
-            before = len(self.order)
+            kept = self.forgotten
             self.learn(unknown)
-            if len(self.order) <= before:  # some words were forgotten
+            if self.forgotten != kept:
                 self.learn([w for t in texts for w in t if w not in self])
-        return [np.fromiter(map(self.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+                return [np.fromiter(map(self.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+            for t, own, missing in zip(texts, found, gaps):
+                for k in missing:
+                    own[k] = self[t[k]]
+        return [np.array(own, dtype=np.int64) for own in found]
+
+    def figures_by_code(self, key: str, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """What ``of`` gives for the hashes of all known words; asked once for a word, as long as
+        ``key`` is the same."""
+        if self.figures_of != (key, self.forgotten):
+            self.figures, self.figured, self.figures_of = np.zeros(REMEMBERED + 1), 0, (key, self.forgotten)
+        lo, hi = self.figured, len(self.order)
+        if hi > lo:
+            self.figures[lo:hi], self.figured = of(self.hash[lo:hi]), hi
+        return self.figures
 
     def subwords(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, and how many each word has."""
@@ -166,44 +189,36 @@ class Model:
             lo = hi
         return out
 
-    def _tables(self) -> tuple[np.ndarray, ...]:
-        w = self.weights
-        scale = np.float32(WIDTH**-0.5)
-        return (w["E"] @ w["Q"]) * scale, w["E"] @ w["K"], w["E"] @ w["V"], (w["P"] @ w["Q"]) * scale, w["P"] @ w["K"], w["P"] @ w["V"]
-
-    def _small(self, eq: np.ndarray, ek: np.ndarray, ev: np.ndarray, pq: np.ndarray, pk: np.ndarray, pv: np.ndarray) -> bool:
-        """Whether all attention scores and logits are surely below 60."""
-        most = lambda e, p: np.linalg.norm(e, axis=1).max() + np.linalg.norm(p, axis=1).max()
-        h = most(self.weights["E"], self.weights["P"]) + most(ev, pv)
-        return most(eq, pq) * most(ek, pk) < 60 and h * np.linalg.norm(self.weights["O"], axis=0).max() + np.abs(self.weights["b"]).max() < 60
-
     def _score(self, sequences: list[np.ndarray]) -> np.ndarray:
         inputs, targets, first, owner = blocked(sequences, self.end)
-        w, (eq, ek, ev, pq, pk, pv) = self.weights, self._tables()
-        code, goal = self.input_of[inputs], self.class_of[np.maximum(targets, 0)]
-        valid = targets >= 0
-        total = np.zeros(len(inputs))
-        small = self._small(eq, ek, ev, pq, pk, pv)  # then exponentials cannot overflow
-        bias = np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
-        for at in range(0, len(inputs), 1024):
-            rows = slice(at, min(at + 1024, len(inputs)))
+        w = self.weights
+        meet = w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5)  # q k' is (x Q K') x', and a v is (a x) V
+        valid, targets = targets >= 0, np.maximum(targets, 0)
+        code, goal = self.input_of[inputs], self.class_of[targets]
+        total = np.empty(len(inputs))
+        ones, some = np.ones(2 * BLOCK, dtype=np.float32), np.ones(CLASSES, dtype=np.float32)
+        for at in range(0, len(inputs), _SCORED):
+            rows = slice(at, min(at + _SCORED, len(inputs)))
             own = code[rows]
-            before = code[np.maximum(np.arange(rows.start, rows.stop) - 1, 0)]
-            both = np.concatenate([before, own], axis=1)
-            q = eq[own] + pq[BLOCK:]
-            scores = q @ (ek[both] + pk).transpose(0, 2, 1) + bias
-            scores[first[rows], :, :BLOCK] = -1e9
-            if not small:
-                scores -= scores.max(axis=2, keepdims=True)
-            np.exp(scores, out=scores)
-            scores /= scores.sum(axis=2, keepdims=True)
-            h = w["E"][own] + w["P"][BLOCK:] + scores @ (ev[both] + pv)
-            z = h.reshape(-1, WIDTH) @ w["O"] + w["b"]
-            if not small:
+            both = np.concatenate([code[np.maximum(np.arange(rows.start, rows.stop) - 1, 0)], own], axis=1)
+            x = np.take(w["E"], both, axis=0)
+            x += w["P"]
+            xo = x[:, BLOCK:].reshape(-1, WIDTH)
+            scores = (xo @ meet).reshape(-1, BLOCK, WIDTH) @ x.transpose(0, 2, 1)
+            _weigh(scores, first[rows])
+            h = (scores @ x).reshape(-1, WIDTH) @ w["V"]
+            h *= (1 / (scores.reshape(-1, 2 * BLOCK) @ ones))[:, None]
+            h += xo
+            z = h @ w["O"]
+            z += w["b"]
+            if _large(z):
                 z -= z.max(axis=1, keepdims=True)
             picked = z[np.arange(len(z)), goal[rows].reshape(-1)]
-            logs = (picked - np.log(np.exp(z).sum(axis=1))).reshape(-1, BLOCK) * np.float32(1 / np.log(10))
-            total[rows] = (np.where(valid[rows], logs + self._inside(inputs[rows], np.maximum(targets[rows], 0)), 0)).sum(axis=1, dtype=np.float64)
+            np.exp(z, out=z)
+            logs = (picked - np.log(z @ some)).reshape(-1, BLOCK)
+            total[rows] = np.where(valid[rows], logs, 0).sum(axis=1, dtype=np.float64)
+        total *= 1 / np.log(10)
+        total += np.where(valid, self._inside(inputs, targets), 0).sum(axis=1)
         return np.bincount(owner, total, minlength=len(sequences))
 
 
@@ -270,53 +285,103 @@ def fit(sequences: list[np.ndarray], id_counts: np.ndarray, end: int, begins: np
     if not sequences:
         return model
     inputs, targets, first, _ = blocked(sequences, end)
-    m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
+    adam = Adam(w)
     total = passes * -(-len(inputs) // 256)
     for _ in range(passes):
         for at in np.array_split(rng.permutation(len(inputs)), max(1, len(inputs) // 256)):
-            slopes = _slopes(w, input_of[inputs[np.maximum(at - 1, 0)]], input_of[inputs[at]], class_of[np.maximum(targets[at], 0)], targets[at] >= 0, first[at])
-            step += 1
-            rate = 0.02 * max(0.05, 1 - step / total)
-            for k, g in slopes.items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            slopes = _slopes(adam.weights, input_of[inputs[np.maximum(at - 1, 0)]], input_of[inputs[at]], class_of[np.maximum(targets[at], 0)], targets[at] >= 0, first[at])
+            adam.move(slopes, 0.02 * max(0.05, 1 - (adam.count + 1) / total))
+    model.weights = adam.weights
     return model
 
 
+class Adam:
+    """Weights that move against their slopes; all of them lie in one array, ``flat``."""
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.flat = np.concatenate([x.ravel() for x in weights.values()])
+        cuts = np.cumsum([x.size for x in weights.values()])[:-1]
+        self.weights = {k: part.reshape(x.shape) for (k, x), part in zip(weights.items(), np.split(self.flat, cuts))}
+        self.mean, self.square, self.count = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+
+    def move(self, slopes: dict[str, np.ndarray], rate: float) -> None:
+        g = np.concatenate([slopes[k].ravel() for k in self.weights])
+        self.count += 1
+        self.mean += np.float32(0.1) * (g - self.mean)
+        g *= g
+        g -= self.square
+        g *= np.float32(0.01)
+        self.square += g
+        np.multiply(self.square, np.float32(1 / (1 - 0.99**self.count)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(self.mean, g, out=g)
+        g *= np.float32(rate / (1 - 0.9**self.count))
+        self.flat -= g
+
+
+def _large(x: np.ndarray) -> bool:
+    """Whether exponentials, or all of a row, may be beyond single precision."""
+    return not (x.max() < 60 and x.min() > -60)
+
+
+def _weigh(scores: np.ndarray, first: np.ndarray) -> None:
+    """Exponentials of attention scores, up to a factor for each row; 0 at places not seen."""
+    if _large(scores):
+        scores += np.where(_SEEN > 0, 0, -1e9).astype(scores.dtype)
+        scores[first, :, :BLOCK] = -1e9
+        scores -= scores.max(axis=2, keepdims=True)
+    np.exp(scores, out=scores)
+    scores *= _SEEN
+    scores[first, :, :BLOCK] = 0
+
+
 def _slopes(w: dict, before: np.ndarray, own: np.ndarray, goal: np.ndarray, valid: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log likelihood of one batch of windows."""
+    kind, n = w["E"].dtype, len(own)
+    scale = kind.type(WIDTH**-0.5)
     both = np.concatenate([before, own], axis=1)
-    x = w["E"][both] + w["P"]
-    xo = x[:, BLOCK:]
-    scale = np.float32(WIDTH**-0.5)
-    q, k, v = xo @ w["Q"] * scale, x @ w["K"], x @ w["V"]
-    scores = q @ k.transpose(0, 2, 1)
-    scores += np.where(np.arange(2 * BLOCK)[None, :] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
-    scores[first, :, :BLOCK] = -1e9
-    a = np.exp(scores - scores.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    h = xo + a @ v
-    z = h @ w["O"] + w["b"]
-    p = np.exp(z - z.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    np.put_along_axis(p, goal[..., None], np.take_along_axis(p, goal[..., None], 2) - 1, 2)
-    dz = p * (valid[..., None] / max(1, valid.sum())).astype(np.float32)
-    out = {"O": h.reshape(-1, WIDTH).T @ dz.reshape(-1, CLASSES), "b": dz.sum(axis=(0, 1))}
-    dh = dz @ w["O"].T
-    dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    flat = lambda y: y.reshape(-1, WIDTH)
-    out |= {"Q": flat(xo).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, BLOCK:] += dh + dq @ w["Q"].T
-    out["P"] = dx.sum(axis=0)
-    grad = np.zeros_like(w["E"])
-    for c in range(WIDTH):
-        grad[:, c] = np.bincount(both.reshape(-1), dx[..., c].reshape(-1), minlength=INPUTS)
-    return out | {"E": grad}
+    x = np.take(w["E"], both, axis=0)
+    x += w["P"]
+    xo = x[:, BLOCK:].reshape(-1, WIDTH)
+    # q k' is (xo Q K') x', and a v is (a x) V: keys and values need not be made
+    meet = w["Q"] @ w["K"].T * scale
+    left = np.empty((n, 2 * BLOCK, WIDTH), dtype=kind)  # xo Q K', and below it the slopes of a x
+    q, dax = left[:, :BLOCK], left[:, BLOCK:]
+    q[:] = (xo @ meet).reshape(q.shape)
+    twice = np.empty((n, 2 * BLOCK, 2 * BLOCK), dtype=kind)  # slopes of scores, and attention
+    ds, a = twice[:, :BLOCK], twice[:, BLOCK:]
+    np.matmul(q, x.transpose(0, 2, 1), out=a)
+    _weigh(a, first)
+    a *= 1 / (a @ np.ones((2 * BLOCK, 1), dtype=kind))
+    ax = (a @ x).reshape(-1, WIDTH)
+    h = ax @ w["V"]
+    h += xo
+    p = h @ w["O"]
+    p += w["b"]
+    if _large(p):
+        p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    share = valid.reshape(-1) * kind.type(1 / max(1, valid.sum()))
+    p *= (share / (p @ np.ones(CLASSES, dtype=kind)))[:, None]
+    p[np.arange(len(p)), goal.reshape(-1)] -= share
+    out = {"O": (p.T @ h).T, "b": np.ones(len(p), dtype=kind) @ p}
+    dh = p @ w["O"].T
+    out["V"] = (dh.T @ ax).T
+    own_dax = dh @ w["V"].T
+    dax[:] = own_dax.reshape(dax.shape)
+    np.matmul(dax, x.transpose(0, 2, 1), out=ds)
+    ds -= np.einsum("ij,ij->i", own_dax, ax).reshape(n, BLOCK, 1)
+    ds *= a
+    dq = (ds @ x).reshape(-1, WIDTH)
+    dx = twice.transpose(0, 2, 1) @ left
+    dh += dq @ meet.T
+    dx[:, BLOCK:] += dh.reshape(n, BLOCK, WIDTH)
+    dmeet = xo.T @ dq * scale
+    out |= {"Q": dmeet @ w["K"], "K": dmeet.T @ w["Q"]}
+    out["P"] = (np.ones(n, dtype=kind) @ dx.reshape(n, -1)).reshape(2 * BLOCK, WIDTH)
+    ids, by_column = both.reshape(-1), np.ascontiguousarray(dx.reshape(-1, WIDTH).T)
+    return out | {"E": np.stack([np.bincount(ids, c, minlength=INPUTS) for c in by_column], axis=1).astype(kind)}
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -420,9 +485,9 @@ def gains(others: DataFrame, inside: np.ndarray) -> DataFrame:
     return others.mapInArrow(gain, "key long, gain double")
 
 
-def trained(model: Model, training: DataFrame, tokenizer: str, rounds: int = ROUNDS, step: float = STEP) -> int:
-    """Goes on with the weights of ``model`` over every training document (doc_id, text); the
-    number of ids, ends included, that they were trained on."""
+def trained(model: Model, training: DataFrame, rounds: int = ROUNDS, step: float = STEP) -> int:
+    """Goes on with the weights of ``model`` over every training document (doc_id, ids as
+    ``encoded`` has them); the number of ids, ends included, that they were trained on."""
     spark = training.sparkSession
     names = list(model.weights)
     end, total = model.end, 0
@@ -432,41 +497,31 @@ def trained(model: Model, training: DataFrame, tokenizer: str, rounds: int = ROU
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             start, input_of, class_of = shared.value
-            w = {k: x.copy() for k, x in start.items()}
-            m, v = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}
-            table, count, seen = _table(tokenizer), 0, 0
+            adam, seen = Adam(start), 0
 
             def go_on(sequences: list[np.ndarray]) -> int:
-                nonlocal count
                 inputs, targets, first, _ = blocked(sequences, end)
-                for at in np.array_split(np.random.default_rng(count).permutation(len(inputs)), max(1, len(inputs) // 256)):
-                    slopes = _slopes(w, input_of[inputs[np.maximum(at - 1, 0)]], input_of[inputs[at]], class_of[np.maximum(targets[at], 0)], targets[at] >= 0, first[at])
-                    count += 1
-                    for k, g in slopes.items():
-                        m[k] += 0.1 * (g - m[k])
-                        v[k] += 0.01 * (g * g - v[k])
-                        w[k] -= (rate * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.99**count)) + 1e-8)).astype(np.float32)
+                own, goal, valid = input_of[inputs], class_of[np.maximum(targets, 0)], targets >= 0
+                for at in np.array_split(np.random.default_rng(adam.count).permutation(len(inputs)), max(1, len(inputs) // 256)):
+                    adam.move(_slopes(adam.weights, own[np.maximum(at - 1, 0)], own[at], goal[at], valid[at], first[at]), rate)
                 return sum(map(len, sequences))
 
             held, n = [], 0
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for k in range(0, len(texts), 128):
-                    for own in (split_words(x) for x in texts[k : k + 128]):
-                        for lo in range(0, max(1, len(own)), 50_000):  # a long text, a stretch at a time
-                            got = table.subwords(table.codes([own[lo : lo + 50_000]])[0])[0]
-                            held.append(got if lo + 50_000 < len(own) else np.append(got, np.uint16(end)))
-                            n += len(held[-1])
-                            if n >= 100_000:
-                                seen += go_on(held)
-                                held, n = [], 0
+                for ids in _sequences(batch.column(0)):
+                    for lo in range(0, len(ids), 200_000):  # a long text, a stretch at a time
+                        held.append(ids[lo : lo + 200_000])
+                        n += len(held[-1])
+                        if n >= 100_000:
+                            seen += go_on(held)
+                            held, n = [], 0
             if n:
                 seen += go_on(held)
             if seen:
-                flat = np.concatenate([w[k].ravel() for k in names]).astype(np.float64) * seen
+                flat = adam.flat.astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat))), pa.array(np.append(float(seen), flat))], names=["at", "x"])
 
-        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(rounds)) == turn).select("text")
+        part = training.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(rounds)) == turn).select("ids")
         sums = part.mapInArrow(learn, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # a row per weight
         shared.destroy()
         if not sums.num_rows:
@@ -487,6 +542,68 @@ def _drawn(n_docs: int) -> int:
     return max(1, int(min(1.0, SAMPLE / max(1, n_docs)) * 1_000_000))
 
 
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+
+
+def encoded(own: DataFrame, tokenizer: str, end: int, hot_hash: np.ndarray, hot_n: np.ndarray) -> DataFrame:
+    """Of each row of ``own`` (doc_id, held_out, text), staged: a number of its own (row), doc_id,
+    held_out, n_chars, n_tokens, its ids and the end id (ids, two bytes each), how many of its
+    words are among ``hot_hash`` (known, in order of hashes), the sum of what these add to the base score (value) and the
+    hashes of the other words (tail)."""
+    spark = own.sparkSession
+    shared = spark.sparkContext.broadcast((hot_hash, np.log10(hot_n + 0.1)))  # fixed bounds
+    key = uuid.uuid4().hex
+    closing = np.array([end], dtype="<u2").tobytes()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_hash, hot_value = shared.value
+        table = _table(tokenizer)
+
+        def figures(hashes: np.ndarray) -> np.ndarray:
+            if not len(hot_hash):
+                return np.full(len(hashes), np.nan)
+            place = np.minimum(np.searchsorted(hot_hash, hashes), len(hot_hash) - 1)
+            return np.where(hot_hash[place] == hashes, hot_value[place], np.nan)
+
+        def part(words: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
+            codes = table.codes(words)
+            n = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+            flat, owner = np.concatenate(codes), np.repeat(np.arange(len(codes)), n)
+            value = table.figures_by_code(key, figures)[flat]
+            other = np.isnan(value)
+            known = n - np.bincount(owner[other], minlength=len(n))
+            tails = np.split(table.hash[flat[other]].view(np.int64), np.cumsum(n - known)[:-1])
+            ids, per = table.subwords(flat)
+            cuts = 2 * np.append(0, np.cumsum(per))[np.append(0, np.cumsum(n))]
+            raw = ids.astype("<u2").tobytes()
+            return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], known, np.bincount(owner, np.where(other, 0, value), minlength=len(n)), tails
+
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for k in range(0, len(texts), 128):
+                cut = [split_words(x) for x in texts[k : k + 128]]
+                if sum(map(len, cut)) <= REMEMBERED - CORE:
+                    raw, known, value, tails = part(cut)
+                else:  # a text at a time, a very long one by stretches
+                    raw, known, value, tails = [], np.zeros(len(cut), dtype=np.int64), np.zeros(len(cut)), []
+                    for i, own in enumerate(cut):
+                        some = [part([own[lo : lo + REMEMBERED - CORE]]) for lo in range(0, max(1, len(own)), REMEMBERED - CORE)]
+                        raw.append(b"".join(x[0][0] for x in some))
+                        known[i], value[i] = sum(int(x[1][0]) for x in some), sum(float(x[2][0]) for x in some)
+                        tails.append(np.concatenate([x[3][0] for x in some]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, len(cut)), batch.column(1).slice(k, len(cut)), pa.array([len(x) for x in texts[k : k + 128]]), pa.array([len(x) + 1 for x in cut]), pa.array([x + closing for x in raw], pa.binary()), pa.array(known), pa.array(value), pa.array(tails, pa.list_(pa.int64()))],
+                    names=["doc_id", "held_out", "n_chars", "n_tokens", "ids", "known", "value", "tail"],
+                )
+
+    kind = dict(own.dtypes)["doc_id"]
+    rows = own.select("doc_id", "held_out", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, n_chars long, n_tokens long, ids binary, known long, value double, tail array<long>")
+    out = staged(rows.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    shared.destroy()
+    return out
+
+
 def scored(docs: DataFrame, tokenizer: str, end: int = 50256, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -502,68 +619,42 @@ def scored(docs: DataFrame, tokenizer: str, end: int = 50256, id_col: str = "doc
     hot_hash, hot_n = hot_hash[at], hot_n[at]
     floor = np.log10(n_tokens + 0.1 * (n_kinds + 1))
 
+    texts = encoded(own, tokenizer, end, hot_hash, hot_n)
+    learnt = texts.where("not held_out")
     # the sample that the weights start from; frequencies of ids and pairs are those of all words
-    words = Words(tokenizer)
     sequences, ids = [], 0
-    for row in training.select("text").where(F.length("text") <= 100_000).where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < _drawn(n_docs)).limit(2 * SAMPLE).toLocalIterator():
+    for row in learnt.where("n_chars <= 100000").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < _drawn(n_docs)).select("ids").limit(2 * SAMPLE).toLocalIterator():
         if ids < SAMPLE_IDS:
-            got = words.subwords(words.codes([split_words(row["text"])])[0])[0]
-            sequences.append(np.append(got, np.uint16(end)))
-            ids += len(got)
-    begins = np.append(words.encoder.edge, np.zeros(max(0, end + 1 - len(words.encoder.edge)), dtype=bool))[: end + 1]
+            sequences.append(np.frombuffer(row["ids"], "<u2"))
+            ids += len(sequences[-1]) - 1
+    edge = bpe.UnitEncoder(tokenizer, "byte", ordinary=True).edge
+    begins = np.append(edge, np.zeros(max(0, end + 1 - len(edge)), dtype=bool))[: end + 1]
     begins[end] = True
     known_ids = statistics(counted_ids(counts, tokenizer), end, n_docs)
     model = fit(sequences, known_ids.id_counts, end, begins, known_ids.pairs, after=known_ids.after, crowded=known_ids.crowded)
-    trained(model, training, tokenizer)
-    shared = spark.sparkContext.broadcast((model, hot_hash, hot_n))  # fixed bounds
-    key = uuid.uuid4().hex
+    trained(model, learnt)
+    shared = spark.sparkContext.broadcast(model)  # fixed bounds
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot_hash, hot_n = shared.value
-        table = _table(tokenizer)
+        model = shared.value
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for k in range(0, len(texts), 128):
-                cut = [split_words(x) for x in texts[k : k + 128]]
-                codes, sequences = [], []
-                for own in cut if sum(map(len, cut)) > REMEMBERED - CORE else [None]:
-                    if own is None:  # all at once
-                        for c in table.codes(cut):
-                            codes.append(table.hash[c])
-                            sequences.append(np.append(table.subwords(c)[0], np.uint16(end)))
-                        continue
-                    hashes, parts = [np.zeros(0, dtype=np.uint64)], []
-                    for lo in range(0, len(own), REMEMBERED - CORE):  # a very long text, a stretch at a time
-                        c = table.codes([own[lo : lo + REMEMBERED - CORE]])[0]
-                        hashes.append(table.hash[c])
-                        parts.append(table.subwords(c)[0])
-                    codes.append(np.concatenate(hashes))
-                    sequences.append(np.concatenate([*parts, np.array([end], dtype=np.uint16)]))
-                n = np.array([len(c) for c in codes])
-                flat = np.concatenate(codes)
-                owner = np.repeat(np.arange(len(codes)), n)
-                if len(hot_hash):
-                    place = np.minimum(np.searchsorted(hot_hash, flat), len(hot_hash) - 1)
-                    known = hot_hash[place] == flat
-                    value = np.where(known, np.log10(hot_n[place] + 0.1), 0.0)
-                else:
-                    known, value = np.zeros(len(flat), dtype=bool), np.zeros(len(flat))
-                sums = np.bincount(owner, value, minlength=len(n))
-                tails = np.split(flat[~known].view(np.int64), np.cumsum(np.bincount(owner[~known], minlength=len(n)))[:-1])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sequences = _sequences(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, len(n)), batch.column(1).slice(k, len(n)), pa.array(n + 1), pa.array(np.bincount(owner[known], minlength=len(n))), pa.array(sums), pa.array(model.score(sequences)), pa.array(tails, pa.list_(pa.int64())), pa.array(model.missed(sequences), pa.list_(pa.int64()))],
-                    names=["doc_id", "held_out", "n_tokens", "known", "value", "score", "tail", "missed"],
+                    [*part.columns[:-1], pa.array(model.score(sequences)), pa.array(model.missed(sequences), pa.list_(pa.int64()))],
+                    names=[*part.schema.names[:-1], "score", "missed"],
                 )
 
     kind = dict(own.dtypes)["doc_id"]
-    rows = own.mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, known long, value double, score double, tail array<long>, missed array<long>")
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), f"scores-{key[:6]}")
+    rows = texts.select("row", "doc_id", "held_out", "n_tokens", "known", "value", "ids")
+    rows = staged(rows.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, value double, score double, missed array<long>"), "scores")
     shared.destroy()
-    tail = rows.select("row", F.explode("tail").alias("hash")).join(counts.select("hash", "n"), "hash", "left")
+    tail = texts.select("row", F.explode("tail").alias("hash")).join(counts.select("hash", "n"), "hash", "left")
     tail = tail.groupBy("row").agg(F.count("n").alias("tail_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1).cast("double"))).alias("tail_value"))
     missed = rows.select("row", F.explode("missed").alias("key")).join(gains(known_ids.others, model.inside), "key").groupBy("row").agg(F.sum("gain").alias("gain"))
     end_value = float(np.log10(n_docs + 0.1))
-    out = rows.drop("tail", "missed").join(tail, "row", "left").join(missed, "row", "left")
+    out = rows.drop("missed").join(tail, "row", "left").join(missed, "row", "left")
     base = F.col("value") + F.coalesce("tail_value", F.lit(0.0)) + F.lit(end_value) - F.col("n_tokens") * F.lit(float(floor))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(n_docs > 0))).cast("long").alias("n_known"), F.lit(int(n_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))
 

@@ -242,3 +242,39 @@ def test_pairs_that_share_a_slot_keep_their_probability(spark, monkeypatch):
     got = score()
     assert got.keys() == want.keys() and len(got) == 62
     assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+
+
+def test_texts_are_encoded_once(spark):
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50256
+    texts = [f"The cat number{'abcdefgh'[k % 8]} sat thereabouts, wondéred {k}" for k in range(40)] + ["", " \n", "word " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held_out", F.lit(False)).repartition(3)
+    words = attention_lm.Words(path)
+    hot = np.sort(words.hash[words.codes([[b"cat", b"word"]])[0]])
+    rows = attention_lm.encoded(docs.select("doc_id", "held_out", "text"), path, end, hot, np.array([5.0, 5.0]))
+    got = {r["doc_id"]: r for r in rows.collect()}
+    assert len({r["row"] for r in got.values()}) == len(texts)
+    for k, t in enumerate(texts):
+        own = attention_lm.split_words(t)
+        codes = words.codes([own])[0]
+        assert np.frombuffer(got[k]["ids"], "<u2").tolist() == [*words.subwords(codes)[0].tolist(), end]
+        known = sum(w in (b"cat", b"word") for w in own)
+        assert (got[k]["n_tokens"], got[k]["known"], len(got[k]["tail"])) == (len(own) + 1, known, len(own) - known)
+        assert got[k]["value"] == pytest.approx(known * math.log10(5.1))
+    flat = np.concatenate([np.frombuffer(r["ids"], "<u2") for r in got.values()]).astype(np.int64)
+    counts = np.bincount(flat, minlength=end + 1).astype(float)
+    model = attention_lm.fit([flat], counts, end, np.arange(end + 1) % 2 == 0, (flat[:-1], flat[1:], np.ones(len(flat) - 1)))
+    before = model.score([flat])[0]
+    assert attention_lm.trained(model, rows.select("doc_id", "ids")) == len(flat)  # ids alone, no texts
+    assert np.isfinite(model.score([flat])[0]) and model.score([flat])[0] != before
+
+
+def test_large_scores_and_logits(monkeypatch):
+    rng = np.random.default_rng(5)
+    w = {k: (rng.standard_normal(s) * x).astype(np.float32) for k, s, x in (("E", (attention_lm.INPUTS, 16), 1.5), ("P", (32, 16), 1.0), ("Q", (16, 16), 1.5), ("K", (16, 16), 1.5), ("V", (16, 16), 0.5), ("O", (16, attention_lm.CLASSES), 5.0), ("b", (attention_lm.CLASSES,), 0.1))}
+    before, own = rng.integers(0, 20, (2, 3, attention_lm.BLOCK))
+    goal, valid, first = rng.integers(0, attention_lm.CLASSES, own.shape), np.ones(own.shape, dtype=bool), np.array([True, False, False])
+    large = attention_lm._slopes(w, before, own, goal, valid, first)
+    want = attention_lm._slopes({k: x.astype(np.float64) for k, x in w.items()}, before, own, goal, valid, first)
+    for k, x in want.items():
+        assert np.isfinite(large[k]).all()
+        np.testing.assert_allclose(large[k], x, atol=0.02 * np.abs(x).max())
