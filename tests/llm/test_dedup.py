@@ -355,3 +355,15 @@ def test_sets_go_only_to_those_left_by_sketches(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes_and_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {**{k: k for k in range(30)}, 100: 0}
     assert seen["tokens"][0].count() == 2
+
+
+def test_covered_bytes():
+    rng = np.random.default_rng(6)
+    for n in (400, 463, 900, 2500):
+        start = rng.integers(0, n - 399, 9)
+        bits = (rng.random((9, suffix_dedup.STEP)) < 0.2) & (start[:, None] >= np.arange(suffix_dedup.STEP))
+        mask = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()  # bit 63 is the sign
+        want = np.zeros(n, dtype=bool)
+        for k, e in np.argwhere(bits):
+            want[start[k] - e : start[k] - e + suffix_dedup.WINDOW] = True
+        np.testing.assert_array_equal(suffix_dedup.covered(n, start, mask), want)
